@@ -13,9 +13,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, order_key, running_total
 from .tokens import vocabulary, word_encoder
@@ -31,21 +32,20 @@ def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, w
         encoder = word_encoder(path)
         for batch in batches:
             for first in range(0, len(batch), 500):
-                part = batch.iloc[first : first + 500]
-                texts = ["" if t is None else t for t in part["text"]]
+                part = batch.slice(first, 500)
+                texts = ["" if t is None else t for t in part["text"].to_pylist()]
                 rows = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(texts), strict=True):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
                     for k, at in enumerate(range(0, len(ids), room)):
                         piece = ids[at : at + room]
                         row = (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()))
-                        rows.append((*row, piece.astype(np.int32)) if with_ids else row)
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                        rows.append((*row, piece) if with_ids else row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInPandas(cut_up, schema)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + with_ids]
+    return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
 
 
 def few_document_patterns(hist: np.ndarray, choices: int = 24) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +169,14 @@ def place(pieces: DataFrame, room: int = ROOM) -> DataFrame:
 
     def look_up(batches):
         for batch in batches:
-            k = np.searchsorted(key, (batch["length"].to_numpy(np.int64) << 44) | batch["_rank"].to_numpy(np.int64), side="right") - 1
-            batch["sequence_id"] = at["sequence"][k] + batch["_rank"] - at["rank"][k]
-            batch["offset"] = at["offset"][k]
-            yield batch.drop(columns="_rank")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(look_up, schema)
+            length, rank = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            k = np.searchsorted(key, length << 44 | rank, side="right") - 1
+            added = [pa.array(at["sequence"][k] + rank - at["rank"][k]), pa.array(at["offset"][k])]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *added], [*names, "sequence_id", "offset"])
+
+    names = pieces.columns
+    schema = T.StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
+    return ranked.select(*names, "_rank").mapInArrow(look_up, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = END, with_ids: bool = False) -> DataFrame:

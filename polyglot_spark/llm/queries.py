@@ -6,25 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from pyspark.sql import functions as F
+
+from . import mixing, packing, simhash, substrings
 from .common import table
 
 
+def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     mixed = mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
     return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_debruijn_substrings": op3_debruijn_substrings,
         "op4_pattern_packing": op4_pattern_packing,
         "op5_curriculum_mixing": op5_curriculum_mixing,
+        "op6_simhash_gray": op6_simhash_gray,
     }
 
 
