@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substrings
+from . import embeddings, mixing, packing, simhash, substrings
 from .common import table
 
 
@@ -30,12 +30,17 @@ def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_debruijn_substrings": op3_debruijn_substrings,
         "op4_pattern_packing": op4_pattern_packing,
         "op5_curriculum_mixing": op5_curriculum_mixing,
         "op6_simhash_gray": op6_simhash_gray,
+        "op8_int8_tiles": op8_int8_tiles,
     }
 
 
