@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, simhash, substrings
-from .common import table
+from . import embeddings, mixing, packing, simhash, substrings, toxicity
+from .common import remainder, table
 
 
 def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pattern_packing": op4_pattern_packing,
         "op5_curriculum_mixing": op5_curriculum_mixing,
         "op6_simhash_gray": op6_simhash_gray,
+        "op7_crf_toxicity": op7_crf_toxicity,
         "op8_int8_tiles": op8_int8_tiles,
     }
 
