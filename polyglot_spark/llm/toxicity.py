@@ -95,7 +95,7 @@ def train(texts: list[str], toxic: list[int], most: int = 1200, length: int = 64
     useful = {f for s, y in zip(segments, labels, strict=True) if any(y) for w, k in zip(s, y, strict=True) if k for f in own_features(w)}
     sequences = [[["bias", *(f for f in own_features(w) if f in useful)] for w in s] for s in segments]
     chain = fit(sequences, labels)
-    odds = np.array([document_odds(chain, words) for words in docs])
+    odds = document_odds(chain, docs)
     y = np.array(toxic, float)
     a, b = 0.0, 1.0
     x = np.clip(odds, -20, 20)
@@ -119,9 +119,11 @@ def any_toxic(log_odds: np.ndarray) -> float:
     return float(np.log(-np.expm1(none)) - none)
 
 
-def document_odds(chain: Chain, words: list[str]) -> float:
-    e = chain.emissions([["bias", *own_features(w)] for w in words])
-    return any_toxic(chain.marginals(e, np.array([len(words)])))
+def document_odds(chain: Chain, docs: list[list[str]]) -> np.ndarray:
+    sizes = np.array([len(d) for d in docs], np.int64)
+    e = chain.emissions([["bias", *own_features(w)] for words in docs for w in words])
+    odds, ends = chain.marginals(e, sizes), np.cumsum(sizes)
+    return np.array([any_toxic(odds[b - n : b]) for b, n in zip(ends, sizes, strict=True)])
 
 
 class Tagger:
