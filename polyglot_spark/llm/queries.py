@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, simhash, substrings, toxicity
+from . import ctw, embeddings, mixing, packing, simhash, substrings, toxicity
 from .common import remainder, table
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -42,6 +46,7 @@ def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_context_tree": op1_context_tree,
         "op3_debruijn_substrings": op3_debruijn_substrings,
         "op4_pattern_packing": op4_pattern_packing,
         "op5_curriculum_mixing": op5_curriculum_mixing,
