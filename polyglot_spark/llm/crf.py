@@ -52,21 +52,21 @@ class Chain:
                 back[at] = after[:live]
         return ahead + back
 
-    def viterbi(self, emissions: np.ndarray) -> np.ndarray:
+    def viterbi(self, emissions) -> list[int]:
         """The best labelling of one sequence."""
-        n = len(emissions)
-        if not n:
-            return np.zeros(0, np.int64)
-        best, came = np.array([self.start[0], self.start[1] + emissions[0]]), np.zeros((n, 2), np.int64)
-        for k in range(1, n):
-            step = best[:, None] + self.trans
-            came[k] = step.argmax(0)
-            best = step.max(0) + np.array([0.0, emissions[k]])
-        path = np.empty(n, np.int64)
-        path[-1] = int(best.argmax())
-        for k in range(n - 1, 0, -1):
-            path[k - 1] = came[k, path[k]]
-        return path
+        if not len(emissions):
+            return []
+        (t00, t01), (t10, t11) = self.trans.tolist()
+        zero, one = float(self.start[0]), float(self.start[1]) + emissions[0]
+        came = []
+        for e in emissions[1:]:
+            stay, leave, enter, keep = zero + t00, one + t10, zero + t01, one + t11
+            came.append((int(leave > stay), int(keep >= enter)))
+            zero, one = max(stay, leave), max(enter, keep) + e
+        path = [int(one > zero)]
+        for step in reversed(came):
+            path.append(step[path[-1]])
+        return path[::-1]
 
     def emissions(self, features: list[list[str]]) -> np.ndarray:
         get = self.weights.get
