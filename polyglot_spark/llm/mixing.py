@@ -111,13 +111,13 @@ def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as it is taken, range-sorted by training position."""
-    columns = docs.columns
+    quoted = [f"`{c}`" for c in docs.columns]
     mixed = mix(docs, **options).where("copies > 0")
-    # Repeated rows have one entry each; they are told apart by nothing, so their positions are pooled and dealt again.
-    pooled = mixed.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("positions")).alias("_positions"), F.count(F.lit(1)).alias("_rows"))
-    left = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = left["doc_id"].eqNullSafe(pooled["doc_id"]) & (left["_text_key"] == pooled["text_key"])
-    joined = left.join(pooled, same).select(*[left[f"`{c}`"] for c in columns], "_positions", "_rows", "_text_key")
-    distinct = joined.where("_rows = 1").select(*[f"`{c}`" for c in columns], F.explode("_positions").alias("_position"))
-    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id", "_text_key"]).select(*[f"`{c}`" for c in columns], F.explode("_positions").alias("_position"))
-    return distinct.unionByName(repeated).orderBy("_position", "doc_id").drop("_position")
+    # Repeated rows have an entry each; nothing tells them apart, so their positions are pooled and dealt to one of them.
+    pooled = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key"))
+    pooled = pooled.agg(F.flatten(F.collect_list("positions")).alias("_positions"), F.count(F.lit(1)).alias("_rows"))
+    own = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_key": F.xxhash64("text")}
+    joined = docs.withColumns(own).join(pooled, list(own))
+    single = joined.where("_rows = 1").select(*quoted, F.explode("_positions").alias("_position"))
+    repeated = joined.where("_rows > 1").dropDuplicates(list(own)).select(*quoted, F.explode("_positions").alias("_position"))
+    return single.unionByName(repeated).orderBy("_position", "doc_id").drop("_position")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ctw, embeddings, mixing, packing, simhash, substrings, toxicity
+from . import chroma, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -16,6 +16,10 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op2_crf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -30,7 +34,7 @@ def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -44,15 +48,29 @@ def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so each turn of ``conversations`` is played word by word and fingerprinted."""
+    turns = table(spark, sf_dir, "conversations")
+    recordings = turns.select((F.coalesce("conv_id", F.lit(-1)) * 1_000_000 + F.coalesce("turn", F.lit(0))).alias("rec_id"), "text")
+    return chroma.group_recordings(recordings, "text", chroma.tones)
+
+
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_by_section(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree": op1_context_tree,
+        "op2_crf_html": op2_crf_html,
         "op3_debruijn_substrings": op3_debruijn_substrings,
         "op4_pattern_packing": op4_pattern_packing,
         "op5_curriculum_mixing": op5_curriculum_mixing,
         "op6_simhash_gray": op6_simhash_gray,
         "op7_crf_toxicity": op7_crf_toxicity,
         "op8_int8_tiles": op8_int8_tiles,
+        "op9_chroma_audio": op9_chroma_audio,
+        "op10_section_tokens": op10_section_tokens,
     }
 
 

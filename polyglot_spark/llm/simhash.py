@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
@@ -46,14 +47,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+    """All columns of ``docs`` but the text, and ``fp``: the fingerprint as a signed long."""
+    others = [c for c in docs.columns if c not in ("text", "fp")]
+    schema = T.StructType([docs.schema[c] for c in others]).add("fp", "long")
 
     def batches(frames):
         for frame in frames:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in frame["text"]), np.uint64, len(frame)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([frame["doc_id"].cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[frame[c] for c in others], pa.array(fp)], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, fp long")
+    return docs.mapInArrow(batches, schema)
 
 
 def signed(mask: int) -> int:
@@ -161,7 +164,7 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: groups of documents linked by near fingerprints.
+    """(doc_id, fp, component_id) of every row, with any further columns: groups of documents linked by near fingerprints.
 
     Defined results: a null or empty text has fingerprint zero and is linked like any
     other; a text of fewer words than a shingle is one shingle; repeated rows and equal
@@ -174,13 +177,13 @@ def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = cut(rooted.join(lowest, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents of ``docs`` that are the first of their group; of repeated rows one stays."""
-    groups = near_groups(docs, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    on = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    first = docs.join(kept, on, "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """One document of each group: the row of the smallest id, of several texts or rows with that id one."""
+    own = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_key": F.xxhash64("text")}
+    groups = near_groups(docs.select("doc_id", "text", *[c.alias(n) for n, c in own.items()]), **options)
+    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone")).agg(F.min(F.struct("_none", "_id", "_key")).alias("at"))
+    kept = docs.withColumns(own).join(first.select("at.*"), list(own))
+    return kept.dropDuplicates(list(own)).select(*[f"`{c}`" for c in docs.columns])
