@@ -1,16 +1,65 @@
-"""Corpus pipeline: stages over documents, each on all that its predecessor kept."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on all that its predecessor kept; all but the last return the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polyglot_spark.llm import mixing, packing, simhash, substrings, toxicity
+from polyglot_spark.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the CRF tagger does not reject."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier document has; ``n_chars`` follows the text."""
+    left = substrings.remove_repeats(docs).drop("n_words", "n_removed", "kept_sha256")
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as its source's target takes it."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    return packing.pack(docs)
 
-from polyglot_spark.llm import mixing, packing
 
 STAGES = [
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("substrings", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
+
+#: Trained models, tokenizers and connected components are beyond one SQL statement; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; every result is written as Parquet and read again for the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    cut(spark.range(0))  # names a folder where the session has none
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    for name, stage in STAGES[:-1]:
+        path = f"{folder.rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
