@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -9,21 +10,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import COMPATIBLE, EngineConfig
-from .text import word_count, words
+from .text import word_count
 
 
-def f_score(precision: Column, recall: Column) -> Column:
-    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+BLANK = re.compile("[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
+
+
+def _f_score(precision: float, recall: float) -> float:
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+
+
+def _overlap(candidate: str, reference: str) -> float:
+    have, want = ([w for w in BLANK.split(t or "") if w] for t in (candidate, reference))
+    if not have or not want:
+        return 0.0
+    known = {w.lower() for w in want}
+    shared = sum(w.lower() in known for w in have)
+    return _f_score(shared / len(have), shared / len(want))
 
 
 def overlap(candidate: Column, reference: Column) -> Column:
     """F score of shared words; a repeated word of the candidate counts each time, so it can exceed 1."""
-    have = words(candidate)
-    want = words(reference)
-    known = F.transform(want, F.lower)
-    shared = F.size(F.filter(have, lambda w: F.array_contains(known, F.lower(w))))
-    score = f_score(shared / F.size(have), shared / F.size(want))
-    return F.when((F.coalesce(F.size(have), F.lit(0)) > 0) & (F.coalesce(F.size(want), F.lit(0)) > 0), score).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_overlap(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return score(candidate, reference)
 
 
 def _grams(text: str, n: int) -> Counter:
@@ -40,8 +53,7 @@ def _character_f(candidate: str, reference: str, n: int) -> float:
     shared = sum(min(k, b[g]) for g, k in a.items())
     if not shared:
         return 0.0
-    precision, recall = shared / a.total(), shared / b.total()
-    return 2 * precision * recall / (precision + recall)
+    return _f_score(shared / a.total(), shared / b.total())
 
 
 def character_f(candidate: Column, reference: Column, n: int = 4) -> Column:

@@ -146,13 +146,20 @@ def packed_sentences(text: Column, room: int = 400) -> Column:
     return F.when(blank(text), F.array().cast("array<string>")).otherwise(F.aggregate(parts, start, add, finish))
 
 
+def _decoded_numbers(text: Column, pattern: str, base: int) -> Column:
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+    def join(gap, digits):
+        # a code point as UTF-32 bytes, read as text
+        char = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+        return F.concat(gap, F.when(digits.isNull(), "").otherwise(char))
+
+    return F.array_join(F.zip_with(gaps, found, join), "")
+
+
 def decoded_entities(text: Column) -> Column:
     """Numeric and the five XML character references decoded, ``&amp;`` first among the named ones."""
-    for pattern, base in ((r"&#[xX]([0-9a-fA-F]+);", 16), (r"&#([0-9]+);", 10)):
-        gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        # a code point as UTF-32 bytes, read as text
-        char = lambda digits, base=base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
-        text = F.array_join(F.zip_with(gaps, found, lambda g, d, char=char: F.concat(g, F.coalesce(char(d), F.lit("")))), "")
+    text = _decoded_numbers(_decoded_numbers(text, r"&#[xX]([0-9a-fA-F]{1,6});", 16), r"&#([0-9]{1,7});", 10)
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -160,7 +167,8 @@ def decoded_entities(text: Column) -> Column:
 
 def repaired(text: Column, lossy: bool = True) -> Column:
     """UTF-8 that was read as Latin-1, read again; kept only if it then holds characters beyond Latin-1."""
-    again = F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+    latin = F.regexp_replace(text, r"[^\x00-\xFF]", "")
+    again = F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
     suspect = ~text.rlike(r"[^\x00-\xFF]") & text.rlike(r"[\x80-\xFF]")
     better = again.rlike(r"[\u0100-\uFFFF]")
     if not lossy:

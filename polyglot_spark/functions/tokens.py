@@ -53,12 +53,16 @@ def brand_pattern(brand: str) -> str:
     return rf"(?i)(?<![A-Za-z0-9_]){quoted(brand)}(?![A-Za-z0-9_])"
 
 
+def _tagged(matches: Column, token: str) -> Column:
+    return F.transform(matches, lambda m: F.struct(F.lit(token).alias("token"), m.alias("original")))
+
+
 def brands_protected(text: Column, brands: list[str]) -> Column:
     """(text, found): brands replaced in list order by ``BRAND_i``, with the spellings found, in order."""
     found = F.array().cast("array<struct<token:string,original:string>>")
     for i, brand in enumerate(brands):
         matches = F.regexp_extract_all(text, F.lit(f"({brand_pattern(brand)})"), F.lit(1))
-        found = F.concat(found, F.transform(matches, lambda m, i=i: F.struct(F.lit(f"BRAND_{i}").alias("token"), m.alias("original"))))
+        found = F.concat(found, _tagged(matches, f"BRAND_{i}"))
         text = F.regexp_replace(text, brand_pattern(brand), f"BRAND_{i}")
     return F.struct(text.alias("text"), found.alias("found"))
 
@@ -70,7 +74,7 @@ def brands_restored(text: Column, found: Column, mode: str = "first") -> Column:
     by_length = F.array_sort(found, lambda a, b: F.length(b["token"]) - F.length(a["token"]))
 
     def once(t, p):
-        at = F.locate(p["token"], t) if isinstance(p, str) else F.instr(t, p["token"])
+        at = F.instr(t, p["token"])
         return F.when(at > 0, F.concat(t.substr(F.lit(1), at - 1), p["original"], t.substr(at + F.length(p["token"]), F.length(t)))).otherwise(t)
 
     return F.aggregate(by_length, text, once)

@@ -1,9 +1,444 @@
-"""The registered queries of the localization engine and their SQL."""
+"""The registered queries of the localization engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..config import COMPATIBLE
+from ..functions import quality
+from ..functions import text as tx
+from ..functions import tokens as tk
+from ..functions.languages import in_target_script, model_code, two_letter_code
+from ..functions.urls import url_verdict
+from ..operators import backends, html_segments, memory
+from ..operators import glossary as gl
+from ..sources import properties
+from . import localize
+
+Query = Callable[[SparkSession, str], DataFrame]
+BRANDS = ["ring", "widget", "bolt"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"id int, {names}")
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    body = ", ".join(f"({i}, {', '.join(map(text, row))})" for i, row in enumerate(rows))
+    return f"(VALUES {body}) AS v(id, {names})"
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("part", "text"))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.keyed(_sentences(spark, sf_dir)).withColumn("target_lang", F.lit("spa_Latn"))
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory that holds the sentences of every third document."""
+    units = _units(spark, sf_dir).where("doc_id % 3 = 0").dropDuplicates(["source_hash"])
+    return units.select("source_hash", "target_lang", F.concat(F.lit("T:"), "source_text").alias("translated_text"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+# --- fixed inputs of the queries that the tables have no cases for --------------------------------------------------
+
+PLACEHOLDERS = [("You have %d of {0} in ${acct}, again %d",), ("{{v}}",), ("%1$s items",), ("{%d} %d",), ("plain",), ("50%off %@",)]
+LOOSE = [("__ PH 0 __ y __PH1__ __ph7__",), ("__PH0__",), ("none",), ("a__ph 1__b",)]
+SCRIPTS = [("Save சேமி",), ("Save",), ("",), ("सहेजें",)]
+CODES = [("es",), ("pt-BR",), ("ta",), ("spa_Latn",), ("xx",), ("x_y",)]
+MODELS = [("spa_Latn",), ("jpn_Jpan",), ("xyz_Abcd",), ("q",)]
+URLS = [("https://example.com/a",), ("",), ("  ",), ("not a url",), ("ftp://example.com",), ("http://localhost:8080",), ("http://192.168.1.4",), ("http://172.16.0.1",), ("http://172.32.0.1",), ("http://10.example.com",), ("http://[::1]/",), ("http://169.254.1.1/x",), ("https://user@127.0.0.1/",), ("http://" + "a" * 2049,)]
+ENTITIES = [("a &amp; b",), ("&amp;lt;",), ("&#233;&#xE9;",), ("&lt;p&gt; &quot;x&quot; &apos;",), ("none",)]
+MOJIBAKE = [("à®¨à®©",), ("plain",), ("café",), ("Ã©",), ("நன",)]
+PATTERNS = [("Delete * files", "Eliminar * archivos"), ("Move * to trash", "Mover * a la papelera"), ("* files", "X")]
+PATTERN_TEXTS = [("Delete 3 files",), ("delete  all   files",), ("files",), ("3 files",), ("Move it to trash",), ("Delete files",)]
+NAMES = [("messages.properties", "ta"), ("", "fr"), ('a"b%c.properties', ""), ("X.PROPERTIES", "pt-BR"), (None, "es")]
+RESOURCE = '# note\n! note\n// note\n\norphan line\na=b=c\n"k" = "v";\nk = v;\nk:v\nempty=\nGreeting = Hello {0}, you have %d new messages. Please read them today.'
+GLOSSARY = {"spa_Latn": {"Save": "Guardar", "Log In": "Iniciar sesión", "The": "El", "and": "y", "of": "de"}}
+
+
+# --- queries ----------------------------------------------------------------------------------------------------------
+
+
+def tm_normalize_hash(spark, sf):
+    docs = _documents(spark, sf)
+    return docs.select("doc_id", tx.normalized(F.col("text")).alias("norm"), tx.text_hash(F.col("text")).alias("hash"))
+
+
+def preprocess_normalize(spark, sf):
+    return _documents(spark, sf).select("doc_id", tx.plain_lines(F.col("text")).alias("norm"))
+
+
+def sentence_split(spark, sf):
+    return _sentences(spark, sf)
+
+
+def long_text_expand(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.posexplode(tx.units(F.col("text"))).alias("part", "unit"))
+
+
+def expand_collapse_roundtrip(spark, sf):
+    parts = long_text_expand(spark, sf)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "unit"))), lambda x: x["unit"])
+    whole = parts.groupBy("doc_id").agg(pieces.alias("u"))
+    return whole.select("doc_id", F.size("u").alias("n_units"), F.when(F.size("u") > 1, tx.trimmed(F.array_join("u", " "))).otherwise(F.col("u")[0]).alias("text"))
+
+
+def merge_broken_lines(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.posexplode(tx.merged_lines(F.col("text"))).alias("n", "paragraph"))
+
+
+def preprocess_sentences(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.posexplode(tx.preprocessed(F.col("text"))).alias("n", "sentence"))
+
+
+def chunk_400(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.posexplode(tx.packed_sentences(F.col("text"))).alias("n", "chunk"))
+
+
+def tm_lookup_left(spark, sf):
+    return memory.looked_up(_units(spark, sf), _seeded(spark, sf)).select("doc_id", "part", "source_hash", "translated_text")
+
+
+def tm_hits_semi(spark, sf):
+    return memory.hits(_units(spark, sf), _seeded(spark, sf)).select("doc_id", "part", "source_hash")
+
+
+def tm_misses_anti(spark, sf):
+    return memory.misses(_units(spark, sf), _seeded(spark, sf)).select("doc_id", "part", "source_hash")
+
+
+def tm_upsert_latest(spark, sf):
+    log = _units(spark, sf).withColumn("version", F.col("doc_id") * 1_000_000 + F.col("part"))
+    return memory.latest(log).select("source_hash", "target_lang", "version", "source_text")
+
+
+def tm_dedupe_ratio(spark, sf):
+    units = _units(spark, sf)
+    return units.agg(F.count(F.lit(1)).alias("n_units"), F.countDistinct("source_hash").alias("n_distinct"))
+
+
+def brand_protect(spark, sf):
+    part = _table(spark, sf, "part").select("p_partkey", tk.brands_protected(F.col("p_name"), BRANDS).alias("b"))
+    return part.select("p_partkey", F.col("b.text").alias("text"), F.size("b.found").alias("n_found"))
+
+
+def brand_restore(spark, sf):
+    part = _table(spark, sf, "part").select("p_partkey", tk.brands_protected(F.col("p_name"), BRANDS).alias("b"))
+    return part.select("p_partkey", tk.brands_restored(F.col("b.text"), F.col("b.found")).alias("text"))
+
+
+def glossary_exact(spark, sf):
+    lines = _documents(spark, sf).select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("n", "word"))
+    return gl.with_glossary(lines, "word", "spa_Latn", gl.from_entries(spark, GLOSSARY)).select("doc_id", "n", "word", "glossary_value")
+
+
+def glossary_pattern(spark, sf):
+    return _values(spark, PATTERN_TEXTS, "text string").select("id", gl.pattern_value(F.col("text"), PATTERNS).alias("value"))
+
+
+def short_string_filter(spark, sf):
+    return _lines(spark, sf).where(tx.short_phrase(F.col("line")))
+
+
+def ui_command_filter(spark, sf):
+    return _lines(spark, sf).where(tx.interface_command(F.col("line")))
+
+
+def fluency_candidates(spark, sf):
+    return _lines(spark, sf).where(tx.word_count(F.col("line")) > COMPATIBLE.fluency_min_words)
+
+
+def numeric_or_keep(spark, sf):
+    return _lines(spark, sf).select("doc_id", "line_no", tx.numeric_only(F.col("line")).alias("numeric"), tx.worth_keeping(F.col("line")).alias("kept"))
+
+
+def placeholder_protect(spark, sf):
+    rows = _values(spark, PLACEHOLDERS, "text string")
+    return rows.select("id", tk.protected(F.col("text"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"), F.array_join(tk.originals(F.col("text"), tk.FILE_PLACEHOLDER), "|").alias("originals"))
+
+
+def placeholder_protect_events(spark, sf):
+    events = _table(spark, sf, "events")
+    return events.select("event_id", tk.protected(F.col("props"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"))
+
+
+def placeholder_restore_fuzzy(spark, sf):
+    known = F.array(F.lit("%d"), F.lit("{0}"))
+    return _values(spark, LOOSE, "text string").select("id", tk.restored_loosely(F.col("text"), known).alias("text"))
+
+
+def fluency_protect(spark, sf):
+    return _values(spark, PLACEHOLDERS, "text string").select("id", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "FLUENCY_TOKEN_").alias("text"))
+
+
+def tone_protect(spark, sf):
+    rows = _values(spark, PLACEHOLDERS, "text string").withColumn("sent", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "UITONE_TOKEN_"))
+    back = tk.restored(F.col("sent"), tk.originals(F.col("text"), tk.TEXT_PLACEHOLDER), "UITONE_TOKEN_")
+    return rows.withColumn("restored", back).select("id", F.col("sent").alias("text"), "restored")
+
+
+def script_detect(spark, sf):
+    rows = _values(spark, SCRIPTS, "text string")
+    return rows.select("id", *[in_target_script(F.col("text"), m).alias(m) for m in ("tam_Taml", "mar_Deva", "spa_Latn")])
+
+
+def lang_map(spark, sf):
+    return _values(spark, CODES, "code string").select("id", model_code(F.col("code")).alias("model"))
+
+
+def iso_map(spark, sf):
+    return _values(spark, MODELS, "model string").select("id", two_letter_code(F.col("model")).alias("iso"))
+
+
+def url_allowed(spark, sf):
+    fixed = _values(spark, URLS, "url string").select(F.col("id").cast("long").alias("id"), F.lit("fixed").alias("kind"), "url")
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), "url")
+    return fixed.union(pages).select("id", "kind", url_verdict(F.col("url")).alias("v")).select("id", "kind", "v.allowed", "v.error")
+
+
+def _pairs(spark, sf):
+    """Each turn against the next of its conversation, and against itself."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
+    return turns.join(after, ["conv_id", "turn"]).withColumn("kind", F.lit("next")).union(turns.withColumns({"translated": F.col("text"), "kind": F.lit("self")}))
+
+
+def quality_scores(spark, sf):
+    scored = quality.with_scores(_pairs(spark, sf), "text", "translated")
+    return scored.select("conv_id", "turn", "kind", *[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "length_score", "confidence")], "flagged")
+
+
+def low_confidence(spark, sf):
+    scored = quality.with_scores(_pairs(spark, sf), "text", "translated").where("flagged")
+    return scored.groupBy("kind", "conv_id").agg(F.array_join(F.sort_array(F.collect_list("turn")), ",").alias("turns"))
+
+
+def entity_decode(spark, sf):
+    return _values(spark, ENTITIES, "text string").select("id", tx.decoded_entities(F.col("text")).alias("text"))
+
+
+def mojibake_fix(spark, sf):
+    return _values(spark, MOJIBAKE, "text string").select("id", tx.repaired(F.col("text")).alias("text"), tx.repaired(F.col("text"), lossy=False).alias("strict"))
+
+
+def properties_parse(spark, sf):
+    files = _documents(spark, sf).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return properties.parsed(files)
+
+
+def properties_rebuild(spark, sf):
+    return properties.rebuilt(properties_parse(spark, sf), "file_id")
+
+
+def properties_fixture(spark, sf):
+    return properties.parsed(spark.createDataFrame([(1, RESOURCE)], "file_id int, content string"))
+
+
+def text_file_roundtrip(spark, sf):
+    files = _documents(spark, sf).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    lines = properties.text_lines(files).withColumn("translated", F.when(F.col("line") != "", F.concat(F.lit("> "), "line")))
+    return properties.rebuilt_text(lines, "file_id")
+
+
+def download_filename(spark, sf):
+    return _values(spark, NAMES, "name string, locale string").select("id", tx.download_name(F.col("name"), F.col("locale")).alias("filename"))
+
+
+def html_segments_query(spark, sf):
+    found = html_segments.segments(_table(spark, sf, "pages"))
+    return found.select("page_id", "seq", "kind", "text", F.size("tag_map").alias("n_tags"), "node_ord")
+
+
+def html_title(spark, sf):
+    return html_segments.segments(_table(spark, sf, "pages")).where("kind = 'title'").select("page_id", "text")
+
+
+def html_nav_items(spark, sf):
+    found = html_segments.segments(_table(spark, sf, "pages")).where("text like 'TAG_OPEN_0 %TAG_CLOSE_0' and size(tag_map) = 2")
+    return found.where(F.col("tag_map")[0]["tag"].startswith("<a href=")).select("page_id", F.regexp_extract("text", "^TAG_OPEN_0 (.*) TAG_CLOSE_0$", 1).alias("item"))
+
+
+def html_segment_stats(spark, sf):
+    found = html_segments.segments(_table(spark, sf, "pages"))
+    return found.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def html_rebuild(spark, sf):
+    pages = _table(spark, sf, "pages")
+    found = html_segments.segments(pages).withColumn("translated", F.col("text"))
+    return html_segments.rebuilt(pages, found, "spa_Latn").select("page_id", "translated_html", "rtl", "warning")
+
+
+def html_rtl(spark, sf):
+    pages = _table(spark, sf, "pages")
+    found = html_segments.segments(pages).withColumn("translated", F.col("text"))
+    return html_segments.rebuilt(pages, found, "arb_Arab").select("page_id", "translated_html", "rtl")
+
+
+def _through(spark, sf, backend):
+    docs = _documents(spark, sf)
+    done, _ = localize.localized(docs, ["doc_id"], "spa_Latn", backend=backend)
+    return done.select("doc_id", "translated", *[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "length_score", "confidence")], "flagged")
+
+
+def pipeline_identity(spark, sf):
+    return _through(spark, sf, backends.identity).select("doc_id", "translated")
+
+
+def pipeline_pseudo(spark, sf):
+    return _through(spark, sf, backends.pseudo)
+
+
+def localize_pages(spark, sf):
+    done, _ = localize.localize_pages(_table(spark, sf, "pages"), "arb_Arab", backend=backends.pseudo)
+    return done.select("page_id", "translated_html", "rtl", "warning")
+
+
+def localize_properties(spark, sf):
+    files = spark.createDataFrame([("messages.properties", RESOURCE)], "filename string, content string")
+    return localize.localize_properties(files, "spa_Latn", backend=backends.pseudo, glossary=gl.from_entries(spark, GLOSSARY))[0]
+
+
+def queries() -> dict[str, Query]:
+    own = [
+        tm_normalize_hash, preprocess_normalize, sentence_split, long_text_expand, expand_collapse_roundtrip, merge_broken_lines,
+        preprocess_sentences, chunk_400, tm_lookup_left, tm_hits_semi, tm_misses_anti, tm_upsert_latest, tm_dedupe_ratio, brand_protect,
+        brand_restore, glossary_exact, glossary_pattern, short_string_filter, ui_command_filter, fluency_candidates, numeric_or_keep,
+        placeholder_protect, placeholder_protect_events, placeholder_restore_fuzzy, fluency_protect, tone_protect, script_detect, lang_map,
+        iso_map, url_allowed, quality_scores, low_confidence, entity_decode, mojibake_fix, properties_parse, properties_rebuild,
+        properties_fixture, text_file_roundtrip, download_filename, html_title, html_nav_items, html_segment_stats, html_rebuild, html_rtl,
+        pipeline_identity, pipeline_pseudo, localize_pages, localize_properties,
+    ]
+    return {f.__name__: f for f in own} | {"html_segments": html_segments_query}
+
+
+# --- SQL ------------------------------------------------------------------------------------------------------------------
+
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_NORM = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+def _split(text: str) -> str:
+    marked = rf"regexp_replace({_TRIM.format(text)}, '([.!?])\s+', '\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {_TRIM.format('s')}), lambda s: s <> '')"
+
+
+_SENTENCES = f"""
+s AS (SELECT doc_id, {_split("text")} AS l FROM documents),
+u AS (SELECT doc_id, (i - 1)::INT AS part, l[i] AS text FROM s, unnest(generate_series(1, len(l))) AS g(i)),
+k AS (SELECT doc_id, part, {_NORM.format("text")} AS source_text, sha256({_NORM.format("text")}) AS source_hash, 'spa_Latn' AS target_lang FROM u)"""
+_MEMORY = _SENTENCES + """,
+m AS (SELECT source_hash, 'T:' || any_value(source_text) AS translated_text FROM k WHERE doc_id % 3 = 0 GROUP BY source_hash)"""
+_UNITS = f"""
+s AS (SELECT doc_id, text, {_split("text")} AS l FROM documents),
+e AS (SELECT doc_id, CASE WHEN length(text) >= 120 AND len(l) > 1 THEN l ELSE [text] END AS l FROM s WHERE text IS NOT NULL)"""
+_LINES = "l AS (SELECT doc_id, (i - 1)::INT AS line_no, p[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(generate_series(1, len(p))) AS g(i))"
+_COUNT = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+_CASES = lambda rows: ", ".join(rows)
+
+
+def _brands(text: str) -> str:
+    for i, brand in enumerate(BRANDS):
+        text = rf"regexp_replace({text}, '\b{brand}\b', 'BRAND_{i}', 'gi')"
+    return text
+
+
+def _expected(rows: list[tuple], names: str) -> str:
+    """Rows worked out by hand."""
+    return f"SELECT * FROM {_sql_values(rows, names)}"
+
+
+_SCORES = r"""
+t AS (SELECT conv_id, turn, text FROM conversations),
+p AS (
+  SELECT a.conv_id, a.turn, a.text AS src, b.text AS tr, 'next' AS kind FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+  UNION ALL SELECT conv_id, turn, text, text, 'self' FROM t),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(tr, '\s+'), lambda x: x <> '') AS c, list_filter(regexp_split_to_array(src, '\s+'), lambda x: x <> '') AS r FROM p),
+o AS (
+  SELECT *, len(list_filter(c, lambda x: list_contains(list_transform(r, lambda y: lower(y)), lower(x)))) AS hit FROM w),
+g AS (
+  SELECT conv_id, turn, kind, side, lower(substr(s, i, 4)) AS gram FROM (
+    SELECT conv_id, turn, kind, 'c' AS side, tr AS s FROM p UNION ALL SELECT conv_id, turn, kind, 'r', src FROM p), unnest(generate_series(1, length(s) - 3)) AS q(i)),
+n AS (SELECT conv_id, turn, kind, gram, count(*) FILTER (side = 'c') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL),
+f AS (SELECT conv_id, turn, kind, sum(least(a, b))::DOUBLE AS m, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM n GROUP BY ALL),
+z AS (
+  SELECT o.conv_id, o.turn, o.kind,
+    CASE WHEN hit = 0 THEN 0.0::DOUBLE ELSE 2 * (hit::DOUBLE / len(c)) * (hit::DOUBLE / len(r)) / (hit::DOUBLE / len(c) + hit::DOUBLE / len(r)) END AS bleu,
+    CASE WHEN coalesce(m, 0) = 0 OR a = 0 OR b = 0 THEN 0.0::DOUBLE ELSE 2 * (m / a) * (m / b) / (m / a + m / b) END AS chrf,
+    (CASE WHEN len(r) = 0 THEN 1 WHEN len(c)::DOUBLE / len(r) BETWEEN 0.5 AND 2 THEN 1 WHEN len(c)::DOUBLE / len(r) < 0.3 OR len(c)::DOUBLE / len(r) > 3 THEN 0.3 ELSE 0.7 END)::DOUBLE AS length_score
+  FROM o LEFT JOIN f ON o.conv_id = f.conv_id AND o.turn = f.turn AND o.kind = f.kind),
+q AS (SELECT *, bleu * 0.35::DOUBLE + chrf * 0.35::DOUBLE + length_score * 0.3::DOUBLE AS confidence FROM z)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    resource = RESOURCE.split("\n")
+    parsed = [("comment", None, None)] * 3 + [("blank", None, None), ("comment", None, None), ("entry", "a", "b=c"), ("entry", "k", "v"), ("entry", "k", "v"), ("comment", None, None), ("entry", "empty", ""), ("entry", "Greeting", resource[-1].partition("= ")[2])]
+    return {
+        "tm_normalize_hash": f"SELECT doc_id, {_NORM.format('text')} AS norm, sha256({_NORM.format('text')}) AS hash FROM documents",
+        "preprocess_normalize": r"SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?|\n|\t', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents",
+        "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, part, text FROM u",
+        "long_text_expand": f"WITH {_UNITS} SELECT doc_id, (i - 1)::INT AS part, l[i] AS unit FROM e, unnest(generate_series(1, len(l))) AS g(i)",
+        "expand_collapse_roundtrip": f"WITH {_UNITS} SELECT doc_id, len(l)::INT AS n_units, CASE WHEN len(l) > 1 THEN {_TRIM.format(chr(97) + 'rray_to_string(l, chr(32))')} ELSE l[1] END AS text FROM e",
+        "tm_lookup_left": f"WITH {_MEMORY} SELECT doc_id, part, source_hash, translated_text FROM k LEFT JOIN m USING (source_hash)",
+        "tm_hits_semi": f"WITH {_MEMORY} SELECT doc_id, part, source_hash FROM k WHERE source_hash IN (SELECT source_hash FROM m)",
+        "tm_misses_anti": f"WITH {_MEMORY} SELECT doc_id, part, source_hash FROM k WHERE source_hash NOT IN (SELECT source_hash FROM m)",
+        "tm_upsert_latest": f"WITH {_SENTENCES} SELECT source_hash, target_lang, doc_id * 1000000 + part AS version, source_text FROM k QUALIFY row_number() OVER (PARTITION BY source_hash ORDER BY doc_id * 1000000 + part DESC) = 1",
+        "tm_dedupe_ratio": f"WITH {_SENTENCES} SELECT count(*) AS n_units, count(DISTINCT source_hash) AS n_distinct FROM k",
+        "brand_protect": rf"SELECT p_partkey, {_brands('p_name')} AS text, len(regexp_extract_all(p_name, '(?i)\b(ring|widget|bolt)\b'))::INT AS n_found FROM part",
+        "brand_restore": "SELECT p_partkey, p_name AS text FROM part",
+        "glossary_exact": rf"WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents), w AS (SELECT doc_id, (i - 1)::INT AS n, l[i] AS word FROM s, unnest(generate_series(1, len(l))) AS g(i)) SELECT doc_id, n, word, CASE WHEN length(word) <= 30 THEN (CASE lower(word) WHEN 'save' THEN 'Guardar' WHEN 'the' THEN 'El' WHEN 'and' THEN 'y' WHEN 'of' THEN 'de' END) END AS glossary_value FROM w",
+        "glossary_pattern": _expected([("Eliminar 3 archivos",), ("Eliminar all archivos",), (None,), (None,), ("Mover it a la papelera",), (None,)], "value"),
+        "short_string_filter": rf"WITH {_LINES} SELECT * FROM l WHERE {_TRIM.format('line')} <> '' AND {_COUNT.format('line')} <= 2 AND length({_TRIM.format('line')}) <= 30",
+        "ui_command_filter": rf"WITH {_LINES} SELECT * FROM l WHERE {_TRIM.format('line')} <> '' AND {_COUNT.format('line')} <= 4 AND length({_TRIM.format('line')}) <= 40 AND NOT regexp_matches({_TRIM.format('line')}, '[.!?]$')",
+        "fluency_candidates": rf"WITH {_LINES} SELECT * FROM l WHERE {_COUNT.format('line')} > 3",
+        "numeric_or_keep": rf"WITH {_LINES} SELECT doc_id, line_no, regexp_full_match(line, '[\d\s.,:+\-/%()]+') AS numeric, {_NORM.format('line')} <> '' AND (length({_NORM.format('line')}) >= 2 OR regexp_matches({_NORM.format('line')}, '[A-Za-zÀ-ſЀ-ӿ؀-ۿ一-鿿]')) AND NOT regexp_full_match({_NORM.format('line')}, '[\d\s.,:+\-/%()]+') AS kept FROM l",
+        "placeholder_protect": _expected([("You have __PH0__ of __PH1__ in __PH2__, again __PH0__", "%d|{0}|${acct}"), ("__PH0__}", "{{v}"), ("%1$s items", ""), ("__PH0__ __PH1__", "{%d}|%d"), ("plain", ""), ("50__PH0__ff __PH1__", "%o|%@")], "text, originals"),
+        "placeholder_protect_events": r"SELECT event_id, regexp_replace(props, '\{[^}]+\}', '__PH0__', 'g') AS text FROM events",
+        "placeholder_restore_fuzzy": _expected([("%d y {0} __ph7__",), ("%d",), ("none",), ("a{0}b",)], "text"),
+        "fluency_protect": _expected([("You have FLUENCY_TOKEN_0 of FLUENCY_TOKEN_1 in FLUENCY_TOKEN_2, again FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0 items",), ("FLUENCY_TOKEN_0 FLUENCY_TOKEN_1",), ("plain",), ("50FLUENCY_TOKEN_0ff FLUENCY_TOKEN_1",)], "text"),
+        "tone_protect": _expected([("You have UITONE_TOKEN_0 of UITONE_TOKEN_1 in UITONE_TOKEN_2, again UITONE_TOKEN_0", PLACEHOLDERS[0][0]), ("UITONE_TOKEN_0", "{{v}}"), ("UITONE_TOKEN_0 items", "%1$s items"), ("UITONE_TOKEN_0 UITONE_TOKEN_1", "{%d} %d"), ("plain", "plain"), ("50UITONE_TOKEN_0ff UITONE_TOKEN_1", "50%off %@")], "text, restored"),
+        "script_detect": "SELECT * FROM (VALUES (0, true, false, false), (1, false, false, false), (2, true, true, true), (3, false, true, false)) AS v(id, \"tam_Taml\", \"mar_Deva\", \"spa_Latn\")",
+        "lang_map": _expected([("spa_Latn",), ("por_Latn",), ("tam_Taml",), ("spa_Latn",), ("xx",), ("x_y",)], "model"),
+        "iso_map": _expected([("es",), ("ja",), ("xy",), ("q",)], "iso"),
+        "url_allowed": "SELECT v.id::BIGINT AS id, 'fixed' AS kind, error IS NULL AS allowed, error FROM " + _sql_values([(e,) for e in (None, "URL is required", "URL is required", "Invalid URL", "Only HTTP and HTTPS URLs are allowed", "URL host not allowed", "URL host not allowed", "URL host not allowed", None, "URL host not allowed", None, "URL host not allowed", "URL host not allowed", "URL too long")], "error") + r" UNION ALL SELECT page_id, 'page', regexp_matches(url, '^https?://'), NULL FROM pages",
+        "quality_scores": f"WITH {_SCORES} SELECT conv_id, turn, kind, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(length_score, 6) AS length_score, round(confidence, 6) AS confidence, confidence < 0.85 AS flagged FROM q",
+        "low_confidence": f"WITH {_SCORES} SELECT kind, conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM q WHERE confidence < 0.85 GROUP BY kind, conv_id",
+        "entity_decode": _expected([("a & b",), ("<",), ("éé",), ("<p> \"x\" '",), ("none",)], "text"),
+        "mojibake_fix": _expected([("நன", "நன"), ("plain", "plain"), ("caf�", "café"), ("Ã©", "Ã©"), ("நன", "நன")], "text, strict"),
+        "properties_parse": rf"""
+WITH {_LINES},
+c AS (SELECT doc_id AS file_id, line_no, line AS raw, {_TRIM.format('line')} AS t, instr(line, '=') AS pos FROM l),
+y AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(#|!|//)') OR pos = 0 THEN 'comment' ELSE 'entry' END AS type,
+  {_TRIM.format("substr(line, 1, pos - 1)").replace("line", "raw")} AS k, {_TRIM.format("substr(line, pos + 1)").replace("line", "raw")} AS v FROM c),
+x AS (SELECT *, CASE WHEN k LIKE '%;' THEN rtrim(k[:-2]) ELSE k END AS k2, CASE WHEN v LIKE '%;' THEN rtrim(v[:-2]) ELSE v END AS v2 FROM y)
+SELECT file_id, line_no, type,
+  CASE WHEN type = 'entry' THEN CASE WHEN length(k2) >= 2 AND k2 LIKE '"%"' THEN k2[2:-2] ELSE k2 END END AS key,
+  CASE WHEN type = 'entry' THEN CASE WHEN length(v2) >= 2 AND v2 LIKE '"%"' THEN v2[2:-2] ELSE v2 END END AS value, raw
+FROM x""",
+        "properties_fixture": "SELECT 1::INT AS file_id, id AS line_no, type, key, value, raw FROM " + _sql_values([(*p, raw) for p, raw in zip(parsed, resource, strict=True)], "type, key, value, raw"),
+        "text_file_roundtrip": rf"WITH {_LINES} SELECT doc_id AS file_id, string_agg(CASE WHEN {_TRIM.format('line')} = '' THEN '' ELSE '> ' || {_TRIM.format('line')} END, chr(10) ORDER BY line_no) AS content FROM l GROUP BY doc_id",
+        "download_filename": _expected([("messages-ta.properties",), ("file-fr.properties",), ("a_b_c-translated.properties",), ("X-pt-BR.properties",), ("file-es.properties",)], "filename"),
+        "html_title": r"SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<title>[^<]*[A-Za-z][^<]*</title>')".replace('\\"', '"'),
+        "html_nav_items": r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(item, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS item FROM pages)".replace('\\"', '"'),
+        "pipeline_identity": f"WITH s AS (SELECT doc_id, {_NORM.format('text')} AS translated FROM documents) SELECT doc_id, coalesce(translated, '') AS translated FROM s",
+    }
