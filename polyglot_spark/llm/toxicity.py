@@ -176,13 +176,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int
     hash of their id.
     """
     known = labels.where(remainder(F.col("doc_id")) != 0).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    texts = docs.where((remainder(F.col("doc_id")) != 0) & (F.length("text") <= chars)).select("doc_id", "text")
-    both = texts.join(known, "doc_id")
-    picked = []
-    for label in (0, 1):
-        some = both.where(F.col("_toxic") == label).orderBy(order_key(F.col("doc_id")), F.xxhash64("text")).limit(rows)
-        picked += [(r["text"], label) for r in some.collect()]  # at most rows * chars characters
-    return train([t for t, _ in picked], [y for _, y in picked])
+    usable = docs.where((remainder(F.col("doc_id")) != 0) & (F.length("text") <= chars))
+    there = known.join(usable.select("doc_id"), "doc_id", "left_semi")
+    ids = [there.where(F.col("_toxic") == label).orderBy(order_key(F.col("doc_id"))).limit(rows) for label in (0, 1)]
+    chosen = [(r["doc_id"], r["_toxic"]) for some in ids for r in some.collect()]  # at most 2 * rows ids
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, _toxic int")
+    texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("_toxic", "doc_id").agg(F.min("text").alias("text"))
+    picked = sorted((r["_toxic"], r["doc_id"], r["text"]) for r in texts.collect())  # at most 2 * rows * chars characters
+    return train([t for _, _, t in picked], [y for y, _, _ in picked])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
