@@ -1,0 +1,124 @@
+from pyspark.sql import functions as F
+
+from polyglot_spark.config import COMPATIBLE
+from polyglot_spark.functions.dom import parse, serialized
+from polyglot_spark.operators import backends, html_segments, memory
+from polyglot_spark.operators.glossary import from_entries, with_glossary
+from polyglot_spark.plans import localize
+from polyglot_spark.sources import properties
+
+
+def texts(body):
+    return [s["text"] for s in html_segments.segments_of(f"<html><body>{body}</body></html>")]
+
+
+def test_segments():
+    assert texts("<p>Hello <b>big</b> world</p>") == ["Hello TAG_OPEN_0 big TAG_CLOSE_0 world"]
+    assert texts("<p>Hello<b>x</b>!</p>") == ["Hello TAG_OPEN_0 x TAG_CLOSE_0 !"]
+    assert texts('<p>a <a href="/x">b <i>c</i></a></p>') == ["a TAG_OPEN_0 b TAG_OPEN_1 c TAG_CLOSE_1 TAG_CLOSE_0"]
+    assert texts("<div>lead<p>inner text</p></div>") == ["inner text"]
+    assert texts('<div>lead text<p translate="no">x</p></div>') == ["lead text"]
+    assert texts("<p>one<br>two</p>") == ["one two"]
+    assert texts("<p>12.50</p><p><b>12</b></p>") == ["TAG_OPEN_0 12 TAG_CLOSE_0"]
+    assert texts("<p>run <code>x</code> now</p>") == ["run now"]
+    assert texts(f"<p>{'x' * 3001}</p>") == []
+    assert texts("<p><b>one<p>two") == ["TAG_OPEN_0 one TAG_CLOSE_0", "TAG_OPEN_0 two TAG_CLOSE_0"]
+
+
+def test_title_and_description_come_first():
+    page = '<title>Hi you</title><meta name="description" content="D text"><body><p>block</p>'
+    assert [s["kind"] for s in html_segments.segments_of(page)] == ["title", "meta-description", "block"]
+
+
+def test_tree_is_canonical_and_stable():
+    page = "<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><script>if (a < b) '</p>'</script>"
+    once = serialized(parse(page))
+    assert serialized(parse(once)) == once
+
+
+def test_rebuild_and_right_to_left():
+    rows = [{"seq": 0, "kind": "block", "text": "a TAG_OPEN_0 b TAG_CLOSE_0", "translated": "TAG_OPEN_0 B TAG_CLOSE_0 A", "tag_map": [{"token": "TAG_OPEN_0", "tag": "<b>"}, {"token": "TAG_CLOSE_0", "tag": "</b>"}], "node_ord": 0}]
+    out = html_segments.put_back("<p>a <b>b</b></p>", rows, "arb_Arab")
+    assert "<p><b> B </b> A</p>" in out and 'dir="rtl"' in out and "rtl-override" in out
+    kept = html_segments.put_back("<p>a <b>b</b></p>", [{**rows[0], "translated": "lost"}], "spa_Latn", COMPATIBLE.strict())
+    assert "<b> b </b>" in kept
+
+
+def test_pages_without_segments_keep_their_markup(spark):
+    pages = spark.createDataFrame([(1, "<p>12</p>"), (2, "<p>word here</p>"), (3, None)], "page_id long, html string")
+    out = {r.page_id: r for r in localize.localize_pages(pages, "spa_Latn", backend=backends.pseudo)[0].collect()}
+    assert out[1].translated_html == "<p>12</p>" and out[1].warning and out[3].translated_html is None
+    assert "[spa_Latn] word here" in out[2].translated_html and out[2].warning is None
+
+
+def test_glossary(spark):
+    entries = from_entries(spark, {"spa_Latn": {"Log In": "Iniciar sesión", "log in": "second", "Save": "Guardar"}, "_note": {"Save": "x"}})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([" log   IN ", "Save your work", "Save", " ", None, "Delete 3 files", "files"])], "i int, text string")
+    out = with_glossary(rows, "text", "spa_Latn", entries, [("Delete * files", "Eliminar * archivos"), ("* files", "X")])
+    assert [r.glossary_value for r in out.orderBy("i").collect()] == ["Iniciar sesión", None, "Guardar", "", "", "Eliminar 3 archivos", None]
+    assert with_glossary(rows, "text", "nld_Latn", entries).where("glossary_value <> ''").count() == 0
+
+
+def test_memory_asks_once_for_each_text(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(texts, lang):
+        asked.add(len(texts))
+        return [t.upper() for t in texts]
+
+    store = memory.TranslationMemory(spark, str(tmp_path / "tm"))
+    units = spark.createDataFrame([(1, "a b"), (2, " a  b "), (3, "c")], "id int, text string")
+    for expected in (2, 2):
+        done, fresh = memory.translate(units, store.entries("spa_Latn"), backends.batches(count), "spa_Latn")
+        fresh = fresh.cache()
+        n = fresh.count()
+        if n:
+            store.store(fresh)
+        assert asked.value == expected
+    assert sorted(r.translated_text for r in store.entries().collect()) == ["A B", "C"]
+    store.store(store.entries().withColumn("translated_text", F.lit("new")))
+    assert {r.translated_text for r in store.compact(str(tmp_path / "tm2")).entries().collect()} == {"new"}
+
+
+def test_backends_fall_back(spark):
+    def broken(texts, lang):
+        raise RuntimeError
+
+    rows = spark.createDataFrame([("a",), ("",)], "t string")
+    short = lambda texts, lang: []
+    good = lambda texts, lang: [t + "!" for t in texts]
+    run = lambda *b: sorted(r.o for r in backends.batches(*b)(rows, "t", "o", "x").collect())
+    assert run(broken, short, good) == ["", "a!"]
+    assert run(broken) == ["", "a"]
+
+
+def test_flagged_units_are_sent_again_unsplit(spark):
+    rows = spark.createDataFrame([(1, "Save"), (2, "x" * 118 + ". yes."), (3, None)], "doc_id int, text string")
+    entries = from_entries(spark, {"spa_Latn": {"Save": "Guardar"}})
+    mark = lambda texts, lang: [f"<{t}>" for t in texts]
+    out, _ = localize.localized(rows, ["doc_id"], "spa_Latn", backend=backends.batches(mark), glossary=entries)
+    got = {r.doc_id: r.translated for r in out.collect()}
+    assert got == {1: "<Save>", 2: "<" + "x" * 118 + ". yes.>", 3: ""}
+    kept, _ = localize.localized(rows, ["doc_id"], "spa_Latn", backend=backends.batches(mark), glossary=entries, config=COMPATIBLE.strict())
+    assert {r.doc_id: r.translated for r in kept.collect()}[1] == "Guardar"
+
+
+def test_hooks_see_protected_placeholders(spark):
+    rows = spark.createDataFrame([(1, "You have %d new messages {name}")], "doc_id int, text string")
+    seen = lambda texts, lang: [t.replace("FLUENCY_TOKEN_0", "FLUENCY_TOKEN_0!") for t in texts]
+    out, _ = localize.localized(rows, ["doc_id"], "spa_Latn", fluency=backends.batches(seen))
+    assert out.first().translated == "You have %d! new messages {name}"
+
+
+def test_properties_round_trip(spark, tmp_path):
+    (tmp_path / "m.properties").write_bytes(b'a=1\r\n\r\n"k" = "v";\n')
+    (tmp_path / "other.txt").write_text("x=1")
+    files = properties.read_files(spark, str(tmp_path))
+    assert [r.filename for r in files.collect()] == ["m.properties"]
+    assert properties.rebuilt(properties.parsed(files), "filename").first().content == "a = 1\n\nk = v\n"
+
+
+def test_same_result_for_any_partitioning(spark):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text no. "), F.col("id") % 7).alias("text"))
+    results = [sorted(localize.localized(rows.repartition(n), ["doc_id"], "spa_Latn", backend=backends.pseudo)[0].select("doc_id", "translated").collect()) for n in (1, 8)]
+    assert results[0] == results[1]
