@@ -114,10 +114,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     quoted = [f"`{c}`" for c in docs.columns]
     mixed = mix(docs, **options).where("copies > 0")
     # Repeated rows have an entry each; nothing tells them apart, so their positions are pooled and dealt to one of them.
-    pooled = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_key").alias("_key"))
-    pooled = pooled.agg(F.flatten(F.collect_list("positions")).alias("_positions"), F.count(F.lit(1)).alias("_rows"))
-    own = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_key": F.xxhash64("text")}
+    pooled = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__own_id"), F.col("doc_id").isNull().alias("__own_none"), F.col("text_key").alias("__own_key"))
+    pooled = pooled.agg(F.flatten(F.collect_list("positions")).alias("__own_positions"), F.count(F.lit(1)).alias("__own_rows"))
+    own = {"__own_id": F.coalesce("doc_id", F.lit(0)), "__own_none": F.col("doc_id").isNull(), "__own_key": F.xxhash64("text")}
     joined = docs.withColumns(own).join(pooled, list(own))
-    single = joined.where("_rows = 1").select(*quoted, F.explode("_positions").alias("_position"))
-    repeated = joined.where("_rows > 1").dropDuplicates(list(own)).select(*quoted, F.explode("_positions").alias("_position"))
-    return single.unionByName(repeated).orderBy("_position", "doc_id").drop("_position")
+    single = joined.where("__own_rows = 1").select(*quoted, F.explode("__own_positions").alias("__own_position"))
+    repeated = joined.where("__own_rows > 1").dropDuplicates(list(own)).select(*quoted, F.explode("__own_positions").alias("__own_position"))
+    return single.unionByName(repeated).orderBy("__own_position", "doc_id").drop("__own_position")

@@ -182,8 +182,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One document of each group: the row of the smallest id, of several texts or rows with that id one."""
-    own = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_key": F.xxhash64("text")}
+    own = {"__own_id": F.coalesce("doc_id", F.lit(0)), "__own_none": F.col("doc_id").isNull(), "__own_key": F.xxhash64("text")}
     groups = near_groups(docs.select("doc_id", "text", *[c.alias(n) for n, c in own.items()]), **options)
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone")).agg(F.min(F.struct("_none", "_id", "_key")).alias("at"))
+    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone")).agg(F.min(F.struct("__own_none", "__own_id", "__own_key")).alias("at"))
     kept = docs.withColumns(own).join(first.select("at.*"), list(own))
     return kept.dropDuplicates(list(own)).select(*[f"`{c}`" for c in docs.columns])

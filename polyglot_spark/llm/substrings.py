@@ -210,10 +210,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts:
     runs = cut(covered_runs(docs, window, k, scratch))
     scratch.clear()
     own = ["n_words", "n_removed", "kept_sha256"]
-    others = [c for c in docs.columns if c not in {*own, "_key", "_runs"}] if texts else ["doc_id"]
-    rows = docs.select(*[f"`{c}`" for c in dict.fromkeys([*others, "doc_id", "text"])], F.xxhash64("text").alias("_key"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("runs").alias("_runs"))
-    joined = rows.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left").drop("_id", "_text", "_key")
+    others = [c for c in docs.columns if c not in {*own, "__own_key", "__own_runs"}] if texts else ["doc_id"]
+    rows = docs.select(*[f"`{c}`" for c in dict.fromkeys([*others, "doc_id", "text"])], F.xxhash64("text").alias("__own_key"))
+    runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("runs").alias("__own_runs"))
+    joined = rows.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("__own_key") == F.col("_text")), "left").drop("_id", "_text", "__own_key")
     schema = T.StructType([rows.schema[c] for c in others])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts:
         for frame in frames:
             for first in range(0, len(frame), 1000):
                 part = frame.slice(first, 1000)
-                made = [_kept(t, r) for t, r in zip(part["text"].to_pylist(), part["_runs"].to_pylist(), strict=True)]
+                made = [_kept(t, r) for t, r in zip(part["text"].to_pylist(), part["__own_runs"].to_pylist(), strict=True)]
                 kept = [pa.array([m[3] for m in made], pa.string()) if c == "text" else part[c] for c in others]
                 sha = [hashlib.sha256(m[2].encode("utf-8", "surrogatepass")).hexdigest() for m in made]
                 added = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array(sha, pa.string())]

@@ -218,5 +218,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the model does not reject, with their columns unchanged."""
-    scored = score(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), fit_on(docs, labels, **options))
-    return scored.where("predicted = 0").select("_row.*")
+    scored = score(docs.withColumn("__own_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__own_row", "text"), fit_on(docs, labels, **options))
+    return scored.where("predicted = 0").select("__own_row.*")
