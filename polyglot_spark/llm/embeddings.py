@@ -1,7 +1,7 @@
 """Embedding near-dedup: int8 tile products with rigorous error bounds.
 
 Vectors are scaled to length one and rounded to 8-bit integers with one step per
-vector.  The products of two tiles of integers are exact in single precision, and the
+tile.  The products of two tiles of integers are exact in single precision, and the
 lengths of the rounding errors bound how far each differs from the true cosine.
 Pairs that may lie above the threshold are computed again in double precision; all
 others are settled by the bound.  Equal vectors are compared once, with their number.
@@ -13,12 +13,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
-TILE = 2048
+TILE = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -28,24 +29,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v"), F.coalesce(sound, F.lit(False)).alias("usable"))
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Integer rows (as float32), their step, and the length of the rounding error of unit vectors ``x``."""
-    step = np.abs(x).max(1) / 127
-    q = np.rint(x / step[:, None])
-    return q.astype(np.float32), step, np.linalg.norm(x - q * step[:, None], axis=1)
+def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Integer rows (as float32), the step of the tile, and the length of each row's rounding error."""
+    step = float(np.abs(x).max()) / 127
+    q = np.rint(x / step)
+    return q.astype(np.float32), step, np.linalg.norm(x - q * step, axis=1)
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int = 512):
+def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int = 256):
     """Index pairs (i, j) of unit rows with cosine >= threshold; within ``x`` (i < j) if ``y`` is None."""
     q, step, error = quantise(x)
     y, (r, y_step, y_error) = (x, (q, step, error)) if y is None else (y, quantise(y))
     same = y is x
     for at in range(0, len(x), rows):
-        part = slice(at, at + rows)
-        near = q[part] @ r.T  # sums of at most 127 * 127 * dimensions: exact below 2**24, else covered by the slack
-        slack = error[part].max() + y_error.max() * (1 + error[part].max()) + 1e-5
-        i, j = np.nonzero(near >= ((threshold - slack) / step[part])[:, None].astype(np.float32) / y_step.astype(np.float32) - 1e-3)
-        value = near[i, j] * step[part][i] * y_step[j]
+        near = q[at : at + rows] @ r.T  # sums of at most 127 * 127 * dimensions: exact below 2**24, else covered by the slack
+        slack = error[at : at + rows].max() + y_error.max() * (1 + error[at : at + rows].max()) + 1e-5
+        least = np.float32((threshold - slack) / (step * y_step))
+        if near.max() < least:
+            continue
+        i, j = np.nonzero(near >= least)
+        value = near[i, j].astype(float) * (step * y_step)
         i = i + at
         bound = error[i] + y_error[j] * (1 + error[i]) + 1e-5
         if same:
@@ -61,6 +64,17 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int
                 yield a[above], b[above]
 
 
+def packed_tile(table: pa.Table) -> pa.Table:
+    """Task body: the vectors of a tile, scaled to length one, as one binary value."""
+    size = table["size"][0].as_py()
+    rows = np.zeros(table.num_rows, np.dtype([("rep", "<i8"), ("copies", "<i8"), ("v", "<f8", (size,))]))
+    rows["rep"], rows["copies"] = table["rep"].to_numpy(), table["copies"].to_numpy()
+    x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    x = x / np.abs(x).max(1)[:, None]
+    rows["v"] = x / np.linalg.norm(x, axis=1)[:, None]
+    return pa.table({"size": pa.array([size], pa.int32()), "tile": table["tile"].slice(0, 1), "m": pa.array([rows.tobytes()], pa.binary())})
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
@@ -80,22 +94,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -
     tiles = max(1, math.ceil(total / tile))
     number = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(tiles)).cast("int")
     members = distinct.withColumn("tile", number)
-    packed = cut(members.groupBy("size", "tile").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("m")))  # about `tile` rows each
+    packed = cut(members.groupBy("size", "tile").applyInArrow(packed_tile, "size int, tile int, m binary"))  # about `tile` vectors each
     left = packed.withColumn("other", F.explode(F.sequence("tile", F.lit(tiles - 1)))).withColumnRenamed("m", "x")
     right = packed.select("size", F.col("tile").alias("other"), F.col("m").alias("y"))
-    pairs = left.join(right, ["size", "other"]).select("tile", "other", "x", F.when(F.col("tile") != F.col("other"), F.col("y")).alias("y"))
+    pairs = left.join(right, ["size", "other"]).select("size", "tile", "other", "x", F.when(F.col("tile") != F.col("other"), F.col("y")).alias("y"))
 
-    def matrix(m):
-        ids, copies = (np.array([r[c] for r in m], np.int64) for c in ("rep", "copies"))
-        x = np.array([r["v"] for r in m], np.float64)
-        x /= np.abs(x).max(1)[:, None]
-        return ids, copies, x / np.linalg.norm(x, axis=1)[:, None]
+    def matrix(data, size):
+        rows = np.frombuffer(data, np.dtype([("rep", "<i8"), ("copies", "<i8"), ("v", "<f8", (size,))]))
+        return rows["rep"].copy(), rows["copies"].copy(), rows["v"].copy()
 
     def work(frames):
         for frame in frames:
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                ids, copies, x = matrix(x)
-                other = (ids, copies, None) if y is None else matrix(y)
+            for size, x, y in zip(frame["size"], frame["x"], frame["y"], strict=True):
+                ids, copies, x = matrix(x, size)
+                other = (ids, copies, None) if y is None else matrix(y, size)
                 n, m = len(ids), len(other[0])
                 all_ids = ids if y is None else np.concatenate([ids, other[0]])
                 count = np.zeros(len(all_ids), np.int64)
