@@ -26,7 +26,7 @@ class WordEncoder:
     holds ``most`` words, which changes speed only.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

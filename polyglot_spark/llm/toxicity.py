@@ -129,7 +129,7 @@ def document_odds(chain: Chain, docs: list[list[str]]) -> np.ndarray:
 class Tagger:
     """Scores texts; the emission of each distinct word is remembered (emptied when large)."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
         self.known: dict[str, float] = {}
 
@@ -206,8 +206,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def batches(frames):
         tagger = Tagger(model)
         for frame in frames:
-            for first in range(0, len(frame), 1000):
-                part = frame.slice(first, 1000)
+            for first in range(0, len(frame), 500):
+                part = frame.slice(first, 500)
                 found = tagger.tag(part["text"].to_pylist())
                 scores = [s for s, _ in found]
                 added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([x for _, x in found], span)]
