@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import remainder
 from .substrings import Scratch
 
-DEPTH, SHARED, CHUNK, MERGED = 6, 3, 48 << 20, 64
+DEPTH, SHARED, CHUNK, MERGED = 6, 3, 36 << 20, 64
 #: Fixed value: a byte that no UTF-8 text holds marks the end of a text and what lies before its start.
 END = 0xFF
 STRETCH, WORD_KEY = 0, 1
@@ -298,6 +298,17 @@ def word_values(tables):
         yield pa.RecordBatch.from_arrays([table["bucket"], table["keys"], pa.array(values, pa.binary())], ["bucket", "model", "values"])
 
 
+def values_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of wanted keys; they are sorted first, so that each distinct one is looked up once and in order."""
+    order = np.argsort(wanted)
+    ranked = wanted[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    found = values[np.searchsorted(keys, ranked[fresh])]
+    out = np.empty(len(wanted))
+    out[order] = found[np.cumsum(fresh) - 1]
+    return out
+
+
 def chunk_scores(depth: int, n_train: int, n_types: int):
     """Task body: the scores of a chunk's documents from the values of its stretches and words."""
 
@@ -313,10 +324,10 @@ def chunk_scores(depth: int, n_train: int, n_types: int):
         for first, last in parts(docs["text"]):
             texts = lowered(docs["text"].slice(first, last - first))
             codes, sizes = stretches(texts, depth)
-            lengths = tables[STRETCH][1][np.searchsorted(tables[STRETCH][0], codes)]
+            lengths = values_at(*tables[STRETCH], codes)
             out["score"].append(np.add.reduceat(lengths, np.cumsum(sizes) - sizes))
             codes, sizes = word_keys(texts)
-            seen = tables[WORD_KEY][1][np.searchsorted(tables[WORD_KEY][0], codes)]
+            seen = values_at(*tables[WORD_KEY], codes)
             first_of = np.cumsum(sizes) - sizes
             out["n_tokens"].append(sizes)
             out["n_known"].append(np.add.reduceat((seen > 0).astype(np.int64), first_of))
