@@ -218,5 +218,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the model does not reject, with their columns unchanged."""
-    scored = score(docs.withColumn("__own_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__own_row", "text"), fit_on(docs, labels, **options))
-    return scored.where("predicted = 0").select("__own_row.*")
+    names = docs.columns
+    apart = docs.toDF(*[c if c == "text" else f"__own_{k}" for k, c in enumerate(names)])  # clear of the columns that score adds
+    return score(apart, fit_on(docs, labels, **options)).where("predicted = 0").drop("score", "predicted", "spans").toDF(*names)
