@@ -436,6 +436,50 @@ def test_audio_alignment_finds_the_shift(spark):
     assert chroma.group_recordings(rows.where("false"), "text", chroma.tones).count() == 0
 
 
+def test_audio_links_all_windows_within_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    song = rng.integers(0, 1 << 32, 60, np.uint32)
+
+    def noisy(codes, share):
+        flipped = np.packbits(rng.random((len(codes), 32)) < share, axis=1).view(np.uint32).ravel()
+        return codes ^ flipped
+
+    exact = song[20:36].copy()
+    for k in range(76):  # as many errors as a window may have, spread so that no code is equal
+        exact[k % 16] ^= np.uint32(1 << (7 * (k // 16) + k % 3))
+    sounds = {i: rng.integers(0, 1 << 32, 30, np.uint32) for i in range(20, 60)}
+    sounds |= {i: np.concatenate([rng.integers(0, 1 << 32, i, np.uint32), noisy(song, 0.1)]) for i in range(1, 13)}
+    sounds |= {0: song, 13: exact, 14: exact ^ np.uint32(1 << 31), 15: song[:6], 16: song[3:5]}
+    codes = {i: x.tobytes() for i, x in sounds.items()}
+    want = {i: {i} for i in codes}
+    for i in codes:
+        for j in codes:
+            n = len(codes[i]) // 4
+            m = len(codes[j]) // 4
+            shifts = range(-n + 1, m)
+            if min(n, m) < chroma.SPAN:
+                x, y = sounds[i], sounds[j]
+                shifts = [s for s in shifts if any((x[k : k + 3] == y[k + s : k + s + 3]).all() for k in range(max(0, -s), min(n, m - s) - 2))]
+            if i < j and any(chroma.matched_codes(codes[i], codes[j], s) for s in shifts):
+                both = want[i] | want[j]
+                want |= dict.fromkeys(both, both)
+    monkeypatch.setattr(chroma, "PIECE", 40)  # recordings of several pieces
+    whole = chroma.fingerprints
+    try:
+        chroma.fingerprints = lambda rows, column, *_: rows.select("rec_id", F.col(column).alias("codes"))
+        rows = spark.createDataFrame([(i, bytearray(x)) for i, x in codes.items()], "rec_id long, codes binary")
+        for tile in (1 << 19, 500):
+            _, pairs = chroma.aligned(rows, "codes", tile=tile)
+            keys = {r.key: r.rec_id for r in rows.select("rec_id", F.xxhash64("codes").alias("key")).collect()}
+            got = {i: {i} for i in codes}
+            for r in pairs.collect():
+                both = got[keys[r.a]] | got[keys[r.b]]
+                got |= dict.fromkeys(both, both)
+            assert got == want and set(range(16)) <= got[0] | {14} and got[16] == {16}
+    finally:
+        chroma.fingerprints = whole
+
+
 # --- token counts ---------------------------------------------------------------------------------------------------------
 
 
