@@ -5,11 +5,20 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Controls that str.split() takes for white space and the tokenizer encodes; a word that the tokenizer does not cut.
+SEPARATORS, WORDS = re.compile("[\x1c-\x1f]"), re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text between what the tokenizer drops as white space."""
+    return WORDS.findall(text) if SEPARATORS.search(text) else text.split()
+
 
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
@@ -62,7 +71,7 @@ class WordEncoder:
         """One uint32 array for each text."""
         if len(self.place) > self.most:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [split_words(t) for t in texts]
         place = self.place
         fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in place))
         self.learn(fresh)

@@ -246,6 +246,18 @@ def test_pattern_plan_uses_every_piece_once(seed):
     assert (used == hist).all()
 
 
+def test_words_are_encoded_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    from polyglot_spark.llm.tokens import WordEncoder, vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), WordEncoder(path)
+    chars = [chr(c) for c in [*range(0x0, 0x100), 0x180E, 0xFEFF, *range(0x2000, 0x2070)]] + [chr(c) for c in range(0x100, 0x3100) if chr(c).isspace()]
+    texts = [s.format(c) for c in chars for s in ("the{}cat", "the{} cat", "the {}cat", "the {} cat", "{}the", "the{}", "{0}{0}", "\x1f{}\x1c")]
+    assert [x.tolist() for x in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_odd_rows(odd, nothing):
     out = rows_of(packing.pack(odd, with_ids=True))
     assert sum(p["length"] == 1 for p in out) == 3 and all(len(p["ids"]) == p["length"] for p in out)
