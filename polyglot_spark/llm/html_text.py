@@ -23,12 +23,14 @@ from .crf import Chain, fit
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|svg|select|iframe|canvas)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements without text of the page that are left out as far as their end tag; without one only their start tag is.
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "svg", "select", "canvas")}
 NAMES = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -54,7 +56,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of the leaf blocks of a page, in page order."""
     blocks, stack, buffer = [], [], []
     linked = link_from = at = 0
-    link = False
+    link, unclosed = False, set()
 
     def flush():
         nonlocal buffer, linked
@@ -72,7 +74,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
             if link:
                 linked += len(text)
 
-    for m in TAG.finditer(page or ""):
+    while m := TAG.search(page or "", at):
         put(page[at : m.start()])
         at = m.end()
         name = m[3] or m[6]
@@ -80,7 +82,14 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
             buffer.append("" if m[1] is None else " ")
             continue
         name, closing = name.lower(), bool(m[2] or m[5])
-        if name == "a":
+        if name in HIDDEN and not closing and name not in unclosed:
+            if name != "svg" or not m[0].endswith("/>"):
+                if end := HIDDEN[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            buffer.append(" ")
+        elif name == "a":
             link = not closing
         elif name == "br":
             buffer.append(" ")

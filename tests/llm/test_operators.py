@@ -146,6 +146,17 @@ def test_extraction_of_pages(spark):
         assert "&amp;" not in r.text.replace("&amp;amp;", "") and "track(" not in r.text
 
 
+def test_elements_without_end_tag_keep_the_rest_of_the_page():
+    texts = lambda page: [x for x, _ in html_text.leaf_blocks(page)]
+    for tag in ("<svg width='1'/>", '<svg viewBox="0 0 1 1" />', "<svg>", "<select>", "<template>", "<noscript>", "<canvas>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><svg/><p>two</p><svg><text>x</text></svg><p>three</p>") == ["one", "two", "three"]
+    for name in ("svg", "select", "template", "noscript", "canvas", "script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>one</p><{name} a='>'>x<b>y</b></{name} ><p>two</p>") == ["one", "two"]
+    for name in ("script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>one</p><{name}/><p>two</p>") == ["one"]
+
+
 def test_extraction_odd_pages(spark):
     page = "<body><nav><a href=/>Home</a></nav><article><h1>A &amp; b</h1><p>One   two.\n three.<script>x('</p>')</script><p>Four &#233;.</article><section class=comments><p>Nice text here.</p></section><footer>(c) all</footer>"
     rows = [(1, "u", page, "own"), (1, "u", page, "own"), (2, None, None, None), (3, "u", "", ""), (4, "u", "<<<p", "x")]
