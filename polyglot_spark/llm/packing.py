@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, order_key, running_total
-from .tokens import vocabulary, word_encoder
+from .tokens import slices, vocabulary, word_encoder
 
 ROOM, END = 4096, 1
 
@@ -31,14 +31,13 @@ def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, w
     def cut_up(batches):
         encoder = word_encoder(path)
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.slice(first, 500)
-                texts = ["" if t is None else t for t in part["text"].to_pylist()]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(texts), strict=True):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), room)):
-                        piece = ids[at : at + room]
+            for first, last in slices(batch["text"]):
+                ids, sizes = encoder.encode(batch["text"].slice(first, last - first))
+                ends, rows = np.cumsum(sizes).tolist(), []
+                for doc_id, stop, size in zip(batch["doc_id"].slice(first, last - first).to_pylist(), ends, sizes.tolist(), strict=True):
+                    own = np.append(ids[stop - size : stop], np.uint32(end)).astype("<u4")
+                    for k, at in enumerate(range(0, len(own), room)):
+                        piece = own[at : at + room]
                         row = (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()))
                         rows.append((*row, piece) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

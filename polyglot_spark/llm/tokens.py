@@ -1,23 +1,54 @@
-"""Tokenizer access inside tasks.  Vocabulary files are read from a given path, never copied."""
+"""Words and token ids inside tasks, worked out for each distinct word once.
+
+Vocabulary files are read from a given path, never copied.
+"""
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Controls that str.split() takes for white space and the tokenizer encodes; a word that the tokenizer does not cut.
-SEPARATORS, WORDS = re.compile("[\x1c-\x1f]"), re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
+#: White space beyond ASCII, which the tokenizer drops like blanks.
+WIDE_BLANKS = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Words that Arrow and the tokenizer lower and cut alike: letters of one code point whose lower case is one, and no added token.
+UNLIKE = r"[^!-~\x{A1}-\x{12F}\x{131}-\x{17E}\x{180}-\x{24F}]|<\|"
+NOT_LETTERS = r"[^a-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+#: Fixed value: the tokenizer's own pattern of the pieces of a lower-cased word.
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+
+
+def slices(texts: pa.Array, most: int = 8 << 20):
+    """Row ranges of a text column with about ``most`` bytes each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(texts):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield first, last
+        first = last
+
 
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word's entry in text order, number of words of each text); words lie between ASCII blanks."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = split.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    ends = before[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))] if len(split) else np.zeros(0, np.int64)
+    coded = flat.filter(there).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.diff(ends, prepend=0)
 
-def split_words(text: str) -> list[str]:
-    """The words of a text between what the tokenizer drops as white space."""
-    return WORDS.findall(text) if SEPARATORS.search(text) else text.split()
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, one after another."""
+    after = np.cumsum(sizes)
+    return values[np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)]
 
 
 def vocabulary(name: str) -> str:
@@ -27,66 +58,104 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of whole texts for a tokenizer that splits at white space and drops it.
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable ones for themselves, the others in order from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
-    Words recur, so each distinct word is encoded once and remembered; the ids of a
-    text are those of its words one after another.  The memory is emptied when it
-    holds ``most`` words, which changes speed only.
-    """
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+class Remembered:
+    """Ids of texts by a function that codes many at once; texts met repeatedly are remembered, up to ``most`` of them."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+    def __init__(self, code, most: int):
+        self.code, self.most = code, most
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            total, first = int(sizes.sum()), len(self.place)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(part) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, total)
-            ends = self.used + np.cumsum(sizes)
-            self.ends[first : first + len(part)] = ends
-            self.starts[first : first + len(part)] = ends - sizes
-            self.used += total
-            self.place.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """One uint32 array for each text."""
-        if len(self.place) > self.most:
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[str], again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): where the ids of each text lie; ``again`` marks texts that are worth remembering."""
+        at = np.fromiter((self.place.get(t, -1) for t in texts), np.int64, len(texts))
+        fresh = np.flatnonzero(at < 0)
+        ids, size = self.code([texts[k] for k in fresh])
+        sizes = np.concatenate([np.diff(self.ends, prepend=0), size])
+        ids = np.concatenate([self.ids, ids])
+        at[fresh] = len(self.ends) + np.arange(len(fresh))
+        first, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        kept = fresh[again[fresh]]
+        if len(self.place) + len(kept) > self.most:
             self.clear()
-        split = [split_words(t) for t in texts]
-        place = self.place
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in place))
-        self.learn(fresh)
-        place = self.place
-        out = []
-        for ws in split:
-            if not ws:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            start, size = self.starts[at], self.ends[at] - self.starts[at]
-            after = np.cumsum(size)
-            take = np.repeat(start - (after - size), size) + np.arange(after[-1] if len(after) else 0)
-            out.append(self.ids[take])
-        return out
+        self.place.update(zip([texts[k] for k in kept], range(len(self.place), len(self.place) + len(kept)), strict=True))
+        self.ids = np.concatenate([self.ids, gathered(ids, first[kept], size[kept])])
+        self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(size[kept])])
+        return ids, first, size
+
+
+class WordEncoder:
+    """Token ids of whole texts for a tokenizer that splits at white space and drops it.
+
+    The ids of a text are those of its words one after another, so each distinct word of
+    a batch is encoded once.  Words that Arrow lowers and cuts as the tokenizer does are
+    handed to its BPE as distinct pieces, many at a time; all others go through the
+    whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bpe = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bpe.normalizer, self.bpe.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        names = self.whole.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a piece
+        self.last[[k for name, k in names.items() if name.endswith("</w>")]] = True
+        self.letters = byte_letters()
+        self.pieces, self.others = Remembered(self.code_pieces, most), Remembered(self.code_words, most)
+
+    def code_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased pieces and their number for each."""
+        written = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids = [np.zeros(0, np.int64)]
+        for at in range(0, len(written), 5000):
+            joined = " ".join(written[at : at + 5000])
+            ids.append(np.array(self.bpe.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64))
+        ids = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary does not mark the ends of pieces")
+        return ids.astype(np.uint32), np.diff(ends, prepend=0)
+
+    def code_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for at in range(0, len(words), 5000) for e in self.whole.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and their number for each text."""
+        if pc.any(pc.match_substring_regex(texts, WIDE_BLANKS)).as_py():
+            texts = pc.replace_substring_regex(texts, WIDE_BLANKS, " ")
+        words, which, n = distinct_words(texts)
+        odd = pc.match_substring_regex(words, UNLIKE)
+        unlike = odd.to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(pc.invert(odd)))
+        cut = pc.match_substring_regex(low, NOT_LETTERS)
+        low = pc.replace_with_mask(low, cut, pc.replace_substring_regex(low.filter(cut), PIECE, r"\0 "))
+        pieces, piece, n_pieces = distinct_words(low)
+        often = np.bincount(which, minlength=len(words))
+        again = np.bincount(piece, np.repeat(often[~unlike], n_pieces), len(pieces)) > 1
+        ids, first, size = self.pieces(pieces.to_pylist(), again)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[~unlike] = np.add.reduceat(size[piece], np.cumsum(n_pieces) - n_pieces) if len(piece) else 0
+        ids = gathered(ids, first[piece], size[piece])
+        firsts = np.cumsum(sizes) - sizes
+        if unlike.any():
+            own, first, size = self.others(words.filter(odd).to_pylist(), often[unlike] > 1)
+            firsts[unlike], sizes[unlike] = len(ids) + first, size
+            ids = np.concatenate([ids, own])
+        size = sizes[which]
+        sums, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(n)
+        return gathered(ids, firsts[which], size), sums[ends] - sums[ends - n]
 
 
 @functools.lru_cache(maxsize=2)

@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -264,9 +265,15 @@ def test_words_are_encoded_as_whole_texts():
 
     path = vocabulary("word_bpe_49k.json")
     whole, words = Tokenizer.from_file(path), WordEncoder(path)
-    chars = [chr(c) for c in [*range(0x0, 0x100), 0x180E, 0xFEFF, *range(0x2000, 0x2070)]] + [chr(c) for c in range(0x100, 0x3100) if chr(c).isspace()]
-    texts = [s.format(c) for c in chars for s in ("the{}cat", "the{} cat", "the {}cat", "the {} cat", "{}the", "the{}", "{0}{0}", "\x1f{}\x1c")]
-    assert [x.tolist() for x in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    chars = [chr(c) for c in [*range(0x0, 0x370), 0x180E, 0xFEFF, 0x1F600, *range(0x2000, 0x2070)]] + [chr(c) for c in range(0x100, 0x3100) if chr(c).isspace()]
+    texts = [s.format(c) for c in chars for s in ("the{}cat", "the{} cat", "the {}cat", "the {} cat", "{}the", "the{}", "{0}{0}", "\x1f{}\x1c", "It'{0}S 9{0}9")]
+    texts += ["", " ", "IT'S we'LL I'D <|endoftext|> a<|endoftext|>b x<|y", "e\u0301 É ßẞ ŉ ǅ ª º ² ½", "x" * 100_000, "\n" * 10, "don''t 'tis 's"]
+    ids, sizes = words.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    got = [ids[a:b].tolist() for a, b in zip(ends - sizes, ends, strict=True)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    again, _ = words.encode(pa.array(texts))
+    assert (again == ids).all()
 
 
 def test_packing_odd_rows(odd, nothing):
