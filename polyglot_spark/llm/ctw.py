@@ -11,9 +11,10 @@ gathered per chunk of documents (about ``CHUNK`` bytes of text), so that each di
 stretch of ``depth + 1`` bytes crosses the network once for each chunk, not once for each
 occurrence.  Stretches travel as packed arrays, one for each chunk and bucket; a bucket
 holds every stretch with the same last context bytes, and so whole subtrees.  The counts
-of up to ``MERGED`` chunks are added up at a time.  Deep nodes are worked out within the
-buckets, the few levels above them by grouping; the code lengths then go back to the
-chunks that need them.  No table of the model reaches the driver or is broadcast.
+of a bucket are added up as they stream by.  Deep nodes are worked out within the
+buckets, the few levels above them by grouping; the code lengths of a bucket then meet
+the chunks' stretches in a stream again and go back to the chunks.  No table of the
+model reaches the driver or is broadcast.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import cut, remainder
 from .substrings import Scratch
+from .tokens import distinct_words, slices
 
-DEPTH, SHARED, CHUNK, MERGED = 6, 3, 36 << 20, 64
+DEPTH, SHARED, CHUNK = 6, 3, 16 << 20
 #: Fixed value: a byte that no UTF-8 text holds marks the end of a text and what lies before its start.
 END = 0xFF
 STRETCH, WORD_KEY = 0, 1
+#: how the values of each kind are packed: code lengths, counts
+VALUES = {STRETCH: "f4", WORD_KEY: "i8"}
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -53,7 +58,7 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 
 def bucket_of(context, buckets: int):
     """Bucket of a shared context (numbers or a column)."""
-    return context * 40503 % 65521 % buckets
+    return context * 40503 % 2147483647 % buckets
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,71 +99,111 @@ def stretches(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased texts, with one end token each, and their number in each text."""
-    split = [[*t.split(), bytes([END])] for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for w in s), np.uint64, int(sizes.sum())).view(np.int64), sizes
-
-
-def parts(column: pa.ChunkedArray, most: int = 2 << 20):
-    """Row ranges of a text column with about ``most`` bytes each."""
-    first = size = 0
-    for k, t in enumerate(column):
-        size += len(t.as_py() or "")
-        if size >= most:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(column):
-        yield first, len(column)
+    words, which, n = distinct_words(pa.array(texts, pa.binary()).view(pa.string()))
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.view(pa.binary()).to_pylist()], np.uint64)
+    keys = np.full(len(which) + len(n), xxhash.xxh3_64_intdigest(bytes([END])), np.uint64)
+    keys[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = hashes[which]
+    return keys.view(np.int64), n + 1
 
 
 def lowered(column) -> list[bytes]:
     return [b" ".join((t or "").encode().lower().split()) for t in column.to_pylist()]
 
 
+def into_chunks(chunk: int):
+    """Task body: number the chunks of a partition, runs of rows with about ``chunk`` bytes of text."""
+
+    def batches(frames):
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for frame in frames:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(frame["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            at = size + np.cumsum(sizes) - sizes
+            size = int(at[-1] + sizes[-1]) if len(at) else size
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(number + at // chunk, pa.int64())], [*frame.schema.names, "chunk"])
+
+    return batches
+
+
+class Sums:
+    """Total counts of keys; what comes in is added up whenever there is more of it than held."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new = [], [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
+        self.counts.append(n)
+        self.new += len(key)
+        if self.new > max(1 << 20, len(self.keys[0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            key, n = summed(self.keys, self.counts)
+            self.keys, self.counts = [key], [n]
+        self.new = 0
+        return self.keys[0], self.counts[0]
+
+
 def chunk_counts(depth: int, shared: int, buckets: int):
-    """Task body: distinct stretches and words of a chunk with their counts in training rows, packed by bucket."""
-
-    def count(table: pa.Table) -> pa.Table:
-        kept = {STRETCH: ([], []), WORD_KEY: ([], [])}
-        trained = table["trained"].to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, last in parts(table["text"]):
-            texts = lowered(table["text"].slice(first, last - first))
-            for kind, (codes, sizes) in ((STRETCH, stretches(texts, depth)), (WORD_KEY, word_keys(texts))):
-                held = np.repeat(trained[first:last], sizes) == 0
-                for weight, some in ((1, codes[~held]), (0, codes[held])):
-                    if len(some):
-                        key, n = np.unique(some, return_counts=True)
-                        kept[kind][0].append(key)
-                        kept[kind][1].append(n * weight)
-                if len(kept[kind][0]) > 16:
-                    kept[kind] = tuple([x] for x in summed(*kept[kind]))
-        rows = []
-        for kind, found in kept.items():
-            key, n = summed(*found)
+    """Task body: distinct stretches and words of each chunk with their counts in training rows, packed by bucket."""
+
+    def rows(chunk: int, sums: dict[int, Sums]):
+        for kind, found in sums.items():
+            key, n = found.total()
             bucket = bucket_of((key >> 8) & ((1 << (8 * shared)) - 1), buckets) if kind == STRETCH else key.view(np.uint64) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
-            for k in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[k] : bounds[k + 1]]
-                rows.append((int(k), kind, packed(key[own]), packed(n[own].astype(np.uint32))))
-        chunk = [table["chunk"][0].as_py()] * len(rows)
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)]
-        return pa.Table.from_arrays([pa.array(chunk, pa.int32()), *columns], ["chunk", "bucket", "kind", "keys", "n"])
+            some = np.flatnonzero(np.diff(bounds))
+            own = [order[bounds[k] : bounds[k + 1]] for k in some]
+            columns = [pa.array([packed(key[o]) for o in own], pa.binary()), pa.array([packed(n[o].astype(np.uint32)) for o in own], pa.binary())]
+            heads = [pa.array(np.full(len(some), chunk)), pa.array(some, pa.int32()), pa.array(np.full(len(some), kind, np.int8))]
+            yield pa.RecordBatch.from_arrays([*heads, *columns], ["chunk", "bucket", "kind", "keys", "n"])
+
+    def batches(frames):
+        now, sums = None, {}
+        for frame in frames:
+            chunks = frame["chunk"].to_numpy()
+            trained = frame["trained"].to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for start, stop in zip(bounds, bounds[1:], strict=False):
+                if now != chunks[start]:
+                    if sums:
+                        yield from rows(now, sums)
+                    now, sums = int(chunks[start]), {STRETCH: Sums(), WORD_KEY: Sums()}
+                for first, last in slices(frame["text"].slice(start, stop - start), 2 << 20):
+                    texts = lowered(frame["text"].slice(start + first, last - first))
+                    own = trained[start + first : start + last]
+                    for kind, (codes, sizes) in ((STRETCH, stretches(texts, depth)), (WORD_KEY, word_keys(texts))):
+                        learnt = np.repeat(own, sizes)
+                        for weight, some in ((1, codes[learnt]), (0, codes[~learnt])):
+                            if len(some):
+                                key, n = np.unique(some, return_counts=True)
+                                sums[kind].add(key, (n * weight).astype(np.uint32))
+        if sums:
+            yield from rows(now, sums)
 
-    return count
+    return batches
 
 
-def merge_counts(kind: str):
-    """Task body: one row from the rows of a bucket, with the sums of their counts (of integers of the given kind)."""
+def merge_counts(frames):
+    """Task body: one row of each bucket from all its rows, which come one after another."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys = [unpacked(k, "i8") for k in table["keys"].to_pylist()]
-        counts = [unpacked(n, kind).astype(np.uint64) for n in table["n"].to_pylist()]
-        key, n = summed(keys, counts)
-        out = {c: table[c].slice(0, 1) for c in ("part", "bucket", "kind")}
-        return pa.table({**out, "keys": pa.array([packed(key)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+    def row(at, sums):
+        key, n = sums.total()
+        columns = [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int8()), pa.array([packed(key)], pa.binary()), pa.array([packed(n)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "keys", "n"])
 
-    return merge
+    now, sums = None, None
+    for frame in frames:
+        for k, at in enumerate(zip(frame["bucket"].to_pylist(), frame["kind"].to_pylist(), strict=True)):
+            if at != now:
+                if sums:
+                    yield row(now, sums)
+                now, sums = at, Sums()
+            sums.add(unpacked(frame["keys"][k].as_py(), "i8"), unpacked(frame["n"][k].as_py(), "u4").astype(np.uint64))
+    if sums:
+        yield row(now, sums)
 
 
 def bit_nodes(key: np.ndarray, n: np.ndarray, d: int):
@@ -277,11 +322,20 @@ def tree_code_lengths(counts: DataFrame, depth: int, top: int, buckets: int, scr
     return scratch(both.applyInArrow(code_lengths(depth, top), "bucket int, model binary, values binary"))
 
 
-def looked_up(found: pa.Table, model: pa.Table) -> pa.Table:
-    """Task body: the values of some chunks' keys of one bucket."""
-    key, value = unpacked(model["model"][0].as_py(), "i8"), unpacked(model["values"][0].as_py(), "f4")
-    values = [packed(value[np.searchsorted(key, unpacked(k, "i8"))]) for k in found["keys"].to_pylist()]
-    return pa.table({"chunk": found["chunk"], "kind": found["kind"], "keys": found["keys"], "values": pa.array(values, pa.binary())})
+def looked_up(frames):
+    """Task body: the values of the chunks' keys of each bucket; the model's row comes before those of the chunks."""
+    schema = {"chunk": pa.int64(), "kind": pa.int8(), "keys": pa.binary(), "values": pa.binary()}
+    key = value = None
+    for frame in frames:
+        found = []
+        for row in range(len(frame)):
+            keys, values, kind = frame["keys"][row].as_py(), frame["values"][row].as_py(), frame["kind"][row].as_py()
+            if values is not None:
+                key, value = unpacked(keys, "i8"), unpacked(values, VALUES[kind])
+            else:
+                found.append((frame["chunk"][row].as_py(), kind, keys, packed(value[np.searchsorted(key, unpacked(keys, "i8"))])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.values(), strict=True)], list(schema))
 
 
 def word_totals(tables):
@@ -292,9 +346,9 @@ def word_totals(tables):
 
 
 def word_values(tables):
-    """Task body: the counts of words as their values (exact up to 2**24, then to 7 digits)."""
+    """Task body: the counts of words as their values."""
     for table in tables:
-        values = [packed(unpacked(x, "u8").astype(np.float32)) for x in table["n"].to_pylist()]
+        values = [packed(unpacked(x, "u8").astype(np.int64)) for x in table["n"].to_pylist()]
         yield pa.RecordBatch.from_arrays([table["bucket"], table["keys"], pa.array(values, pa.binary())], ["bucket", "model", "values"])
 
 
@@ -317,12 +371,13 @@ def chunk_scores(depth: int, n_train: int, n_types: int):
         for kind in (STRETCH, WORD_KEY):
             rows = [k for k, x in enumerate(kinds) if x == kind]
             key = np.concatenate([unpacked(values["keys"][k].as_py(), "i8") for k in rows])
-            value = np.concatenate([unpacked(values["values"][k].as_py(), "f4") for k in rows])
+            value = np.concatenate([unpacked(values["values"][k].as_py(), VALUES[kind]) for k in rows])
             order = np.argsort(key, kind="stable")
             tables[kind] = key[order], value[order].astype(float)
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for first, last in parts(docs["text"]):
-            texts = lowered(docs["text"].slice(first, last - first))
+        text = docs["text"].combine_chunks()
+        for first, last in slices(text, 2 << 20):
+            texts = lowered(text.slice(first, last - first))
             codes, sizes = stretches(texts, depth)
             lengths = values_at(*tables[STRETCH], codes)
             out["score"].append(np.add.reduceat(lengths, np.cumsum(sizes) - sizes))
@@ -348,23 +403,21 @@ def score(docs: DataFrame, depth: int = DEPTH, shared: int = SHARED, chunk: int
     Defined results: a null or empty text is its end alone; without training rows every
     bit has probability 1/2 and counts are 0; repeated rows are counted and scored each;
     no rows give no rows; further columns are ignored.  Words are told apart by 64-bit hashes.
+
+    More text has more buckets (by a power below 1, as distinct stretches do not grow in
+    proportion) and, beyond 16 GB, a longer shared context, so that a bucket stays small.
     """
     scratch = Scratch(docs.sparkSession)
-    bytes_ = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    chunks = max(1, math.ceil(bytes_ / chunk))
-    rows = docs.select(
-        "doc_id", "text", (remainder(F.col("doc_id")) != 1).alias("trained"),
-        F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk"),
-    )
-    buckets = min(4096, max(64, math.ceil(bytes_ / (4 << 20))))
-    packed_rows = "part int, bucket int, kind byte, keys binary, n binary"
-    found = rows.groupBy("chunk").applyInArrow(chunk_counts(depth, shared, buckets), "chunk int, bucket int, kind byte, keys binary, n binary")
-    found = scratch(found.withColumn("part", F.floor(F.col("chunk") / MERGED).cast("int")))
-    counts, left, width = found, chunks, "u4"
-    while left > 1 or width == "u4":
-        counts = counts.groupBy("part", "bucket", "kind").applyInArrow(merge_counts(width), packed_rows)
-        left, width = math.ceil(left / MERGED), "u8"
-        counts = scratch(counts.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")))
+    rows = docs.select("doc_id", "text", (remainder(F.col("doc_id")) != 1).alias("trained"))
+    kinds = "doc_id long, text string, trained boolean, chunk long"
+    rows = scratch(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(into_chunks(chunk), kinds), "zstd")
+    bytes_ = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 1
+    buckets = max(64, math.ceil(2 * (bytes_ / (4 << 20)) ** 0.75))
+    shared = min(depth, shared + max(0, math.ceil(math.log2(bytes_ / (16 << 30)) / 8)))
+    found = scratch(rows.mapInArrow(chunk_counts(depth, shared, buckets), "chunk long, bucket int, kind byte, keys binary, n binary"))
+    keys = ["bucket", "kind"]
+    dealt = found.drop("chunk").repartition(*keys).sortWithinPartitions(*keys)
+    counts = scratch(dealt.mapInArrow(merge_counts, "bucket int, kind byte, keys binary, n binary"))
     of_words = counts.where(F.col("kind") == WORD_KEY)
     totals = of_words.mapInArrow(word_totals, "tokens long, types long")
     n_train, n_types = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
@@ -372,10 +425,11 @@ def score(docs: DataFrame, depth: int = DEPTH, shared: int = SHARED, chunk: int
     models = lengths.withColumn("kind", F.lit(STRETCH).cast("byte")).unionByName(
         of_words.mapInArrow(word_values, "bucket int, model binary, values binary").withColumn("kind", F.lit(WORD_KEY).cast("byte"))
     )
-    models = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // MERGED))))
-    keys = ["part", "bucket", "kind"]
-    back = found.drop("n").groupBy(*keys).cogroup(models.groupBy(*keys)).applyInArrow(looked_up, "chunk int, kind byte, keys binary, values binary")
+    models = models.select(F.lit(None).cast("long").alias("chunk"), *keys, F.col("model").alias("keys"), "values")
+    met = models.union(found.select("chunk", *keys, "keys", F.lit(None).cast("binary")))
+    met = met.repartition(*keys).sortWithinPartitions(*keys, F.col("chunk").asc_nulls_first())
+    back = met.mapInArrow(looked_up, "chunk long, kind byte, keys binary, values binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(chunk_scores(depth, n_train, n_types), schema)
-    scored = scratch(scored)
+    scored = cut(rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(chunk_scores(depth, n_train, n_types), schema))
+    scratch.clear()
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -159,9 +159,9 @@ class Scratch:
         self.spark, self.made = spark, []
         self.folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         path = f"{self.folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.made.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
