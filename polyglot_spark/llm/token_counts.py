@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .tokens import vocabulary
 #: ``start``: the section of its first character; ``majority``: the one with most of its
 #: characters, the earlier of equals; ``split``: each by its share of the characters.
 RULES = ("start", "majority", "split")
+#: The tokenizer takes such a run, without its last blank if more text follows, as one piece; its pattern matcher would run out of stack on it.
+LONG_BLANKS = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,9 +40,19 @@ def byte_encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def token_ids(encoder, text: str) -> np.ndarray:
+    """Tokens of a whole text; long blank runs are cut out at the piece boundaries they have anyway."""
+    parts, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        parts += [encoder.encode_to_numpy(text[at : run.start()]), np.array(encoder._encode_single_piece(text[run.start() : stop]), np.uint32)]
+        at = stop
+    return np.concatenate([*parts, encoder.encode_to_numpy(text[at:])]).astype(np.int64)
+
+
 def token_spans(encoder, lengths: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and end of each token; a token with part of a character's bytes spans that character."""
-    size = lengths[encoder.encode_to_numpy(text)]
+    size = lengths[token_ids(encoder, text)]
     ends = np.cumsum(size)
     raw = text.encode()
     if len(raw) == len(text):

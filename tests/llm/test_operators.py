@@ -536,6 +536,21 @@ def test_token_counts(table, rule):
         assert [got[r.doc_id][k] for k in range(len(want))] == pytest.approx(want)
 
 
+def test_long_runs_are_counted():
+    from tokenizers import Tokenizer
+
+    from polyglot_spark.llm.tokens import vocabulary
+
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    encoder, lengths = token_counts.byte_encoder(vocabulary("byte_bpe_50k.tiktoken"))
+    for run in ("\n" * 5000, " " * 1000, "\t \u3000" * 700, "\x1c" * 1500):
+        for text in (f"a {run}b", f"{run}", f"x{run} ", f"{run}'s 1{run}\n."):
+            assert token_counts.token_ids(encoder, text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in ("\n" * 2_000_000, "a" * 300_000, "ab " * 100_000, "." * 300_000):
+        first, end = token_counts.token_spans(encoder, lengths, text)
+        assert end[-1] == len(text)
+
+
 def test_token_counts_of_given_sections_and_odd_rows(spark, odd, nothing):
     rows = spark.createDataFrame([(1, "the cat sat", [0, 3, 7])], "doc_id long, text string, at array<int>")
     assert [r.n_tokens for r in token_counts.count_by_section(rows, sections="at").orderBy("section").collect()] == [1, 1, 1]
