@@ -1,10 +1,12 @@
 """Embedding near-dedup: int8 tile products with rigorous error bounds.
 
-Vectors are scaled to length one and rounded to 8-bit integers with one step per
-tile.  The products of two tiles of integers are exact in single precision, and the
-lengths of the rounding errors bound how far each differs from the true cosine.
-Pairs that may lie above the threshold are computed again in double precision; all
-others are settled by the bound.  Equal vectors are compared once, with their number.
+Vectors are scaled to length one and rounded to 8-bit integers, each with its own step;
+what the rounding left is rounded to 8-bit integers once more.  Tiles travel as those
+integers with the lengths of both rounding errors, which bound how far the products of
+rounded vectors differ from the true cosine.  The first integers settle almost all pairs
+of two tiles, both together nearly all of the rest, and only pairs whose bound still
+reaches the threshold are computed from the full vectors, brought to them by joins.
+Equal vectors are compared once, with their number.
 """
 
 from __future__ import annotations
@@ -12,14 +14,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
-TILE = 4096
+TILE = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -29,52 +30,98 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v"), F.coalesce(sound, F.lit(False)).alias("usable"))
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Integer rows (as float32), the step of the tile, and the length of each row's rounding error."""
-    step = float(np.abs(x).max()) / 127
-    q = np.rint(x / step)
-    return q.astype(np.float32), step, np.linalg.norm(x - q * step, axis=1)
+def record(size: int) -> np.dtype:
+    """A vector in a tile: its key and copies, its step, the lengths of both rounding errors, and its integers."""
+    return np.dtype([("key", "<i8"), ("copies", "<i8"), ("step", "<f8"), ("error", "<f8"), ("rest", "<f8"), ("q", "i1", (size,)), ("r", "i1", (size,))])
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int = 256):
-    """Index pairs (i, j) of unit rows with cosine >= threshold; within ``x`` (i < j) if ``y`` is None."""
-    q, step, error = quantise(x)
-    y, (r, y_step, y_error) = (x, (q, step, error)) if y is None else (y, quantise(y))
-    same = y is x
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Unit rows as records without keys."""
+    rows = np.zeros(len(x), record(x.shape[1]))
+    step = np.abs(x).max(1) / 127
+    q = np.rint(x / step[:, None])
+    left = x - q * step[:, None]
+    r = np.clip(np.rint(left / step[:, None] * 254), -127, 127)
+    rows["step"], rows["q"], rows["r"] = step, q, r
+    rows["error"] = np.linalg.norm(left, axis=1) + 1e-12
+    rows["rest"] = np.linalg.norm(left - r * (step[:, None] / 254), axis=1) + 1e-12
+    return rows
+
+
+def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int = 512):
+    """Index pairs (i, j, sure) of records that link, or may (not sure); within ``x`` (i < j) if ``y`` is None."""
+    same = y is None
+    y = x if same else y
+    near_y = y["q"].astype(np.float32) * y["step"].astype(np.float32)[:, None]
+    widest, slack = y["error"].max(), 1e-4 + 2e-7 * y["q"].shape[1]  # the latter covers single precision
     for at in range(0, len(x), rows):
-        near = q[at : at + rows] @ r.T  # sums of at most 127 * 127 * dimensions: exact below 2**24, else covered by the slack
-        slack = error[at : at + rows].max() + y_error.max() * (1 + error[at : at + rows].max()) + 1e-5
-        least = np.float32((threshold - slack) / (step * y_step))
-        if near.max() < least:
-            continue
-        i, j = np.nonzero(near >= least)
-        value = near[i, j].astype(float) * (step * y_step)
-        i = i + at
-        bound = error[i] + y_error[j] * (1 + error[i]) + 1e-5
+        part = x[at : at + rows]
+        near = (part["q"].astype(np.float32) * part["step"].astype(np.float32)[:, None]) @ near_y.T
+        most = part["error"].max()
+        i, j = np.nonzero(near >= np.float32(threshold - (most + (1 + most) * widest + slack)))
+        value, i = near[i, j].astype(float), i + at
         if same:
-            value = np.where(j > i, value, -2)
+            above = j > i
+            value, i, j = value[above], i[above], j[above]
+        bound = x["error"][i] + (1 + x["error"][i]) * y["error"][j] + slack
         sure = value - bound >= threshold
         if sure.any():
-            yield i[sure], j[sure]
+            yield i[sure], j[sure], True
         open_ = np.flatnonzero((value + bound >= threshold) & ~sure)
         for k in range(0, len(open_), 1 << 14):
             a, b = i[open_[k : k + (1 << 14)]], j[open_[k : k + (1 << 14)]]
-            above = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
-            if above.any():
-                yield a[above], b[above]
+            u, v = (t["step"][:, None] * (t["q"] + t["r"] / 254) for t in (x[a], y[b]))
+            value = np.einsum("ij,ij->i", u, v)
+            bound = x["rest"][a] + (1 + x["rest"][a]) * y["rest"][b] + 1e-12
+            for sure, some in ((True, value - bound >= threshold), (False, (value + bound >= threshold) & (value - bound < threshold))):
+                if some.any():
+                    yield a[some], b[some], sure
 
 
 def packed_tile(table: pa.Table) -> pa.Table:
-    """Task body: the vectors of a tile, scaled to length one, as one binary value."""
+    """Task body: the vectors of a tile, scaled to length one and rounded, as one binary value."""
     size = table["size"][0].as_py()
-    rows = np.zeros(table.num_rows, np.dtype([("rep", "<i8"), ("copies", "<i8"), ("v", "<f8", (size,))]))
-    rows["rep"], rows["copies"] = table["rep"].to_numpy(), table["copies"].to_numpy()
     x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
     x = x / np.abs(x).max(1)[:, None]
-    rows["v"] = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = quantised(x / np.linalg.norm(x, axis=1)[:, None])
+    rows["key"], rows["copies"] = table["key"].to_numpy(), table["copies"].to_numpy()
     return pa.table({"size": pa.array([size], pa.int32()), "tile": table["tile"].slice(0, 1), "m": pa.array([rows.tobytes()], pa.binary())})
 
 
+def met_tiles(threshold: float):
+    """Task body: for each pair of tiles (a, b, links, sure): a member, another of its part and its sure links, or an open pair."""
+
+    def work(frames):
+        for frame in frames:
+            for size, x, y in zip(frame["size"].to_pylist(), frame["x"], frame["y"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), record(size)), np.frombuffer(y.as_buffer(), record(size)) if y.is_valid else None
+                other, shift = (x, 0) if y is None else (y, len(x))
+                keys = x["key"] if y is None else np.concatenate([x["key"], y["key"]])
+                count, tops, open_ = np.zeros(len(keys), np.int64), list(range(len(keys))), [np.zeros((0, 2), np.int64)]
+                for i, j, sure in tile_links(x, y, threshold):
+                    if sure:
+                        np.add.at(count, i, other["copies"][j])
+                        np.add.at(count, j + shift, x["copies"][i])
+                        forest(tops, i, j + shift)
+                    else:
+                        open_.append(np.stack([x["key"][i], other["key"][j]], 1))
+                some = np.flatnonzero(count)
+                top = np.array([find(tops, k) for k in some.tolist()], np.int64)
+                open_ = np.concatenate(open_)
+                columns = [np.concatenate([keys[some], open_[:, 0]]), np.concatenate([keys[top], open_[:, 1]]), np.concatenate([count[some], np.zeros(len(open_), np.int64)])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) < len(some))], ["a", "b", "links", "sure"])
+
+    return work
+
+
+def cosine(a, b) -> F.Column:
+    """Cosine of two arrays of doubles, scaled first so that no square overflows."""
+    scaled = lambda v: F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    a, b = scaled(a), scaled(b)
+    return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
@@ -83,50 +130,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -
 
     Defined results: vectors that are null, empty, zero or hold a null or non-finite
     component link with nothing; vectors of different lengths do not link; repeated
-    rows are links of each other; a vector without links is its own component; no rows
-    give no rows; further columns are ignored.
+    rows are links of each other; a vector without links is its own component; one
+    without an id is linked and counted like any other, and a component of such vectors
+    alone has a null id; no rows give no rows; further columns are ignored.
     """
     rows = cut(usable(vectors))
     # equal vectors have cosine one: one of them stands for all
     distinct = rows.where("usable").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut(distinct.withColumn("size", F.size("v")))
-    total = distinct.count()
-    tiles = max(1, math.ceil(total / tile))
+    distinct = cut(distinct.withColumns({"size": F.size("v"), "key": F.monotonically_increasing_id()}))
+    tiles = max(1, math.ceil(distinct.count() / tile))
     number = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(tiles)).cast("int")
-    members = distinct.withColumn("tile", number)
-    packed = cut(members.groupBy("size", "tile").applyInArrow(packed_tile, "size int, tile int, m binary"))  # about `tile` vectors each
+    members = distinct.withColumn("tile", number).groupBy("size", "tile")
+    packed = cut(members.applyInArrow(packed_tile, "size int, tile int, m binary"))  # about `tile` vectors each
     left = packed.withColumn("other", F.explode(F.sequence("tile", F.lit(tiles - 1)))).withColumnRenamed("m", "x")
     right = packed.select("size", F.col("tile").alias("other"), F.col("m").alias("y"))
     pairs = left.join(right, ["size", "other"]).select("size", "tile", "other", "x", F.when(F.col("tile") != F.col("other"), F.col("y")).alias("y"))
-
-    def matrix(data, size):
-        rows = np.frombuffer(data, np.dtype([("rep", "<i8"), ("copies", "<i8"), ("v", "<f8", (size,))]))
-        return rows["rep"].copy(), rows["copies"].copy(), rows["v"].copy()
-
-    def work(frames):
-        for frame in frames:
-            for size, x, y in zip(frame["size"], frame["x"], frame["y"], strict=True):
-                ids, copies, x = matrix(x, size)
-                other = (ids, copies, None) if y is None else matrix(y, size)
-                n, m = len(ids), len(other[0])
-                all_ids = ids if y is None else np.concatenate([ids, other[0]])
-                count = np.zeros(len(all_ids), np.int64)
-                shift = 0 if y is None else n
-                tops = list(range(len(all_ids)))
-                for i, j in tile_links(x, other[2], threshold):
-                    count += np.bincount(i, other[1][j], len(all_ids)).astype(np.int64)
-                    count += np.bincount(j + shift, copies[i], len(all_ids)).astype(np.int64)
-                    forest(tops, i, j + shift)
-                top = np.array([find(tops, k) for k in range(len(tops))])
-                some = np.flatnonzero(count)
-                yield pd.DataFrame({"rep": all_ids[some], "links": count[some], "top": all_ids[top[some]]})
-
-    met = pairs.repartition(max(1, min(20_000, tiles * (tiles + 1) // 2)), "tile", "other").mapInPandas(work, "rep long, links long, top long")
-    met = cut(met)
-    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(met.select(F.col("rep").alias("a"), F.col("top").alias("b")).where("a != b"))
-    labels = distinct.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = cut(labels.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    pairs = pairs.repartition(max(1, min(20_000, tiles * (tiles + 1) // 2)), "tile", "other").select("size", "x", "y")
+    met = cut(pairs.mapInArrow(met_tiles(threshold), "a long, b long, links long, sure boolean"))
+    full = lambda k: distinct.select(F.col("key").alias(k), F.col("v").alias(f"v_{k}"), F.col("copies").alias(f"n_{k}"))
+    checked = met.where("not sure").select("a", "b").join(full("a"), "a").join(full("b"), "b").where(cosine(F.col("v_a"), F.col("v_b")) >= threshold)
+    checked = cut(checked.select("a", "b", "n_a", "n_b"))
+    sure = met.where("sure").select(F.col("a").alias("key"), "links")
+    counts = sure.union(checked.select("a", "n_b")).union(checked.select("b", "n_a")).groupBy("key").agg(F.sum("links").alias("links"))
+    linked = components(met.where("sure and a != b").select("a", "b").union(checked.select("a", "b")))
+    labels = distinct.join(counts, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
+    labels = cut(labels.select("v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")))
+    lowest = cut(labels.groupBy("root").agg(F.min("rep").alias("component_id")))
+    labels = labels.join(lowest, "root").select("v", "n_links", "component_id")
     out = rows.where("usable").join(labels, "v").select("vec_id", "n_links", "component_id")
     out = out.union(rows.where("not usable").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -442,6 +442,37 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(vectors.where("false")).count() == 0
 
 
+def test_embeddings_at_the_threshold_and_without_ids(spark):
+    """Pairs nearer to the threshold than both roundings tell apart, huge components, and vectors without an id."""
+    rng, rows, want = np.random.default_rng(6), [], []
+    for k in range(200):
+        base, side = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        cosine = 0.9 + rng.normal() * 1e-8
+        rows += [(2 * k, base.tolist()), (2 * k + 1, (1e300 * (base * cosine + side * math.sqrt(1 - cosine**2))).tolist())]
+        want += [int(cosine >= 0.9)] * 2
+    near = [[1.0, 0.1], [1.0, 0.12], [1.0, 0.1]]
+    rows += [(None, v) for v in near] + [(None, [0.0, 1.0]), (900, [0.0, 5.0]), (None, [-1.0, 0.0]), (None, None)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("own")), tile=64).collect()
+    links = {r.vec_id: r.n_links for r in got if r.vec_id is not None and r.vec_id < 900}
+    assert [links[i] for i in range(400)] == want
+    assert sorted((r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in got if r.vec_id is None or r.vec_id == 900) == sorted(
+        [(2, -1, True)] * 3 + [(1, 900, False), (1, 900, True), (0, -1, True), (0, -1, True)]
+    )
+
+
+def test_tile_bounds_hold():
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 64, 1500):
+        x = rng.normal(size=(300, size)) * rng.choice([1, 1e-9], (300, size))
+        x[150:] = x[:150] + rng.normal(size=(150, size)) * 0.4 * np.abs(x[:150]).max(1)[:, None] / math.sqrt(size)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        cosines, known = x @ x.T, np.zeros((300, 300), int)
+        for i, j, sure in embeddings.tile_links(embeddings.quantised(x), None, 0.9, 64):
+            known[i, j] += 1 if sure else 2
+        upper = np.triu(np.ones((300, 300), bool), 1)
+        assert (known[upper & (cosines >= 0.9)] > 0).all() and (cosines[known == 1] >= 0.9).all() and known.max() <= 2
+
+
 # --- audio ----------------------------------------------------------------------------------------------------------------
 
 
