@@ -33,10 +33,10 @@ from .common import cut, remainder
 from .substrings import Scratch
 from .tokens import distinct_words, slices
 
-DEPTH, SHARED, CHUNK = 6, 3, 16 << 20
+DEPTH, SHARED, CHUNK = 6, 3, 32 << 20
 #: Fixed value: a byte that no UTF-8 text holds marks the end of a text and what lies before its start.
 END = 0xFF
-STRETCH, WORD_KEY = 0, 1
+STRETCH, WORD_KEY, TEXT = 0, 1, 2
 #: how the values of each kind are packed: code lengths, counts
 VALUES = {STRETCH: "f4", WORD_KEY: "i8"}
 
@@ -107,21 +107,16 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lowered(column) -> list[bytes]:
+    """Texts as their lower-cased words with one blank between."""
     return [b" ".join((t or "").encode().lower().split()) for t in column.to_pylist()]
 
 
-def into_chunks(chunk: int):
-    """Task body: number the chunks of a partition, runs of rows with about ``chunk`` bytes of text."""
-
-    def batches(frames):
-        number, size = TaskContext.get().partitionId() << 32, 0
-        for frame in frames:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(frame["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
-            at = size + np.cumsum(sizes) - sizes
-            size = int(at[-1] + sizes[-1]) if len(at) else size
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(number + at // chunk, pa.int64())], [*frame.schema.names, "chunk"])
-
-    return batches
+def packed_texts(doc_ids: pa.Array, trained: pa.Array, texts: list[bytes]) -> bytes:
+    """Some documents of a chunk as a compressed Arrow stream."""
+    batch, sink = pa.RecordBatch.from_arrays([doc_ids, trained, pa.array(texts, pa.large_binary())], ["doc_id", "trained", "text"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 class Sums:
@@ -145,10 +140,11 @@ class Sums:
         return self.keys[0], self.counts[0]
 
 
-def chunk_counts(depth: int, shared: int, buckets: int):
-    """Task body: distinct stretches and words of each chunk with their counts in training rows, packed by bucket."""
+def chunk_counts(depth: int, shared: int, buckets: int, chunk: int):
+    """Task body: the texts of each chunk, runs of rows with about ``chunk`` bytes, and its distinct stretches and words with their counts in training rows, packed by bucket."""
+    names = ["chunk", "bucket", "kind", "keys", "n"]
 
-    def rows(chunk: int, sums: dict[int, Sums]):
+    def rows(number: int, sums: dict[int, Sums]):
         for kind, found in sums.items():
             key, n = found.total()
             bucket = bucket_of((key >> 8) & ((1 << (8 * shared)) - 1), buckets) if kind == STRETCH else key.view(np.uint64) % np.uint64(buckets)
@@ -157,31 +153,30 @@ def chunk_counts(depth: int, shared: int, buckets: int):
             some = np.flatnonzero(np.diff(bounds))
             own = [order[bounds[k] : bounds[k + 1]] for k in some]
             columns = [pa.array([packed(key[o]) for o in own], pa.binary()), pa.array([packed(n[o].astype(np.uint32)) for o in own], pa.binary())]
-            heads = [pa.array(np.full(len(some), chunk)), pa.array(some, pa.int32()), pa.array(np.full(len(some), kind, np.int8))]
-            yield pa.RecordBatch.from_arrays([*heads, *columns], ["chunk", "bucket", "kind", "keys", "n"])
+            heads = [pa.array(np.full(len(some), number)), pa.array(some, pa.int32()), pa.array(np.full(len(some), kind, np.int8))]
+            yield pa.RecordBatch.from_arrays([*heads, *columns], names)
 
     def batches(frames):
-        now, sums = None, {}
+        number, size, sums = TaskContext.get().partitionId() << 32, 0, None
         for frame in frames:
-            chunks = frame["chunk"].to_numpy()
             trained = frame["trained"].to_numpy(zero_copy_only=False)
-            bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
-            for start, stop in zip(bounds, bounds[1:], strict=False):
-                if now != chunks[start]:
-                    if sums:
-                        yield from rows(now, sums)
-                    now, sums = int(chunks[start]), {STRETCH: Sums(), WORD_KEY: Sums()}
-                for first, last in slices(frame["text"].slice(start, stop - start), 2 << 20):
-                    texts = lowered(frame["text"].slice(start + first, last - first))
-                    own = trained[start + first : start + last]
-                    for kind, (codes, sizes) in ((STRETCH, stretches(texts, depth)), (WORD_KEY, word_keys(texts))):
-                        learnt = np.repeat(own, sizes)
-                        for weight, some in ((1, codes[learnt]), (0, codes[~learnt])):
-                            if len(some):
-                                key, n = np.unique(some, return_counts=True)
-                                sums[kind].add(key, (n * weight).astype(np.uint32))
+            for first, last in slices(frame["text"], 2 << 20):
+                texts = lowered(frame["text"].slice(first, last - first))
+                sums = sums or {STRETCH: Sums(), WORD_KEY: Sums()}
+                for kind, (codes, sizes) in ((STRETCH, stretches(texts, depth)), (WORD_KEY, word_keys(texts))):
+                    learnt = np.repeat(trained[first:last], sizes)
+                    for weight, some in ((1, codes[learnt]), (0, codes[~learnt])):
+                        if len(some):
+                            key, n = np.unique(some, return_counts=True)
+                            sums[kind].add(key, (n * weight).astype(np.uint32))
+                own = [pa.array([packed_texts(*(frame[c].slice(first, last - first) for c in ("doc_id", "trained")), texts)], pa.binary()), pa.array([None], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([0], pa.int32()), pa.array([TEXT], pa.int8()), *own], names)
+                size += sum(map(len, texts)) + 64 * len(texts)
+                if size >= chunk:
+                    yield from rows(number, sums)
+                    number, size, sums = number + 1, 0, None
         if sums:
-            yield from rows(now, sums)
+            yield from rows(number, sums)
 
     return batches
 
@@ -375,9 +370,12 @@ def chunk_scores(depth: int, n_train: int, n_types: int):
             order = np.argsort(key, kind="stable")
             tables[kind] = key[order], value[order].astype(float)
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        text = docs["text"].combine_chunks()
-        for first, last in slices(text, 2 << 20):
-            texts = lowered(text.slice(first, last - first))
+        parts = []
+        for data in docs["keys"]:
+            with pa.ipc.open_stream(data.as_buffer()) as stream:
+                part = stream.read_all()
+            parts.append(part.select(["doc_id", "trained"]))
+            texts = part["text"].to_pylist()
             codes, sizes = stretches(texts, depth)
             lengths = values_at(*tables[STRETCH], codes)
             out["score"].append(np.add.reduceat(lengths, np.cumsum(sizes) - sizes))
@@ -387,6 +385,7 @@ def chunk_scores(depth: int, n_train: int, n_types: int):
             out["n_tokens"].append(sizes)
             out["n_known"].append(np.add.reduceat((seen > 0).astype(np.int64), first_of))
             out["base_score"].append(np.add.reduceat(np.log10((seen + 0.5) / (n_train + 0.5 * (n_types + 1))), first_of))
+        docs = pa.concat_tables(parts)
         added = {c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}
         return pa.table({"doc_id": docs["doc_id"], "held_out": pa.compute.invert(docs["trained"]), **added})
 
@@ -408,13 +407,12 @@ def score(docs: DataFrame, depth: int = DEPTH, shared: int = SHARED, chunk: int
     proportion) and, beyond 16 GB, a longer shared context, so that a bucket stays small.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select("doc_id", "text", (remainder(F.col("doc_id")) != 1).alias("trained"))
-    kinds = "doc_id long, text string, trained boolean, chunk long"
-    rows = scratch(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(into_chunks(chunk), kinds), "zstd")
-    bytes_ = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id")) != 1).alias("trained"))
+    bytes_ = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 1
     buckets = max(64, math.ceil(2 * (bytes_ / (4 << 20)) ** 0.75))
     shared = min(depth, shared + max(0, math.ceil(math.log2(bytes_ / (16 << 30)) / 8)))
-    found = scratch(rows.mapInArrow(chunk_counts(depth, shared, buckets), "chunk long, bucket int, kind byte, keys binary, n binary"))
+    found = scratch(rows.mapInArrow(chunk_counts(depth, shared, buckets, chunk), "chunk long, bucket int, kind byte, keys binary, n binary"))
+    texts, found = found.where(F.col("kind") == TEXT).select("chunk", "keys"), found.where(F.col("kind") != TEXT)
     keys = ["bucket", "kind"]
     dealt = found.drop("chunk").repartition(*keys).sortWithinPartitions(*keys)
     counts = scratch(dealt.mapInArrow(merge_counts, "bucket int, kind byte, keys binary, n binary"))
@@ -430,6 +428,6 @@ def score(docs: DataFrame, depth: int = DEPTH, shared: int = SHARED, chunk: int
     met = met.repartition(*keys).sortWithinPartitions(*keys, F.col("chunk").asc_nulls_first())
     back = met.mapInArrow(looked_up, "chunk long, kind byte, keys binary, values binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = cut(rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(chunk_scores(depth, n_train, n_types), schema))
+    scored = cut(texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(chunk_scores(depth, n_train, n_types), schema))
     scratch.clear()
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
