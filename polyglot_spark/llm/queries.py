@@ -51,7 +51,8 @@ def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio, so each turn of ``conversations`` is played word by word and fingerprinted."""
     turns = table(spark, sf_dir, "conversations")
-    recordings = turns.select((F.coalesce("conv_id", F.lit(-1)) * 1_000_000 + F.coalesce("turn", F.lit(0))).alias("rec_id"), "text")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    recordings = turns.select(F.concat(part("conv_id"), F.lit(":"), part("turn")).alias("rec_id"), "text")
     return chroma.group_recordings(recordings, "text", chroma.tones)
 
 

@@ -497,50 +497,87 @@ def test_audio_alignment_finds_the_shift(spark):
     assert chroma.group_recordings(rows.where("false"), "text", chroma.tones).count() == 0
 
 
-def test_audio_links_all_windows_within_the_bound(spark, monkeypatch):
+def aligned_directly(x, y, marked):
+    """Whether some offset of two code sequences has a window (or all of the shorter one) with few bit errors, with an equal code and an equal upper half after it in it if ``marked``."""
+    span = min(16, len(x), len(y))
+    for shift in range(-len(x) + span, len(y) - span + 1):
+        first, last = max(0, -shift), min(len(x), len(y) - shift)
+        differ = x[first:last] ^ y[first + shift : last + shift]
+        wrong, upper = np.bitwise_count(differ).astype(int), np.append(differ[1:] >> 16, 1)
+        for k in range(len(wrong) - span + 1):
+            part = wrong[k : k + span]
+            if part.sum() <= 0.15 * 32 * span and (not marked or ((part[:-1] == 0) & (upper[k : k + span - 1] == 0)).any()):
+                return True
+    return False
+
+
+def test_audio_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(11)
     song = rng.integers(0, 1 << 32, 60, np.uint32)
 
     def noisy(codes, share):
-        flipped = np.packbits(rng.random((len(codes), 32)) < share, axis=1).view(np.uint32).ravel()
-        return codes ^ flipped
-
-    exact = song[20:36].copy()
-    for k in range(76):  # as many errors as a window may have, spread so that no code is equal
-        exact[k % 16] ^= np.uint32(1 << (7 * (k // 16) + k % 3))
-    sounds = {i: rng.integers(0, 1 << 32, 30, np.uint32) for i in range(20, 60)}
-    sounds |= {i: np.concatenate([rng.integers(0, 1 << 32, i, np.uint32), noisy(song, 0.1)]) for i in range(1, 13)}
-    sounds |= {0: song, 13: exact, 14: exact ^ np.uint32(1 << 31), 15: song[:6], 16: song[3:5]}
+        return codes ^ np.packbits(rng.random((len(codes), 32)) < share, axis=1).view(np.uint32).ravel()
+
+    sounds = {i: rng.integers(0, 1 << 32, rng.integers(2, 40), np.uint32) for i in range(40, 70)}
+    sounds |= {i: np.concatenate([rng.integers(0, 1 << 32, i, np.uint32), noisy(song, (0.01, 0.03, 0.06)[i % 3])]) for i in range(1, 25)}
+    sounds |= {0: song, 25: song[:6], 26: song[3:5], 27: song[:1], 28: noisy(song[:12], 0.03), 29: np.tile(song[:2], 40), 30: np.tile(song[:2], 9), 31: song[:17], 32: song[44:]}
+    jingle = song[20:22]
+    sounds |= {100 + i: np.concatenate([rng.integers(0, 1 << 32, 20, np.uint32), jingle, noisy(song[22:34], 0.13 + 0.01 * (i % 6)), rng.integers(0, 1 << 32, i % 4, np.uint32)]) for i in range(40)}
     codes = {i: x.tobytes() for i, x in sounds.items()}
-    want = {i: {i} for i in codes}
-    for i in codes:
-        for j in codes:
-            n = len(codes[i]) // 4
-            m = len(codes[j]) // 4
-            shifts = range(-n + 1, m)
-            if min(n, m) < chroma.SPAN:
-                x, y = sounds[i], sounds[j]
-                shifts = [s for s in shifts if any((x[k : k + 3] == y[k + s : k + s + 3]).all() for k in range(max(0, -s), min(n, m - s) - 2))]
-            if i < j and any(chroma.matched_codes(codes[i], codes[j], s) for s in shifts):
-                both = want[i] | want[j]
-                want |= dict.fromkeys(both, both)
-    monkeypatch.setattr(chroma, "PIECE", 40)  # recordings of several pieces
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in codes.items()], "rec_id long, codes binary")
+    keys = {r.key: r.rec_id for r in rows.select("rec_id", F.xxhash64("codes").alias("key")).collect()}
+
+    def groups(pairs):
+        tops = {i: i for i in codes}
+        for a, b in pairs:
+            while tops[a] != a:
+                a = tops[a]
+            while tops[b] != b:
+                b = tops[b]
+            tops[max(a, b)] = min(a, b)
+        top = lambda i: i if tops[i] == i else top(tops[i])
+        return {i: top(i) for i in codes}
+
+    both = [(i, j) for i in codes for j in codes if i < j]
+    marked = [(i, j) for i, j in both if aligned_directly(sounds[i], sounds[j], True)]
     whole = chroma.fingerprints
     try:
         chroma.fingerprints = lambda rows, column, *_: rows.select("rec_id", F.col(column).alias("codes"))
-        rows = spark.createDataFrame([(i, bytearray(x)) for i, x in codes.items()], "rec_id long, codes binary")
-        for tile in (1 << 19, 500):
-            _, pairs = chroma.aligned(rows, "codes", tile=tile)
-            keys = {r.key: r.rec_id for r in rows.select("rec_id", F.xxhash64("codes").alias("key")).collect()}
-            got = {i: {i} for i in codes}
-            for r in pairs.collect():
-                both = got[keys[r.a]] | got[keys[r.b]]
-                got |= dict.fromkeys(both, both)
-            assert got == want and set(range(16)) <= got[0] | {14} and got[16] == {16}
+        for block in (4096, 5):
+            _, pairs = chroma.aligned(rows, "codes", block=block)
+            links = [(keys[r.a], keys[r.b]) for r in pairs.collect()]
+            assert {tuple(sorted(x)) for x in links} <= set(marked)
+            assert groups(links) == groups(marked)
     finally:
         chroma.fingerprints = whole
 
 
+def test_audio_recall_by_noise():
+    """Share of pairs of a recording and its noisy copy, 8 seconds each, that brute force over all offsets links and a landmark does too."""
+    rng = np.random.default_rng(12)
+    recall = {}
+    for share in (0.01, 0.03, 0.05, 0.1):
+        wide = marked = 0
+        for _ in range(60):
+            x = rng.integers(0, 1 << 32, 56, np.uint32)
+            y = x ^ np.packbits(rng.random((56, 32)) < share, axis=1).view(np.uint32).ravel()
+            if aligned_directly(x, y, False):
+                wide += 1
+                marked += aligned_directly(x, y, True)
+        recall[share] = marked / wide
+    assert min(recall[s] for s in (0.01, 0.03, 0.05)) >= 0.9, recall
+    print(recall)
+
+
+def test_audio_of_long_recordings_is_worked_out_in_blocks():
+    rng = np.random.default_rng(3)
+    for rate in (2000, 8000, 44_100):
+        samples = rng.normal(size=chroma.frame_size(rate) * 40).astype(np.float32)
+        assert np.allclose(chroma.pitch_classes(samples, rate, 7), chroma.pitch_classes(samples, rate))
+        assert len(chroma.pitch_classes(samples, rate)) == 79
+    assert len(chroma.packed_codes(chroma.pitch_classes(np.zeros(44_100 * 600, np.float32), 44_100))) > 3000
+
+
 # --- token counts ---------------------------------------------------------------------------------------------------------
 
 
