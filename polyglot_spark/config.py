@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,23 @@ class EngineConfig:
     max_url_chars: int = 2048
     max_file_bytes: int = 5 * 1024 * 1024
 
+    #: whether the pipeline runs its fluency and tone hooks, where it is given any
+    fluency_correction: bool = True
+    tone_normalization: bool = True
+
+    @classmethod
+    def from_settings(cls, spark, prefix: str = "spark.polyglot.") -> EngineConfig:
+        """The defaults with what the session sets as ``spark.polyglot.<field>``; a switch is on only for "true" or "1"."""
+        found = {}
+        for field in fields(cls):
+            value, default = spark.conf.get(prefix + field.name, None), field.default
+            if value is not None:
+                if isinstance(default, tuple):
+                    found[field.name] = tuple(type(default[0])(v.strip()) for v in value.split(","))
+                else:
+                    found[field.name] = value in ("true", "1") if isinstance(default, bool) else type(default)(value)
+        return cls(**found)
+
     def strict(self) -> EngineConfig:
         return replace(
             self, oversize_block="split", split_min_chars=800, fluency_min_words=2, retry_scope="model", token_loss="source",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -38,7 +39,21 @@ class Node:
             self.children.append(text)
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() if isinstance(c, Node) else "" for c in self.children)
+        return "".join(x for x, _ in walked(self) if isinstance(x, str))
+
+
+def walked(node):
+    """(part, entering) for a node and all below it in document order; a node comes again when it ends.
+
+    Without recursion, so that no page is too deep.
+    """
+    stack = [(node, True)]
+    while stack:
+        part, entering = stack.pop()
+        yield part, entering
+        if entering and isinstance(part, Node):
+            stack.append((part, False))
+            stack += [(c, True) for c in reversed(part.children)]
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -55,13 +70,28 @@ class Builder:
         self.root.children = [self.head, self.body]
         self.started = context is not None
         self.open = [self.body]
+        self.names, self.ids = Counter(), {id(self.body)}  # of the open elements, so that deep stacks are searched only for what is there
         self.active: list[Node] = []
 
+    def push(self, node: Node) -> None:
+        self.open.append(node)
+        self.names[node.name] += 1
+        self.ids.add(id(node))
+
+    def close(self, first: int, last: int | None = None) -> None:
+        """Take the elements from ``first`` on, or up to ``last``, off the stack of open elements."""
+        for node in self.open[first:last]:
+            self.names[node.name] -= 1
+            self.ids.discard(id(node))
+        del self.open[first:last]
+
     def pop_to(self, names) -> bool:
         """Close the nearest open element of one of the names, unless a scope boundary lies above it."""
+        if not any(self.names[n] > 0 for n in names):
+            return False
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name in names:
-                del self.open[k:]
+                self.close(k)
                 return True
             if self.open[k].name in SCOPE and self.open[k].name not in names:
                 return False
@@ -70,12 +100,12 @@ class Builder:
     def reconstruct(self) -> None:
         """Open again the formatting elements that a block has closed."""
         first = len(self.active)
-        while first and not any(self.active[first - 1] is o for o in self.open):
+        while first and id(self.active[first - 1]) not in self.ids:
             first -= 1
         for k in range(first, len(self.active)):
             again = Node(self.active[k].name, dict(self.active[k].attributes))
             self.open[-1].children.append(again)
-            self.open.append(again)
+            self.push(again)
             self.active[k] = again
 
     def put_text(self, text: str) -> None:
@@ -110,11 +140,11 @@ class Builder:
             elif name in ("dd", "dt"):
                 self.close_item(("dd", "dt"), ("dl",))
             elif name in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                self.open.pop()
+                self.close(len(self.open) - 1)
         elif name in TABLE_CLOSE:
-            for k in range(len(self.open) - 1, 0, -1):
+            for k in range(len(self.open) - 1, 0, -1) if any(self.names[n] > 0 for n in TABLE_CLOSE[name]) else ():
                 if self.open[k].name in TABLE_CLOSE[name]:
-                    del self.open[k:]
+                    self.close(k)
                     break
                 if self.open[k].name in ("table", "select") or (name in ("td", "th") and self.open[k].name == "tr"):
                     break
@@ -124,7 +154,7 @@ class Builder:
             self.reconstruct()
         self.open[-1].children.append(node)
         if name not in VOID:
-            self.open.append(node)
+            self.push(node)
             if name in FORMATTING:
                 same = [n for n in self.active if n.name == name and n.attributes == attributes]
                 if len(same) >= 3:
@@ -133,9 +163,9 @@ class Builder:
         return node
 
     def close_item(self, names, stops) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if any(self.names[n] > 0 for n in names) else ():
             if self.open[k].name in names:
-                del self.open[k:]
+                self.close(k)
                 return
             if self.open[k].name in stops or self.open[k].name in SCOPE:
                 return
@@ -144,12 +174,10 @@ class Builder:
         for node in reversed(self.active):
             if node.name == name:
                 self.active = [n for n in self.active if n is not node]
-                for k in range(len(self.open) - 1, 0, -1):
+                for k in range(len(self.open) - 1, 0, -1) if id(node) in self.ids else ():
                     if self.open[k] is node:
-                        if any(n.name in ENDS_PARAGRAPH or n.name in SCOPE for n in self.open[k + 1 :]):
-                            del self.open[k]
-                        else:
-                            del self.open[k:]
+                        above = any(n.name in ENDS_PARAGRAPH or n.name in SCOPE for n in self.open[k + 1 :])
+                        self.close(k, k + 1 if above else None)
                         return
                 return
 
@@ -192,7 +220,7 @@ class Builder:
                     if node is not None:
                         node.add_text(entities.unescape(inside) if name in TEXT_ONLY else inside)
                         if self.open[-1] is node:
-                            self.open.pop()
+                            self.close(len(self.open) - 1)
 
 
 def parse(source: str) -> Node:
@@ -217,11 +245,16 @@ def start_tag(node: Node, ordered: bool = False) -> str:
 
 def serialized(node) -> str:
     """Canonical markup: attributes in source order, text and attributes escaped, void elements unclosed."""
-    if isinstance(node, str):
-        return node.replace("&", "&amp;").replace(" ", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
-    if isinstance(node, tuple):
-        return f"<!--{node[1]}-->"
-    if node.name in VOID:
-        return start_tag(node)
-    inside = node.text() if node.name in RAW else "".join(map(serialized, node.children))
-    return f"{start_tag(node)}{inside}</{node.name}>"
+    out: list[str] = []
+    raw = 0  # open elements whose text is written as it is
+    for part, entering in walked(node):
+        if isinstance(part, str):
+            out.append(part if raw else part.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif isinstance(part, tuple):
+            out.append("" if raw else f"<!--{part[1]}-->")
+        elif part.name in VOID:
+            out.append(start_tag(part) if entering else "")
+        else:
+            raw += (1 if entering else -1) * (part.name in RAW)
+            out.append(start_tag(part) if entering else f"</{part.name}>")
+    return "".join(out)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,39 +29,57 @@ def _overlap(candidate: str, reference: str) -> float:
     return _f_score(shared / len(have), shared / len(want))
 
 
-def overlap(candidate: Column, reference: Column) -> Column:
-    """F score of shared words; a repeated word of the candidate counts each time, so it can exceed 1."""
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_overlap(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return score(candidate, reference)
-
-
-def _grams(text: str, n: int) -> Counter:
-    if any(c > "\uFFFF" for c in text):  # count UTF-16 units
-        units = text.encode("utf-16-le", "surrogatepass")
-        text = "".join(chr(int.from_bytes(units[i : i + 2], "little")) for i in range(0, len(units), 2))
-    return Counter(text[i : i + n].lower() for i in range(len(text) - n + 1))
+def _grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lower-cased n-grams of UTF-16 units, up to four packed in a number, and their counts."""
+    low = text.lower()
+    if n > 4 or len(low) != len(text) or "\u03a3" in text or (not text.isascii() and max(text) > "\uffff"):
+        return _grams_apart(text, n)
+    unit = np.frombuffer(low.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    packed = np.zeros(max(0, len(unit) - n + 1), np.uint64)
+    for k in range(n):
+        packed = (packed << np.uint64(16)) | unit[k : k + len(packed)]
+    return np.unique(packed, return_counts=True)
+
+
+def _grams_apart(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_grams`` for texts with letters whose lower case depends on what is beside them: each n-gram is lowered alone."""
+    units = text.encode("utf-16-le", "surrogatepass")
+    text = "".join(chr(int.from_bytes(units[i : i + 2], "little")) for i in range(0, len(units), 2))
+    seen: dict = {}
+    for i in range(len(text) - n + 1):
+        gram = text[i : i + n].lower()
+        key = int.from_bytes(gram.encode("utf-16-be", "surrogatepass"), "big") if len(gram) == n <= 4 else gram
+        seen[key] = seen.get(key, 0) + 1
+    keys = np.empty(len(seen), object)
+    keys[:] = list(seen)
+    return keys, np.fromiter(seen.values(), np.int64, len(seen))
 
 
 def _character_f(candidate: str, reference: str, n: int) -> float:
     if not candidate or not reference:
         return 0.0
-    a, b = _grams(candidate, n), _grams(reference, n)
-    shared = sum(min(k, b[g]) for g, k in a.items())
-    if not shared:
-        return 0.0
-    return _f_score(shared / a.total(), shared / b.total())
+    (a, a_n), (b, b_n) = _grams(candidate, n), _grams(reference, n)
+    if object in (a.dtype, b.dtype):
+        known = dict(zip(b.tolist(), b_n.tolist(), strict=True))
+        shared = sum(min(k, known.get(g, 0)) for g, k in zip(a.tolist(), a_n.tolist(), strict=True))
+    else:
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        shared = int(np.minimum(a_n[i], b_n[j]).sum())
+    return _f_score(shared / int(a_n.sum()), shared / int(b_n.sum())) if shared else 0.0
+
 
+def text_scores(candidate: Column, reference: Column, n: int = 4) -> Column:
+    """Struct (bleu, chrf): the F scores of shared words and of shared character n-grams.
 
-def character_f(candidate: Column, reference: Column, n: int = 4) -> Column:
-    """F score of shared character n-grams."""
+    A repeated word of the candidate counts each time, so the first can exceed 1.  Sets
+    and counts of whole texts are hashed in Arrow batches: array functions search them
+    one by one, in time that grows with the square of a text.
+    """
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_character_f(x, y, n) for x, y in zip(a, b, strict=True)], dtype="float64")
+    @F.pandas_udf("bleu double, chrf double")
+    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(a, b, strict=True))
+        return pd.DataFrame({"bleu": [_overlap(x, y) for x, y in pairs], "chrf": [_character_f(x, y, n) for x, y in pairs]}, dtype="float64")
 
     return score(candidate, reference)
 
@@ -81,6 +99,7 @@ def confidence(bleu: Column, chrf: Column, length: Column, config: EngineConfig
 def with_scores(df, source: str, translated: str, config: EngineConfig = COMPATIBLE):
     """``df`` with (bleu, chrf, length_score, confidence, flagged)."""
     s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(translated), F.lit(""))
-    scored = df.withColumns({"bleu": overlap(t, s), "chrf": character_f(t, s), "length_score": length_score(s, t)})
+    scored = df.withColumn("_scores", text_scores(t, s)).withColumns({"bleu": F.col("_scores.bleu"), "chrf": F.col("_scores.chrf"), "length_score": length_score(s, t)})
+    scored = scored.drop("_scores")
     scored = scored.withColumn("confidence", confidence(F.col("bleu"), F.col("chrf"), F.col("length_score"), config))
     return scored.withColumn("flagged", F.col("confidence") < config.confidence_threshold)

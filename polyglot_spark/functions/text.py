@@ -41,7 +41,7 @@ def word_count(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond U+FFFF count twice."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def blank(text: Column) -> Column:
@@ -94,8 +94,10 @@ def splits(text: Column, least: int = 120) -> Column:
 
 
 def units(text: Column, least: int = 120) -> Column:
-    """The units that a text is translated in: its sentences if it is long, else itself."""
-    return F.when(splits(text, least), sentences(text)).otherwise(F.array(text))
+    """The units that a text is translated in: its sentences if it is long and has several, else itself."""
+    whole = F.array(text)
+    several = F.transform(F.array(sentences(text)), lambda s: F.when(F.size(s) > 1, s).otherwise(whole))[0]  # worked out once
+    return F.when(utf16_length(text) >= least, several).otherwise(whole)
 
 
 def merged_lines(text: Column) -> Column:
@@ -147,19 +149,23 @@ def packed_sentences(text: Column, room: int = 400) -> Column:
 
 
 def _decoded_numbers(text: Column, pattern: str, base: int) -> Column:
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    """Numbers that are no code point stay as they are."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
 
-    def join(gap, digits):
+    def join(gap, reference):
+        digits = F.regexp_replace(reference, "^&#[xX]?0*|;$", "")
+        code = F.when(F.length(digits) <= 7, F.conv(F.concat(F.lit("0"), digits), base, 10).cast("int"))
+        point = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         # a code point as UTF-32 bytes, read as text
-        char = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
-        return F.concat(gap, F.when(digits.isNull(), "").otherwise(char))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(point, code.cast("long"))), 8, "0")), "UTF-32")
+        return F.concat(gap, F.coalesce(char, reference, F.lit("")))
 
     return F.array_join(F.zip_with(gaps, found, join), "")
 
 
 def decoded_entities(text: Column) -> Column:
     """Numeric and the five XML character references decoded, ``&amp;`` first among the named ones."""
-    text = _decoded_numbers(_decoded_numbers(text, r"&#[xX]([0-9a-fA-F]{1,6});", 16), r"&#([0-9]{1,7});", 10)
+    text = _decoded_numbers(_decoded_numbers(text, r"&#x[0-9a-fA-F]+;", 16), r"&#[0-9]+;", 10)
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Placeholders of resource files, and the wider set of running text (alternatives in order).
+#: Placeholders of resource files, and the wider set of running text (alternatives in order).
 FILE_PLACEHOLDER = r"%[a-zA-Z@]|\{[^}]+\}|\$\{[^}]*\}"
 TEXT_PLACEHOLDER = r"%\d+\$[a-zA-Z@]|%[a-zA-Z@]|\{\{[^}]+\}\}|\$\{[^}]*\}|\{[^}]+\}"
 
@@ -78,9 +78,3 @@ def brands_restored(text: Column, found: Column, mode: str = "first") -> Column:
         return F.when(at > 0, F.concat(t.substr(F.lit(1), at - 1), p["original"], t.substr(at + F.length(p["token"]), F.length(t)))).otherwise(t)
 
     return F.aggregate(by_length, text, once)
-
-
-def tags_restored(text: Column, tag_map: Column) -> Column:
-    """Inline-tag tokens replaced by their markup, the longest token first."""
-    longest = F.array_sort(tag_map, lambda a, b: F.length(b["token"]) - F.length(a["token"]))
-    return F.aggregate(longest, text, lambda t, p: F.replace(t, p["token"], p["tag"]))

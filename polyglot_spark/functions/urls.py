@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import COMPATIBLE, EngineConfig
 from .text import trimmed, utf16_length
 
+#: Hosts, and beginnings of hosts, that are not fetched.
 BLOCKED = ("localhost", "127.0.0.1", "::1", "0.0.0.0")
 PRIVATE = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|169\.254\.|127\.)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -32,32 +33,43 @@ def dictionary(entries: DataFrame) -> Backend:
     return run
 
 
-def batches(*translators: Callable[[Sequence[str], str], Sequence[str]]) -> Backend:
+def batches(*translators: Callable[[Sequence[str], str], Sequence[str]], failures: str | None = None) -> Backend:
     """Models called with a batch of texts; the next one is asked if one fails or returns another number of texts.
 
     If all fail the texts are returned as they are.  A model is loaded where it is called,
-    once for each worker; blank texts give '' and are not sent.
+    once for each worker; blank texts give '' and are not sent.  With ``failures``, a column of
+    that name says what went wrong with the models asked in vain, null if nothing did;
+    otherwise workers write it to their logs.
     """
 
     def run(df: DataFrame, source: str, result: str, target_lang: str) -> DataFrame:
-        schema = T.StructType([f for f in df.schema if f.name != result]).add(result, "string")
+        schema = T.StructType([f for f in df.schema if f.name not in (result, failures)]).add(result, "string")
+        schema = schema.add(failures, "string") if failures else schema
 
-        def ask(texts: list[str]) -> list[str]:
-            for translate in translators:
+        def ask(texts: list[str]) -> tuple[list[str], str | None]:
+            wrong = []
+            for k, translate in enumerate(translators):
                 try:
                     out = list(translate(texts, target_lang))
-                except Exception:
+                except Exception as e:
+                    wrong.append(f"{k}: {type(e).__name__}: {e}")
                     continue
                 if len(out) == len(texts):
-                    return [t if o is None else o for t, o in zip(texts, out, strict=True)]
-            return texts
+                    return [t if o is None else o for t, o in zip(texts, out, strict=True)], "; ".join(wrong) or None
+                wrong.append(f"{k}: {len(out)} texts for {len(texts)}")
+            return texts, "; ".join(wrong) or None
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 texts = [t or "" for t in frame[source]]
                 send = [t for t in texts if t.strip()]
-                answer = iter(ask(send) if send else [])
+                texts_, wrong = ask(send) if send else ([], None)
+                answer = iter(texts_)
                 frame = frame.drop(columns=[result], errors="ignore")
+                if failures:
+                    frame[failures] = [wrong if t.strip() else None for t in texts]
+                elif wrong:
+                    logging.getLogger(__name__).warning("models asked in vain: %s", wrong)
                 frame[result] = [next(answer) if t.strip() else "" for t in texts]
                 yield frame[schema.names]
 

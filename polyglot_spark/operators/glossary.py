@@ -3,20 +3,53 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup_form, normalized, short_phrase
+from ..functions.text import lookup_form, normalized, trimmed, utf16_length
 from ..functions.tokens import quoted
 
 SCHEMA = "target_lang string, ord int, src string, value string"
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """A glossary table from a JSON file ``{language: {source: target}}``; languages that begin with ``_`` are left out."""
-    text = spark.read.text(path, wholetext=True).first()
-    return from_entries(spark, json.loads(text[0]) if text else {})
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """An object from a small JSON file; none if the file is missing, or with a warning if it is not readable as such."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        return None
+    try:
+        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (json.JSONDecodeError, TypeError) as e:
+        warnings.warn(f"{path} is left out: {e}", stacklevel=2)
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def merged_entries(entries: dict[str, dict[str, str]], over: dict[str, dict[str, str]]) -> dict[str, dict[str, str]]:
+    """Entries with those of ``over`` put in: an equal key takes the new value in its old place, others follow at the end.
+
+    Keys are equal only if they are written alike, so that one in another case comes
+    later and loses to the first.
+    """
+    kept = {lang: terms for lang, terms in over.items() if not lang.startswith("_") and isinstance(terms, dict)}
+    return {**entries, **{lang: {**entries.get(lang, {}), **terms} for lang, terms in kept.items()}}
+
+
+def read_glossary(spark: SparkSession, path: str, entries: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """A glossary table from a JSON file ``{language: {source: target}}`` put over ``entries``.
+
+    Languages that begin with ``_`` are left out; a missing file leaves ``entries``.
+    """
+    return from_entries(spark, merged_entries(entries or {}, read_json(spark, path) or {}))
+
+
+def read_brands(spark: SparkSession, path: str, brands: list[str] = ()) -> list[str]:
+    """The brands of a JSON file ``{"brands": [...]}``, or ``brands`` where it has none."""
+    found = (read_json(spark, path) or {}).get("brands")
+    return [str(b) for b in found] if isinstance(found, list) else list(brands)
 
 
 def from_entries(spark: SparkSession, entries: dict[str, dict[str, str]]) -> DataFrame:
@@ -41,7 +74,12 @@ def pattern_regex(src: str) -> str | None:
 
 def pattern_value(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """Value of the first matching (source, value) pattern, its ``*`` replaced by what the text has there; null if none matches."""
-    text, found = normalized(text), []
+    return matched_value(normalized(text), patterns)
+
+
+def matched_value(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """As ``pattern_value``, for a normalized text."""
+    found = []
     for src, value in patterns:
         regex = pattern_regex(src)
         if regex:
@@ -49,10 +87,13 @@ def pattern_value(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def with_glossary(df: DataFrame, text: str, target_lang: str, glossary: DataFrame, patterns: list[tuple[str, str]] = ()) -> DataFrame:
+def with_glossary(df: DataFrame, text: str, target_lang: str, glossary: DataFrame, patterns: list[tuple[str, str]] = (), most_words: int = 2, most_chars: int = 30) -> DataFrame:
     """``df`` with ``glossary_value``: '' for blank text, else the entry of a short phrase, else a pattern's, else null."""
     exact = exact_entries(glossary.where(F.col("target_lang") == target_lang)).drop("target_lang")
-    looked = df.withColumn("norm_src", lookup_form(F.col(text))).join(exact, "norm_src", "left").drop("norm_src")
-    value = F.coalesce(F.when(short_phrase(F.col(text)), F.col("glossary_value")), pattern_value(F.col(text), list(patterns)))
-    blank = F.coalesce(normalized(F.col(text)), F.lit("")) == ""
-    return looked.withColumn("glossary_value", F.when(blank, "").otherwise(value))
+    df = df.withColumn("_norm", normalized(F.col(text)))
+    size = utf16_length(F.when(F.col(text) == F.col("_norm"), F.col("_norm")).otherwise(trimmed(F.col(text))))
+    short = (F.col("_norm") != "") & (F.size(F.split("_norm", " ")) <= most_words) & (utf16_length(F.col("_norm")) <= most_chars) & (size <= most_chars)
+    looked = df.withColumn("norm_src", F.when(short, F.lower("_norm"))).join(exact, "norm_src", "left").drop("norm_src")
+    value = F.coalesce("glossary_value", matched_value(F.col("_norm"), list(patterns)))
+    blank = F.coalesce(F.col("_norm"), F.lit("")) == ""
+    return looked.withColumn("glossary_value", F.when(blank, "").otherwise(value)).drop("_norm")

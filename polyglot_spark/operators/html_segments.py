@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import COMPATIBLE, EngineConfig
-from ..functions.dom import Node, parse, parse_fragment, serialized, start_tag
+from ..functions.dom import Node, parse, parse_fragment, serialized, start_tag, walked
 
+#: Elements whose content stays, blocks, inline elements, white space, letters that may stand alone, and numbers.
 SKIPPED = frozenset("script style noscript svg canvas iframe code pre textarea".split())
 BLOCK = frozenset("p div li td th h1 h2 h3 h4 h5 h6 section article blockquote label".split())
 INLINE = frozenset("a span strong em b i small u sup sub".split())
@@ -49,10 +50,14 @@ def normal(text: str) -> str:
     return BLANKS.sub(" ", text).strip(" ")
 
 
+def units(text: str) -> int:
+    """Length in UTF-16 units."""
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
 def kept(text: str) -> bool:
     text = normal(text)
-    units = len(text.encode("utf-16-le", "surrogatepass")) // 2
-    return bool(text) and (units >= 2 or bool(LETTER.search(text))) and not NUMERIC.fullmatch(text)
+    return bool(text) and (units(text) >= 2 or bool(LETTER.search(text))) and not NUMERIC.fullmatch(text)
 
 
 def excluded(node: Node) -> bool:
@@ -63,10 +68,7 @@ def excluded(node: Node) -> bool:
 
 def elements(node: Node):
     """Elements below a node in document order."""
-    for child in node.children:
-        if isinstance(child, Node):
-            yield child
-            yield from elements(child)
+    return (n for n, entering in walked(node) if entering and isinstance(n, Node) and n is not node)
 
 
 def title_of(root: Node) -> Node | None:
@@ -80,40 +82,56 @@ def description_of(root: Node) -> Node | None:
 def leaf_blocks(root: Node) -> list[Node]:
     """Blocks without a translatable block inside, in document order of their ends."""
     found: list[Node] = []
-
-    def holds_block(node: Node) -> bool:
-        if excluded(node):
-            return False
-        inner = [holds_block(c) for c in node.children if isinstance(c, Node)]
-        if node.name in BLOCK and not any(inner):
-            found.append(node)
-        return node.name in BLOCK or any(inner)
-
-    holds_block(root.children[1])
+    holds, stack = [False], [(root.children[1], True)]  # for each open element, whether a block lies inside
+    while stack:
+        node, entering = stack.pop()
+        if not entering:
+            inside, block = holds.pop(), node.name in BLOCK
+            if block and not inside:
+                found.append(node)
+            holds[-1] |= block or inside
+        elif not excluded(node):
+            holds.append(False)
+            stack.append((node, False))
+            stack += [(c, True) for c in reversed(node.children) if isinstance(c, Node)]
     return found
 
 
 def block_text(block: Node) -> tuple[str, list[dict]]:
-    """Text of a block with a pair of tokens around each inline element, and the markup of the tokens."""
+    """Text of a block with a pair of tokens around each inline element, and the markup of the tokens.
+
+    There is one blank after an opening and before a closing token, and between the children of the block.
+    """
     tags: list[dict] = []
+    pieces: list[str] = []
+    blank = False
+
+    def put(text: str) -> None:
+        nonlocal blank
+        body = text.strip(" ")
+        if body:
+            if pieces and (blank or text[0] == " "):
+                pieces.append(" ")
+            pieces.append(body)
+        blank = text.endswith(" ") or (blank and not body)
 
-    def walk(child) -> str:
-        if isinstance(child, str):
-            return BLANKS.sub(" ", child)
-        if not isinstance(child, Node) or excluded(child):
-            return ""
-        if child.name not in INLINE:
-            return "".join(map(walk, child.children))
-        k = len(tags) // 2
-        tags.append({"token": f"TAG_OPEN_{k}", "tag": start_tag(child, ordered=True)})
-        tags.append({"token": f"TAG_CLOSE_{k}", "tag": f"</{child.name}>"})
-        inner = normal("".join(map(walk, child.children)))
-        return " ".join(filter(None, (f"TAG_OPEN_{k}", inner, f"TAG_CLOSE_{k}")))
-
-    text = ""
     for child in block.children:
-        text += (" " if text else "") + walk(child)
-    return normal(text), tags
+        blank, stack = True, [(child, -1)]
+        while stack:
+            part, number = stack.pop()
+            if number >= 0:
+                put(f" TAG_CLOSE_{number}")
+            elif isinstance(part, str):
+                put(BLANKS.sub(" ", part))
+            elif isinstance(part, Node) and not excluded(part):
+                if part.name in INLINE:
+                    k = len(tags) // 2
+                    tags.append({"token": f"TAG_OPEN_{k}", "tag": start_tag(part, ordered=True)})
+                    tags.append({"token": f"TAG_CLOSE_{k}", "tag": f"</{part.name}>"})
+                    put(f"TAG_OPEN_{k} ")
+                    stack.append((part, k))
+                stack += [(c, -1) for c in reversed(part.children)]
+    return "".join(pieces), tags
 
 
 def segments_of(page: str, config: EngineConfig = COMPATIBLE) -> list[dict]:
@@ -125,13 +143,17 @@ def segments_of(page: str, config: EngineConfig = COMPATIBLE) -> list[dict]:
             rows.append({"kind": kind, "text": BLANKS.sub(lambda m: m[0], text).strip(), "tag_map": [], "node_ord": -1})
     for k, block in enumerate(leaf_blocks(root)):
         text, tags = block_text(block)
-        if kept(text) and (len(text) <= config.max_block_chars or config.oversize_block == "split"):
+        if kept(text) and (units(text) <= config.max_block_chars or config.oversize_block == "split"):
             rows.append({"kind": "block", "text": text, "tag_map": tags, "node_ord": k})
     return [{"seq": k, **row} for k, row in enumerate(rows)]
 
 
 def segments(pages: DataFrame, key: str = "page_id", html: str = "html", config: EngineConfig = COMPATIBLE) -> DataFrame:
-    """(key, seq, kind, text, tag_map, node_ord) for every segment of every page; a null page has none."""
+    """(key, seq, kind, text, tag_map, node_ord) for every segment of every page; a null page has none.
+
+    Blocks of more than ``max_block_chars`` UTF-16 units are left as they are unless
+    ``oversize_block`` is "split".
+    """
     schema = f"`{key}` {pages.schema[key].dataType.simpleString()}, {SEGMENT}"
     tag = pa.list_(pa.struct([("token", pa.string()), ("tag", pa.string())]))
     kinds = {"seq": pa.int32(), "kind": pa.string(), "text": pa.string(), "tag_map": tag, "node_ord": pa.int32()}
@@ -149,6 +171,27 @@ def segments(pages: DataFrame, key: str = "page_id", html: str = "html", config:
     return pages.select(key, html).mapInArrow(work, schema)
 
 
+def head_of(page: str) -> tuple[str, str]:
+    """Trimmed title and description of a page as a viewer shows them: the first of each wherever they stand, '' if missing."""
+    root = parse(page)
+    title = next((n for n in elements(root) if n.name == "title"), None)
+    description = description_of(root)
+    return (title.text().strip() if title else "", description.attributes.get("content", "").strip() if description else "")
+
+
+def with_head(pages: DataFrame, html: str = "translated_html") -> DataFrame:
+    """All columns of ``pages`` plus (title, description) of the page in column ``html``; '' for a null page."""
+    schema = T.StructType(list(pages.schema)).add("title", "string").add("description", "string")
+
+    def work(batches):
+        for batch in batches:
+            heads = [head_of(h) if h else ("", "") for h in batch[html].to_pylist()]
+            added = [pa.array([h[k] for h in heads], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+
+    return pages.mapInArrow(work, schema)
+
+
 def put_back(page: str, translated: list[dict], target_lang: str, config: EngineConfig = COMPATIBLE) -> str:
     """The page with translated segments; a null translation leaves the source text."""
     root = parse(page)

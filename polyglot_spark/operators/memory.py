@@ -6,22 +6,23 @@ the log is partitioned, so a lookup reads one language only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, text_hash
+from ..functions.text import normalized
 
 SCHEMA = "source_text string, source_hash string, translated_text string, created_at timestamp, version long, target_lang string"
 
 
 def keyed(units: DataFrame, text: str = "text") -> DataFrame:
-    return units.withColumns({"source_text": normalized(F.col(text)), "source_hash": text_hash(F.col(text))})
+    return units.withColumn("source_text", normalized(F.col(text))).withColumn("source_hash", F.sha2("source_text", 256))
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last version of each key."""
-    w = Window.partitionBy("source_hash", "target_lang").orderBy(F.desc("version"))
-    return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last version of each key; older ones are dropped before the shuffle where they meet."""
+    key = ["source_hash", "target_lang"]
+    last = log.groupBy(*key).agg(F.max_by(F.struct(*[c for c in log.columns if c not in key]), "version").alias("_last"))
+    return last.select(*key, "_last.*").select(*log.columns)
 
 
 def hits(units: DataFrame, memory: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ class TranslationMemory:
 def translate(units: DataFrame, memory: DataFrame, backend, target_lang: str) -> tuple[DataFrame, DataFrame]:
     """(units with ``translated_text``, new entries): the memory first, the backend once for each distinct miss."""
     units = keyed(units).withColumn("target_lang", F.lit(target_lang))
-    fresh = misses(units.select("source_text", "source_hash", "target_lang"), memory).dropDuplicates(["source_hash"])
+    fresh = misses(units.select("source_text", "source_hash", "target_lang").dropDuplicates(["source_hash", "target_lang"]), memory)
     fresh = backend(fresh, "source_text", "translated_text", target_lang)
     every = memory.select("source_hash", "target_lang", "translated_text").unionByName(fresh.select("source_hash", "target_lang", "translated_text"))
     return looked_up(units, every), fresh

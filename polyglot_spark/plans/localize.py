@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 from ..functions.languages import in_target_script
 from ..functions.quality import with_scores
+from ..functions.urls import url_verdict
 from ..operators import html_segments, memory
 from ..operators.backends import Backend, identity
 from ..operators.glossary import with_glossary
@@ -17,9 +18,16 @@ from ..sources import properties
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Cut lineage after a backend, so that it is asked once; needs a checkpoint folder, else the data is kept in memory and on disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
+    """Cut lineage in the checkpoint folder, so that a backend is asked once.
+
+    Without a folder the data is kept in memory and on disk, in a local session only: on a
+    cluster it would be lost, and asked for again, with an executor.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
         return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return df.persist()
 
 
@@ -44,11 +52,12 @@ def localized(
     tone.  ``keys`` identify a unit.  A null text is treated as blank and gives ''.
     """
     spark = units.sparkSession
+    fluency, tone = fluency if config.fluency_correction else None, tone if config.tone_normalization else None
     known = spark.createDataFrame([], memory.SCHEMA) if known is None else known
     glossary = spark.createDataFrame([], "target_lang string, ord int, src string, value string") if glossary is None else glossary
     branded = units.withColumn("_brand", tk.brands_protected(F.coalesce(F.col("text"), F.lit("")), list(brands)))
     branded = branded.withColumns({"_branded": F.col("_brand.text"), "_found": F.col("_brand.found")}).drop("_brand")
-    looked = with_glossary(branded, "_branded", target_lang, glossary, list(patterns))
+    looked = materialized(with_glossary(branded, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars))
 
     def ask(fresh: DataFrame, source: str, result: str, lang: str) -> DataFrame:
         out = backend(fresh, source, result, lang)
@@ -75,6 +84,25 @@ def localized(
     return out.select(*columns), fresh.unionByName(more)
 
 
+def page_status(requests: DataFrame, config: EngineConfig = COMPATIBLE) -> DataFrame:
+    """All columns of ``requests`` (url, html, target_lang) plus (status, error): 200, or what is wrong first.
+
+    400: no language, no URL or one that may not be fetched; 502: no page came back.
+    """
+    verdict = url_verdict(F.col("url"), config)["error"]
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    bad = F.when(missing("target_lang"), "Missing targetLang").when(missing("url"), "Missing url").otherwise(verdict)
+    page = F.when(missing("html"), "Invalid HTML received")
+    return requests.withColumns({"status": F.when(bad.isNotNull(), 400).when(page.isNotNull(), 502).otherwise(200), "error": F.coalesce(bad, page)})
+
+
+def file_status(requests: DataFrame) -> DataFrame:
+    """All columns of ``requests`` (filename, content, target_lang) plus (status, error): 200, or what is wrong first."""
+    kind = F.when(~F.lower("filename").endswith(".properties"), "Only .properties files are allowed")
+    bad = F.when(F.col("content").isNull(), "No file uploaded").when(F.coalesce("target_lang", F.lit("")) == "", "Missing target language (targetLang)")
+    return requests.withColumns({"status": F.when(kind.isNotNull(), 500).when(bad.isNotNull(), 400).otherwise(200), "error": F.coalesce(kind, bad)})
+
+
 def localize_pages(pages: DataFrame, target_lang: str, *, config: EngineConfig = COMPATIBLE, **options) -> tuple[DataFrame, DataFrame]:
     """(page_id, source_html, translated_html, rtl, warning) of every page, and new memory entries."""
     found = materialized(html_segments.segments(pages, config=config))

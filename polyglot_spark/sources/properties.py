@@ -10,10 +10,11 @@ from ..functions.text import trimmed
 
 
 def read_files(spark: SparkSession, path: str, config: EngineConfig = COMPATIBLE) -> DataFrame:
-    """(filename, content) of the resource files under a path, of at most the configured size."""
-    files = spark.read.format("binaryFile").load(path)
-    files = files.where(F.lower("path").endswith(".properties") & (F.col("length") <= config.max_file_bytes))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    """(filename, content, error) of the resource files under a path; one over the configured size has an error and no content."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".properties"))
+    fits = F.col("length") <= config.max_file_bytes
+    content = F.when(fits, F.make_valid_utf8(F.col("content").cast("string")))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), content.alias("content"), F.when(~fits, "File too large").alias("error"))
 
 
 def unquoted(text: Column) -> Column:

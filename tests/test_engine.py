@@ -1,9 +1,13 @@
+import time
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
-from polyglot_spark.config import COMPATIBLE
+from polyglot_spark.config import COMPATIBLE, EngineConfig
 from polyglot_spark.functions.dom import parse, serialized
 from polyglot_spark.operators import backends, html_segments, memory
-from polyglot_spark.operators.glossary import from_entries, with_glossary
+from polyglot_spark.operators.glossary import from_entries, read_brands, read_glossary, with_glossary
 from polyglot_spark.plans import localize
 from polyglot_spark.sources import properties
 
@@ -25,6 +29,26 @@ def test_segments():
     assert texts("<p><b>one<p>two") == ["TAG_OPEN_0 one TAG_CLOSE_0", "TAG_OPEN_0 two TAG_CLOSE_0"]
 
 
+def test_blocks_are_measured_in_utf16_units():
+    assert len(texts(f"<p>{chr(0x1F600) * 1500}</p>")) == 1 and texts(f"<p>{chr(0x1F600) * 1501}</p>") == []
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "word here", "<div><b>" * 20_000 + "word here", "<span>" * 30_000 + "word", "<table><tr><td>" * 20_000 + "cell text", "<ul><li>" * 30_000 + "item text", "<b>x<p>" * 3000])
+def test_deep_pages(page):
+    began = time.time()
+    found = html_segments.segments_of(page)
+    assert html_segments.put_back(page, [{**r, "translated": None} for r in found], "arb_Arab") and time.time() - began < 60
+
+
+def test_nested_inline_elements_and_blanks():
+    assert texts("<p> a<b> <i>x </i>y</b>z <span></span> <u> </u>!</p>") == ["a TAG_OPEN_0 TAG_OPEN_1 x TAG_CLOSE_1y TAG_CLOSE_0 z TAG_OPEN_2 TAG_CLOSE_2 TAG_OPEN_3 TAG_CLOSE_3 !"]
+
+
+def test_head_of_a_page(spark):
+    pages = spark.createDataFrame([(1, "<body><title> A &amp; b </title><meta name=description content=' d '>"), (2, "<p>x"), (3, None)], "id int, translated_html string")
+    assert [(r.title, r.description) for r in html_segments.with_head(pages).orderBy("id").collect()] == [("A & b", "d"), ("", ""), ("", "")]
+
+
 def test_title_and_description_come_first():
     page = '<title>Hi you</title><meta name="description" content="D text"><body><p>block</p>'
     assert [s["kind"] for s in html_segments.segments_of(page)] == ["title", "meta-description", "block"]
@@ -59,6 +83,55 @@ def test_glossary(spark):
     assert with_glossary(rows, "text", "nld_Latn", entries).where("glossary_value <> ''").count() == 0
 
 
+def test_glossary_and_brand_files(spark, tmp_path):
+    at = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    own = {"spa_Latn": {"Save": "Guardar", "Log In": "Entrar"}}
+    file = at("g.json", '{"spa_Latn": {"Log In": "Acceder", "save": "X", "New": "Nuevo"}, "_note": {"a": "b"}, "fra_Latn": {"Save": "Sauver"}, "bad": 3}')
+    rows = spark.createDataFrame([("save",), ("log in",), ("new",)], "text string")
+    found = with_glossary(rows, "text", "spa_Latn", read_glossary(spark, file, own)).collect()
+    assert {r.text: r.glossary_value for r in found} == {"save": "Guardar", "log in": "Acceder", "new": "Nuevo"}
+    assert read_glossary(spark, str(tmp_path / "none.json"), own).count() == 2
+    with pytest.warns(UserWarning):
+        assert read_glossary(spark, at("bad.json", "{"), own).count() == 2
+    assert read_brands(spark, at("b.json", '{"brands": ["A", "B C"]}'), ["D"]) == ["A", "B C"]
+    assert read_brands(spark, str(tmp_path / "none.json"), ["D"]) == read_brands(spark, file, ["D"]) == ["D"]
+
+
+def test_settings_of_the_session(spark):
+    set_ = {"split_min_chars": "300", "mojibake_lossy": "True", "fluency_correction": "1", "weights": "0.2,0.3,0.5", "url_hosts": "strict"}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(f"spark.polyglot.{k}", v)
+        config = EngineConfig.from_settings(spark)
+    finally:
+        for k in set_:
+            spark.conf.unset(f"spark.polyglot.{k}")
+    assert (config.split_min_chars, config.mojibake_lossy, config.fluency_correction, config.weights, config.url_hosts) == (300, False, True, (0.2, 0.3, 0.5), "strict")
+    assert EngineConfig.from_settings(spark) == COMPATIBLE
+
+
+def test_request_status(spark):
+    pages = spark.createDataFrame([(0, None, "x", "es"), (1, "https://a.com", "x", ""), (2, "https://a.com", "", "es"), (3, "ftp://a.com", "x", "es"), (4, "https://a.com", "<p>", "es")], "i int, url string, html string, target_lang string")
+    assert [(r.status, r.error) for r in localize.page_status(pages).orderBy("i").collect()] == [
+        (400, "Missing url"), (400, "Missing targetLang"), (502, "Invalid HTML received"), (400, "Only HTTP and HTTPS URLs are allowed"), (200, None),
+    ]
+    files = spark.createDataFrame([(0, "a.txt", "x", "es"), (1, "a.PROPERTIES", None, "es"), (2, "a.properties", "x", None), (3, "a.properties", "", "es")], "i int, filename string, content string, target_lang string")
+    assert [(r.status, r.error) for r in localize.file_status(files).orderBy("i").collect()] == [
+        (500, "Only .properties files are allowed"), (400, "No file uploaded"), (400, "Missing target language (targetLang)"), (200, None),
+    ]
+
+
+def test_failures_of_models_are_told(spark):
+    def broken(texts, lang):
+        raise RuntimeError("no model")
+
+    rows = spark.createDataFrame([("a",), (" ",)], "t string")
+    short, good = (lambda texts, lang: []), (lambda texts, lang: texts)
+    out = {r.t: (r.o, r.why) for r in backends.batches(broken, short, good, failures="why")(rows.coalesce(1), "t", "o", "x").collect()}
+    assert out == {"a": ("a", "0: RuntimeError: no model; 1: 0 texts for 1"), " ": ("", None)}
+    assert backends.batches(good, failures="why")(rows, "t", "o", "x").where("why is not null").count() == 0
+
+
 def test_memory_asks_once_for_each_text(spark, tmp_path):
     asked = spark.sparkContext.accumulator(0)
 
@@ -114,7 +187,9 @@ def test_properties_round_trip(spark, tmp_path):
     (tmp_path / "m.properties").write_bytes(b'a=1\r\n\r\n"k" = "v";\n')
     (tmp_path / "other.txt").write_text("x=1")
     files = properties.read_files(spark, str(tmp_path))
-    assert [r.filename for r in files.collect()] == ["m.properties"]
+    assert [(r.filename, r.error) for r in files.collect()] == [("m.properties", None)]
+    small = properties.read_files(spark, str(tmp_path), replace(COMPATIBLE, max_file_bytes=3)).collect()
+    assert [(r.filename, r.content, r.error) for r in small] == [("m.properties", None, "File too large")]
     assert properties.rebuilt(properties.parsed(files), "filename").first().content == "a = 1\n\nk = v\n"
 
 

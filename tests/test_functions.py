@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -65,9 +67,26 @@ def test_brand_restored_each_spelling(spark):
     assert both.select(tk.brands_restored(F.col("b.text"), F.col("b.found"), "each")).first()[0] == "talk and TALK"
 
 
-def test_tags_restored_longest_first(spark):
-    rows = spark.createDataFrame([("TAG_OPEN_1 TAG_OPEN_10", [("TAG_OPEN_1", "<a>"), ("TAG_OPEN_10", "<b>")])], "t string, m array<struct<token:string,tag:string>>")
-    assert rows.select(tk.tags_restored(F.col("t"), F.col("m"))).first()[0] == "<a> <b>"
+def test_entities_of_any_number(spark):
+    values = ["&#x0000041;&#0000066;", "&#1114112;&#x110000;&#xD800;", "&#99999999999999999999;", "&#x1F600;&#0;", "&amp;#65;", "&#xE9;&#;&#x;"]
+    assert column(spark, values, tx.decoded_entities) == ["AB", values[1], values[2], "\U0001f600\x00", "&#65;", "\xe9&#;&#x;"]
+
+
+def test_character_grams_of_all_scripts():
+    def directly(a, b, n=4):
+        def grams(t):
+            units = t.encode("utf-16-le")
+            t = "".join(chr(int.from_bytes(units[i : i + 2], "little")) for i in range(0, len(units), 2))
+            return Counter(t[i : i + n].lower() for i in range(len(t) - n + 1))
+
+        x, y = grams(a), grams(b)
+        shared = sum((x & y).values())
+        return 2 * shared / (x.total() + y.total()) if shared else 0.0
+
+    texts = ["the quick brown fox", "The Quick BROWN dog", "\u0130stanbul \u0130stanbul", "\u03a3\u039f\u03a6\u039f\u03a3 \u03c3\u03bf\u03c6\u03cc\u03c2", "\U0001f600\U0001f601 smile \U0001f600", "abc", "\xe9\xc9\xe9\xc9\xe9", "aaaaaaaa"]
+    for a in texts:
+        for b in texts:
+            assert quality._character_f(a, b, 4) == pytest.approx(directly(a, b)), (a, b)
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
