@@ -314,7 +314,11 @@ def localize_pages(spark, sf):
 
 
 def localize_properties(spark, sf):
-    files = spark.createDataFrame([("messages.properties", RESOURCE)], "filename string, content string")
+    """A resource file of the properties of each type of event, besides a fixed one."""
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" = "), F.coalesce("props", F.lit("")), F.lit(";"))
+    events = _table(spark, sf, "events").groupBy(F.concat(F.coalesce("event_type", F.lit("none")), F.lit(".properties")).alias("filename"))
+    files = events.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    files = files.union(spark.createDataFrame([("messages.properties", RESOURCE)], "filename string, content string"))
     return localize.localize_properties(files, "spa_Latn", backend=backends.pseudo, glossary=gl.from_entries(spark, GLOSSARY))[0]
 
 
@@ -367,6 +371,8 @@ def _expected(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM {_sql_values(rows, names)}"
 
 
+#: ``RESOURCE`` after the pseudo backend, worked out by hand.
+_RESOURCE_DONE = "# note\n! note\n// note\n\norphan line\na = [spa_Latn] b=c\nk = [spa_Latn] v\nk = [spa_Latn] v\nk:v\nempty = \nGreeting = [spa_Latn] Hello {0}, you have %d new messages. Please read them today."
 _SCORES = r"""
 t AS (SELECT conv_id, turn, text FROM conversations),
 p AS (
@@ -390,6 +396,41 @@ z AS (
 q AS (SELECT *, bleu * 0.35::DOUBLE + chrf * 0.35::DOUBLE + length_score * 0.3::DOUBLE AS confidence FROM z)"""
 
 
+_PARSED = rf"""{_LINES},
+c AS (SELECT doc_id AS file_id, line_no, line AS raw, {_TRIM.format('line')} AS t, instr(line, '=') AS pos FROM l),
+y AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(#|!|//)') OR pos = 0 THEN 'comment' ELSE 'entry' END AS type,
+  {_TRIM.format("substr(line, 1, pos - 1)").replace("line", "raw")} AS k, {_TRIM.format("substr(line, pos + 1)").replace("line", "raw")} AS v FROM c),
+x AS (SELECT *, CASE WHEN k LIKE '%;' THEN rtrim(k[:-2]) ELSE k END AS k2, CASE WHEN v LIKE '%;' THEN rtrim(v[:-2]) ELSE v END AS v2 FROM y),
+r AS (SELECT file_id, line_no, type,
+  CASE WHEN type = 'entry' THEN CASE WHEN length(k2) >= 2 AND k2 LIKE '"%"' THEN k2[2:-2] ELSE k2 END END AS key,
+  CASE WHEN type = 'entry' THEN CASE WHEN length(v2) >= 2 AND v2 LIKE '"%"' THEN v2[2:-2] ELSE v2 END END AS value, raw
+FROM x)"""
+# Lines joined until one ends a sentence or is empty: g counts the ends before a line, e is 1 for an empty line, which closes its group.
+_PARAGRAPHS = rf"""
+a AS (SELECT doc_id, {_TRIM.format("regexp_replace(regexp_replace(regexp_replace(text, '" + chr(92) + "r" + chr(92) + "n?', chr(10), 'g'), '[ " + chr(92) + "t]+', ' ', 'g'), '" + chr(92) + "n{{3,}}', chr(10) || chr(10), 'g')").replace("{{", "{").replace("}}", "}")} AS text FROM documents),
+b AS (SELECT doc_id, i, {_TRIM.format("p[i]")} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM a WHERE text <> ''), unnest(generate_series(1, len(p))) AS q(i)),
+c AS (SELECT *, (line = '')::INT AS e, coalesce(sum((line = '' OR regexp_matches(line, '[.!?]$'))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM b),
+d AS (SELECT doc_id, g, e, string_agg(line, ' ' ORDER BY i) AS paragraph FROM c GROUP BY doc_id, g, e)"""
+# The pseudo translation of each document, and its scores against the text.
+_PSEUDO = rf"""{_UNITS},
+j AS MATERIALIZED (SELECT doc_id, list_transform(l, lambda u: CASE WHEN {_NORM.format("u")} = '' THEN '' ELSE '[spa_Latn] ' || {_NORM.format("u")} END) AS l FROM e),
+p AS MATERIALIZED (SELECT d.doc_id, coalesce(d.text, '') AS src, coalesce(CASE WHEN {_NORM.format("coalesce(d.text, '')")} = '' THEN '' WHEN len(j.l) > 1 THEN {_TRIM.format("array_to_string(j.l, ' ')")} ELSE j.l[1] END, '') AS tr FROM documents d LEFT JOIN j USING (doc_id)),
+w AS MATERIALIZED (SELECT doc_id, 'c' AS side, lower(unnest(list_filter(regexp_split_to_array(tr, '\s+'), lambda x: x <> ''))) AS w FROM p
+  UNION ALL SELECT doc_id, 'r', lower(unnest(list_filter(regexp_split_to_array(src, '\s+'), lambda x: x <> ''))) FROM p),
+o AS (SELECT p.doc_id, src, tr, coalesce(c, 0) AS c, coalesce(r, 0) AS r, coalesce(hit, 0) AS hit FROM p LEFT JOIN (
+  SELECT w.doc_id, count(*) FILTER (side = 'c') AS c, count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 'c' AND k.w IS NOT NULL) AS hit
+  FROM w LEFT JOIN (SELECT DISTINCT doc_id, w FROM w WHERE side = 'r') k ON w.doc_id = k.doc_id AND w.w = k.w GROUP BY w.doc_id) n ON n.doc_id = p.doc_id),
+g AS (SELECT doc_id, side, lower(substr(s, i, 4)) AS gram FROM (SELECT doc_id, 'c' AS side, tr AS s FROM p UNION ALL SELECT doc_id, 'r', src FROM p), unnest(generate_series(1, length(s) - 3)) AS q(i)),
+n AS (SELECT doc_id, gram, count(*) FILTER (side = 'c') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL),
+f AS (SELECT doc_id, sum(least(a, b))::DOUBLE AS m, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM n GROUP BY ALL),
+z AS (SELECT o.doc_id, src, tr,
+    CASE WHEN hit = 0 THEN 0.0::DOUBLE ELSE 2 * (hit::DOUBLE / c) * (hit::DOUBLE / r) / (hit::DOUBLE / c + hit::DOUBLE / r) END AS bleu,
+    CASE WHEN coalesce(m, 0) = 0 OR a = 0 OR b = 0 THEN 0.0::DOUBLE ELSE 2 * (m / a) * (m / b) / (m / a + m / b) END AS chrf,
+    (CASE WHEN r = 0 OR c::DOUBLE / r BETWEEN 0.5 AND 2 THEN 1 WHEN c::DOUBLE / r < 0.3 OR c::DOUBLE / r > 3 THEN 0.3 ELSE 0.7 END)::DOUBLE AS length_score
+  FROM o LEFT JOIN f ON o.doc_id = f.doc_id),
+q AS (SELECT *, bleu * 0.35::DOUBLE + chrf * 0.35::DOUBLE + length_score * 0.3::DOUBLE AS confidence FROM z)"""
+
+
 def oracle_sql() -> dict[str, str]:
     resource = RESOURCE.split("\n")
     parsed = [("comment", None, None)] * 3 + [("blank", None, None), ("comment", None, None), ("entry", "a", "b=c"), ("entry", "k", "v"), ("entry", "k", "v"), ("comment", None, None), ("entry", "empty", ""), ("entry", "Greeting", resource[-1].partition("= ")[2])]
@@ -425,16 +466,17 @@ def oracle_sql() -> dict[str, str]:
         "low_confidence": f"WITH {_SCORES} SELECT kind, conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM q WHERE confidence < 0.85 GROUP BY kind, conv_id",
         "entity_decode": _expected([("a & b",), ("<",), ("éé",), ("<p> \"x\" '",), ("none",)], "text"),
         "mojibake_fix": _expected([("நன", "நன"), ("plain", "plain"), ("caf�", "café"), ("Ã©", "Ã©"), ("நன", "நன")], "text, strict"),
-        "properties_parse": rf"""
-WITH {_LINES},
-c AS (SELECT doc_id AS file_id, line_no, line AS raw, {_TRIM.format('line')} AS t, instr(line, '=') AS pos FROM l),
-y AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(#|!|//)') OR pos = 0 THEN 'comment' ELSE 'entry' END AS type,
-  {_TRIM.format("substr(line, 1, pos - 1)").replace("line", "raw")} AS k, {_TRIM.format("substr(line, pos + 1)").replace("line", "raw")} AS v FROM c),
-x AS (SELECT *, CASE WHEN k LIKE '%;' THEN rtrim(k[:-2]) ELSE k END AS k2, CASE WHEN v LIKE '%;' THEN rtrim(v[:-2]) ELSE v END AS v2 FROM y)
-SELECT file_id, line_no, type,
-  CASE WHEN type = 'entry' THEN CASE WHEN length(k2) >= 2 AND k2 LIKE '"%"' THEN k2[2:-2] ELSE k2 END END AS key,
-  CASE WHEN type = 'entry' THEN CASE WHEN length(v2) >= 2 AND v2 LIKE '"%"' THEN v2[2:-2] ELSE v2 END END AS value, raw
-FROM x""",
+        "properties_parse": f"WITH {_PARSED} SELECT * FROM r",
+        "properties_rebuild": f"WITH {_PARSED} SELECT file_id, string_agg(CASE WHEN type = 'entry' THEN key || ' = ' || coalesce(value, '') ELSE raw END, chr(10) ORDER BY line_no) AS content FROM r GROUP BY file_id",
+        "chunk_400": f"""WITH RECURSIVE s AS (SELECT doc_id, {_split("text")} AS l FROM documents),
+p AS (SELECT doc_id, 1 AS i, length(l[1]) AS size, 0 AS n FROM s WHERE len(l) > 0
+  UNION ALL SELECT p.doc_id, i + 1, CASE WHEN size + length(l[i + 1]) <= 400 THEN size ELSE 0 END + length(l[i + 1]), CASE WHEN size + length(l[i + 1]) <= 400 THEN n ELSE n + 1 END
+  FROM p JOIN s ON p.doc_id = s.doc_id WHERE i < len(l))
+SELECT p.doc_id, n::INT AS n, string_agg(l[i], ' ' ORDER BY i) AS chunk FROM p JOIN s ON p.doc_id = s.doc_id GROUP BY p.doc_id, n""",
+        "merge_broken_lines": f"WITH {_PARAGRAPHS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, e) - 1)::INT AS n, paragraph FROM d",
+        "preprocess_sentences": f"WITH {_PARAGRAPHS}, s AS (SELECT doc_id, g, {_split('paragraph')} AS l FROM d WHERE e = 0) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1)::INT AS n, l[i] AS sentence FROM s, unnest(generate_series(1, len(l))) AS q(i)",
+        "pipeline_pseudo": f"WITH {_PSEUDO} SELECT doc_id, CASE WHEN confidence < 0.85 THEN CASE WHEN {_NORM.format('src')} = '' THEN '' ELSE '[spa_Latn] ' || {_NORM.format('src')} END ELSE tr END AS translated, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(length_score, 6) AS length_score, round(confidence, 6) AS confidence, confidence < 0.85 AS flagged FROM q",
+        "localize_properties": "SELECT coalesce(event_type, 'none') || '.properties' AS filename, string_agg(event_id || ' = ' || CASE WHEN coalesce(props, '') = '' THEN '' ELSE '[spa_Latn] ' || props END, chr(10) ORDER BY event_id) AS content, coalesce(event_type, 'none') || '-spa_Latn.properties' AS download_name FROM events GROUP BY event_type UNION ALL SELECT 'messages.properties', " + "'" + _RESOURCE_DONE.replace("'", "''") + "', 'messages-spa_Latn.properties'",
         "properties_fixture": "SELECT 1::INT AS file_id, id AS line_no, type, key, value, raw FROM " + _sql_values([(*p, raw) for p, raw in zip(parsed, resource, strict=True)], "type, key, value, raw"),
         "text_file_roundtrip": rf"WITH {_LINES} SELECT doc_id AS file_id, string_agg(CASE WHEN {_TRIM.format('line')} = '' THEN '' ELSE '> ' || {_TRIM.format('line')} END, chr(10) ORDER BY line_no) AS content FROM l GROUP BY doc_id",
         "download_filename": _expected([("messages-ta.properties",), ("file-fr.properties",), ("a_b_c-translated.properties",), ("X-pt-BR.properties",), ("file-es.properties",)], "filename"),
