@@ -1,15 +1,18 @@
 """Toxicity: a linear-chain conditional random field tags toxic words.
 
 Labels are known for whole documents.  Words, and beginnings of words, that occur in
-more contexts of toxic documents than chance allows mark the toxic tokens of a bounded
-sample of labelled documents; the field is trained on those.  Forward-backward
-marginals of its tokens then add up to a document score and to offending offsets.
+more contexts of toxic documents than chance allows mark the first toxic tokens of a
+bounded sample of labelled documents.  The field, which sees a token's word, its
+beginnings and both neighbours, is trained on those, and once more on the tokens of toxic
+documents that its own marginals find likely.  Forward-backward marginals of its tokens
+then add up to a document score and to offending offsets.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,9 +24,10 @@ from pyspark.sql import types as T
 
 from .common import order_key, remainder
 from .crf import Chain, fit
+from .tokens import distinct_words, slices
 
-#: Most labelled documents of each label that a model is fitted on, and their longest length.
-FIT_ROWS, FIT_CHARS = 1000, 10_000
+#: Most labelled documents of each label that a model is fitted on, their longest length, and most segments with and without toxic tokens.
+FIT_ROWS, FIT_CHARS, FIT_SEGMENTS = 1000, 100_000, 1500
 STEMS = (4, 5, 6)
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -38,6 +42,11 @@ def own_features(word: str) -> list[str]:
     return [f"w={word}", *(f"{n}={word[:n]}" for n in STEMS if len(word) > n)]
 
 
+def around(words: list[str], k: int) -> list[str]:
+    """The neighbours of token k as features."""
+    return [*([f"-1={words[k - 1]}"] if k else []), *([f"+1={words[k + 1]}"] if k + 1 < len(words) else [])]
+
+
 @dataclass
 class Model:
     chain: Chain
@@ -72,29 +81,36 @@ def marked_features(docs: list[list[str]], toxic: list[int]) -> set[str]:
     return marked
 
 
-def train(texts: list[str], toxic: list[int], most: int = 1200, length: int = 64) -> Model:
-    """Fit the field and the document score on labelled texts."""
+def train(texts: list[str], toxic: list[int], most: int = FIT_SEGMENTS, length: int = 64) -> Model:
+    """Fit the field and the document score on labelled texts.
+
+    At most ``most`` segments of ``length`` words with toxic tokens and as many without
+    are used, chosen by a hash of their words from all texts.
+    """
     docs = [[plain(w) for w in TOKEN.findall(t)] for t in texts]
     marked = marked_features(docs, toxic)
-    segments, labels = [], []
-    spare = []
-    for words, label in zip(docs, toxic, strict=True):
-        for at in range(0, len(words), length):
-            part = words[at : at + length]
-            y = [int(bool(label) and not marked.isdisjoint(own_features(w))) for w in part]
-            (segments if any(y) else spare).append(part)
-            if any(y):
-                labels.append(y)
-    del segments[most:], labels[most:]
-    step = max(1, len(spare) // most)
-    chosen = spare[::step][:most]
-    segments += chosen
-    labels += [[0] * len(s) for s in chosen]
-    if not segments:
+    order = lambda s: zlib.crc32(" ".join(s[0]).encode("utf-8", "surrogatepass"))
+    parts = [(words[at : at + length], label) for words, label in zip(docs, toxic, strict=True) for at in range(0, len(words), length)]
+    parts = [(words, [int(bool(label) and not marked.isdisjoint(own_features(w))) for w in words], label) for words, label in parts]
+    chosen = sorted((p for p in parts if any(p[1])), key=order)[:most] + sorted((p for p in parts if not any(p[1])), key=order)[:most]
+    if not any(any(y) for _, y, _ in chosen):
         return Model(Chain(start=np.array([0.0, -4.0])), (-2.0, 0.5))
-    useful = {f for s, y in zip(segments, labels, strict=True) if any(y) for w, k in zip(s, y, strict=True) if k for f in own_features(w)}
-    sequences = [[["bias", *(f for f in own_features(w) if f in useful)] for w in s] for s in segments]
-    chain = fit(sequences, labels)
+    labels = [y for _, y, _ in chosen]
+    for last in (False, True):
+        seen: Counter = Counter()
+        for (words, _, _), y in zip(chosen, labels, strict=True):
+            for k in np.flatnonzero(y).tolist():
+                seen.update(own_features(words[k]))
+                seen.update(f for f in around(words, k))
+        useful = {f for f, n in seen.items() if f[0] not in "+-" or n > 2}  # a neighbour has to be met often
+        sequences = [[["bias", *(f for f in (*own_features(w), *around(words, k)) if f in useful)] for k, w in enumerate(words)] for words, _, _ in chosen]
+        chain = fit(sequences, labels)
+        if not last:  # the tokens of toxic documents that the field itself takes for toxic
+            sizes = np.array([len(words) for words, _, _ in chosen], np.int64)
+            odds = np.split(chain.marginals(chain.emissions([fs for q in sequences for fs in q]), sizes), np.cumsum(sizes)[:-1])
+            labels = [[int(label and o > 0) for o in some] for (_, _, label), some in zip(chosen, odds, strict=True)]
+            if not any(map(any, labels)):
+                break
     odds = document_odds(chain, docs)
     y = np.array(toxic, float)
     a, b = 0.0, 1.0
@@ -121,43 +137,47 @@ def any_toxic(log_odds: np.ndarray) -> float:
 
 def document_odds(chain: Chain, docs: list[list[str]]) -> np.ndarray:
     sizes = np.array([len(d) for d in docs], np.int64)
-    e = chain.emissions([["bias", *own_features(w)] for words in docs for w in words])
+    e = chain.emissions([["bias", *own_features(w), *around(words, k)] for words in docs for k, w in enumerate(words)])
     odds, ends = chain.marginals(e, sizes), np.cumsum(sizes)
     return np.array([any_toxic(odds[b - n : b]) for b, n in zip(ends, sizes, strict=True)])
 
 
 class Tagger:
-    """Scores texts; the emission of each distinct word is remembered (emptied when large)."""
+    """Scores texts; the weights of each distinct word of a batch are looked up once."""
 
-    def __init__(self, model: Model, most: int = 250_000):
-        self.model, self.most = model, most
-        self.known: dict[str, float] = {}
+    def __init__(self, model: Model):
+        self.model = model
 
-    def emission(self, word: str) -> float:
+    def emissions(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of all tokens of all texts, one text after another, and the number of tokens of each."""
         get = self.model.chain.weights.get
-        value = get("bias", 0.0) + sum(get(f, 0.0) for f in own_features(plain(word)))
-        if len(self.known) >= self.most:
-            self.known.clear()
-        self.known[word] = value
-        return value
-
-    def tag(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        words, which, sizes = distinct_words(texts)
+        weights = np.zeros((3, len(words)))  # as the token itself, before it, after it
+        for k, word in enumerate(map(plain, words.to_pylist())):
+            weights[:, k] = sum(get(f, 0.0) for f in own_features(word)), get(f"-1={word}", 0.0), get(f"+1={word}", 0.0)
+        e = get("bias", 0.0) + weights[0][which]
+        ends = np.cumsum(sizes)
+        inner = np.ones(len(which), bool)  # tokens that are not the first of their text
+        inner[(ends - sizes)[sizes > 0]] = False
+        after = np.flatnonzero(inner)
+        e[after] += weights[1][which[after - 1]]
+        e[after - 1] += weights[2][which[after]]
+        return e, sizes
+
+    def tag(self, texts: pa.Array) -> list[tuple[float, list[dict]]]:
         """(score, spans) of each text; a span is (start, end, p) in characters, with p of its likeliest token."""
-        known, emission = self.known, self.emission
-        split = [TOKEN.findall(t) if t else [] for t in texts]
-        sizes = np.array([len(s) for s in split], np.int64)
-        flat = np.fromiter((known[w] if w in known else emission(w) for s in split for w in s), float, int(sizes.sum()))
+        flat, sizes = self.emissions(texts)
         odds = self.model.chain.marginals(flat, sizes)
         a, b = self.model.scale
         out, at = [], 0
-        for text, n in zip(texts, sizes.tolist(), strict=True):
+        for k, n in enumerate(sizes.tolist()):
             own = odds[at : at + n]
             at += n
             z = a + b * min(20.0, max(-20.0, any_toxic(own)))
             spans = []
             if n and own.max() > 0:
                 last = -2
-                for k, m in enumerate(TOKEN.finditer(text)):
+                for k, m in enumerate(TOKEN.finditer(texts[k].as_py())):
                     if own[k] > 0:
                         p = float(1 / (1 + np.exp(-own[k])))
                         if k == last + 1:
@@ -206,9 +226,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def batches(frames):
         tagger = Tagger(model)
         for frame in frames:
-            for first in range(0, len(frame), 500):
-                part = frame.slice(first, 500)
-                found = tagger.tag(part["text"].to_pylist())
+            for first, last in slices(frame["text"]):
+                part = frame.slice(first, last - first)
+                found = tagger.tag(part["text"])
                 scores = [s for s, _ in found]
                 added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([x for _, x in found], span)]
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in others], *added], [*others, *own])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from polyglot_spark.llm import chroma, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
+from polyglot_spark.llm import chroma, crf, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ["score", "key", "size", "fp", "chunk", "spans", "n_words", "position", "rank"]
@@ -400,11 +401,53 @@ def test_toxicity_on_held_out_documents(spark):
 def test_toxicity_spans_are_offsets():
     texts = [f"clean words number {k} are here" for k in range(80)] + [f"you are an IDIOT, {k} indeed {k + 1}" for k in range(40)]
     model = toxicity.train(texts, [0] * 80 + [1] * 40)
-    (low, none), (high, spans) = toxicity.Tagger(model).tag(["fine text", "he is an Idiot! Yes"])
+    (low, none), (high, spans) = toxicity.Tagger(model).tag(pa.array(["fine text", "he is an Idiot! Yes"]))
     assert low < 0.5 <= high and not none
     assert ["he is an Idiot! Yes"[s["start"] : s["end"]] for s in spans] == ["Idiot!"]
 
 
+def test_emissions_are_those_of_the_features():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(12)]
+    names = [f for w in words for f in (*toxicity.own_features(w), f"-1={w}", f"+1={w}")]
+    chain = crf.Chain({"bias": -1.0, **{f: float(rng.normal()) for f in names}})
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 9, 0, 5)] + [None]
+    e, sizes = toxicity.Tagger(toxicity.Model(chain, (0.0, 1.0))).emissions(pa.array(texts, pa.string()))
+    docs = [(t or "").split() for t in texts]
+    assert sizes.tolist() == [len(d) for d in docs]
+    assert e == pytest.approx(chain.emissions([["bias", *toxicity.own_features(w), *toxicity.around(d, k)] for d in docs for k, w in enumerate(d)]))
+
+
+def test_chain_is_that_of_enumeration():
+    """Marginals and best paths of the field against all labellings of short sequences."""
+    rng = np.random.default_rng(9)
+    sizes = np.array([1, 5, 0, 7, 2, 7])
+    chain, e = crf.Chain(start=rng.normal(size=2), trans=rng.normal(size=(2, 2))), rng.normal(size=int(sizes.sum())) * 2
+    odds, at = chain.marginals(e, sizes), 0
+    for n in sizes.tolist():
+        own = e[at : at + n]
+        paths = list(itertools.product((0, 1), repeat=n))
+        scores = np.array([sum(own[k] for k in range(n) if y[k]) + (chain.start[y[0]] + sum(chain.trans[a, b] for a, b in zip(y, y[1:], strict=False)) if n else 0) for y in paths])
+        for k in range(n):
+            one, zero = (np.logaddexp.reduce([s for s, y in zip(scores, paths, strict=True) if y[k] == v]) for v in (1, 0))
+            assert odds[at + k] == pytest.approx(one - zero)
+        if n:
+            assert tuple(chain.viterbi(own)) == paths[int(scores.argmax())]
+        at += n
+
+
+def test_chain_learns_the_gradient_to_zero():
+    """At the end of training the expected counts of features are near those seen, but for the penalty."""
+    sequences = [[["bias", "a"], ["bias"], ["bias", "b"]], [["bias", "b"], ["bias", "a"]], [["bias"], ["bias"]]] * 20
+    labels = [[1, 0, 0], [0, 1], [0, 0]] * 19 + [[0, 0, 1], [1, 1], [1, 0]]
+    chain = crf.fit(sequences, labels, rounds=400, penalty=0.1)
+    sizes = np.array([len(s) for s in sequences])
+    p = 1 / (1 + np.exp(-chain.marginals(chain.emissions([f for s in sequences for f in s]), sizes)))
+    flat, y = [f for s in sequences for f in s], [v for some in labels for v in some]
+    for name in ("bias", "a", "b"):
+        assert sum((v - q) for f, v, q in zip(flat, y, p, strict=True) if name in f) == pytest.approx(0.1 * chain.weights.get(name, 0.0), abs=0.3)
+
+
 def test_toxicity_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.fit_on(odd, labels)
