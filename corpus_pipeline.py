@@ -6,13 +6,11 @@ of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglot_spark.llm import mixing, packing, simhash, substrings, toxicity
-from polyglot_spark.llm.common import cut, table
+from polyglot_spark.llm.common import Scratch, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; every result is written as Parquet and read again for the next stage."""
+    """Apply the stages to ``documents``; every result is written as Parquet and read again for the next stage, after which it is deleted."""
     docs = table(spark, sf_dir, "documents")
-    cut(spark.range(0))  # names a folder where the session has none
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    for name, stage in STAGES[:-1]:
-        path = f"{folder.rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:
+            docs = scratch(stage(spark, docs, sf_dir))
+            scratch.clear(keep=1)
+        return cut(STAGES[-1][1](spark, docs, sf_dir))

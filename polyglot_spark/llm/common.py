@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and cut its lineage in the folder of ``spark.checkpoint.dir``.
+    """Materialise ``df`` and cut its lineage in the folder of ``spark.checkpoint.dir``."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where a local session names none (tests, laptops), a temporary one.
 
-    A local folder is used only where the session names none (tests, laptops).
+    On a cluster without the setting this is an error: other machines would not see a local folder.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="polyglot-checkpoint-"))
-    return df.checkpoint()
+        folder = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+class Scratch:
+    """Parquet tables in the cluster's shared folder for the length of one job, deleted at its end or failure."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.folder = spark, [], shared_folder(spark)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.made.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Delete all tables but the last ``keep``."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        last = len(self.made) - keep
+        for path in self.made[:last]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        del self.made[:last]
 
 
 def words(text) -> F.Column:
@@ -104,7 +145,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars: (node, root) for each node of an edge.
 
     ``root`` is the smallest node of the component.  The number of rounds is
-    logarithmic in the longest path; each round's edges are cut with a checkpoint.
+    logarithmic in the longest path; each round's edges are cut with a checkpoint, and
+    so is the side with one row for each node of the joins on hub nodes, which adaptive
+    execution can then split.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e, mark = cut(e), None
@@ -114,9 +157,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("v")))
         moved = large.join(low.withColumnRenamed("v", "m"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(low.select("u", "v").union(moved).distinct())
     root = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

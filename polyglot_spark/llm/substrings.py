@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import Scratch, cut
 
 WINDOW, KMER = 50, 19
 #: Fixed odd multipliers of the two rolling hashes.
@@ -150,28 +149,6 @@ def covered_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, scratch=c
     return straight.union(crossed).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
 
-class Scratch:
-    """Parquet tables in the cluster's shared folder for the length of one job."""
-
-    def __init__(self, spark):
-        context = spark.sparkContext
-        cut(spark.range(0))  # sets a folder where the session has none
-        self.spark, self.made = spark, []
-        self.folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-
-    def __call__(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
-        path = f"{self.folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        df.write.parquet(path, compression=compression)
-        self.made.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def _kept(text: str | None, runs) -> tuple[int, int, str, str]:
     """(words, words removed, kept words joined by one space, text without the removed words)."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -206,9 +183,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts:
     others; rows of equal id do not take words from each other; no rows give no rows.
     With ``texts`` false the other columns and the text are left out.
     """
-    scratch = Scratch(docs.sparkSession)
-    runs = cut(covered_runs(docs, window, k, scratch))
-    scratch.clear()
+    with Scratch(docs.sparkSession) as scratch:
+        runs = cut(covered_runs(docs, window, k, scratch))
     own = ["n_words", "n_removed", "kept_sha256"]
     others = [c for c in docs.columns if c not in {*own, "__own_key", "__own_runs"}] if texts else ["doc_id"]
     rows = docs.select(*[f"`{c}`" for c in dict.fromkeys([*others, "doc_id", "text"])], F.xxhash64("text").alias("__own_key"))
