@@ -541,12 +541,12 @@ def test_audio_alignment_finds_the_shift(spark):
 
 
 def aligned_directly(x, y, marked):
-    """Whether some offset of two code sequences has a window (or all of the shorter one) with few bit errors, with an equal code and equal upper 24 bits eight codes later in it if ``marked``."""
+    """Whether some offset of two code sequences has a window (or all of the shorter one) with few bit errors, with an equal code and equal upper 20 bits eight codes later in it if ``marked``."""
     span = min(16, len(x), len(y))
     for shift in range(-len(x) + span, len(y) - span + 1):
         first, last = max(0, -shift), min(len(x), len(y) - shift)
         differ = x[first:last] ^ y[first + shift : last + shift]
-        wrong, upper = np.bitwise_count(differ).astype(int), differ >> 8
+        wrong, upper = np.bitwise_count(differ).astype(int), differ >> 12
         for k in range(len(wrong) - span + 1):
             part = wrong[k : k + span]
             if part.sum() <= 0.15 * 32 * span and (not marked or ((part[:-8] == 0) & (upper[k + 8 : k + span] == 0)).any()):
@@ -564,7 +564,7 @@ def test_audio_links_are_those_of_brute_force(spark):
     sounds = {i: rng.integers(0, 1 << 32, rng.integers(2, 40), np.uint32) for i in range(40, 70)}
     sounds |= {i: np.concatenate([rng.integers(0, 1 << 32, i, np.uint32), noisy(song, (0.01, 0.03, 0.06)[i % 3])]) for i in range(1, 25)}
     sounds |= {0: song, 25: song[:6], 26: song[3:5], 27: song[:1], 28: noisy(song[:12], 0.03), 29: np.tile(song[:2], 40), 30: np.tile(song[:2], 9), 31: song[:17], 32: song[44:]}
-    jingle = song[20:29] & np.uint32(0xFFFFFF00)
+    jingle = song[20:29] & np.uint32(0xFFFFF000)
     sounds |= {100 + i: np.concatenate([rng.integers(0, 1 << 32, 20, np.uint32), np.concatenate([jingle[:1], noisy(jingle[1:8], 0.2 + 0.02 * (i % 6)), jingle[8:]]), noisy(song[29:36], 0.13 + 0.01 * (i % 6)), rng.integers(0, 1 << 32, i % 4, np.uint32)]) for i in range(40)}
     codes = {i: x.tobytes() for i, x in sounds.items()}
     rows = spark.createDataFrame([(i, bytearray(x)) for i, x in codes.items()], "rec_id long, codes binary")
