@@ -54,23 +54,39 @@ class Model:
     scale: tuple[float, float]
 
 
-def marked_features(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    """Features that occur in more distinct contexts of toxic documents than chance allows.
+def plain_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct plain words, the number of each token's word, number of tokens of each text)."""
+    words, which, sizes = distinct_words(pa.array(texts, pa.string()))
+    names: dict[str, int] = {}
+    code = np.array([names.setdefault(plain(w), len(names)) for w in words.to_pylist()], np.int64)
+    return list(names), code[which], sizes
+
+
+def marked_words(names: list[str], ids: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Words with a feature that occurs in more distinct contexts of toxic documents than chance allows.
 
     A context is the word before and after, so that copies of a document count once.
     """
-    totals: tuple[set, set] = (set(), set())
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label in zip(docs, toxic, strict=True):
-        for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
-            context = hash((a, w, b))
-            if context not in totals[label]:
-                totals[label].add(context)
-                seen[label].update(own_features(w))
-    share = len(totals[1]) / max(1, len(totals[0]) + len(totals[1]))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    same = np.concatenate([[False], doc[1:] == doc[:-1], [False]])
+    before, after = np.where(same[:-1], np.roll(ids, 1) + 1, 0), np.where(same[1:], np.roll(ids, -1) + 1, 0)
+    context = (before << 42) ^ (ids << 21) ^ after
+    first, totals = np.zeros((2, len(names)), np.int64), [0, 0]
+    for label in (0, 1):
+        _, at = np.unique(context[toxic[doc] == label], return_index=True)
+        first[label], totals[label] = np.bincount(ids[toxic[doc] == label][at], minlength=len(names)), len(at)
+    share, marked = totals[1] / max(1, sum(totals)), set()
     if not 0 < share < 1:
-        return set()
-    limit, marked = -math.log(len(seen[1]) + 1) - 3, set()
+        return np.zeros(len(names), bool)
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for k in np.flatnonzero(first[1]).tolist():
+        for f in own_features(names[k]):
+            seen[1][f] += int(first[1][k])
+    for k in np.flatnonzero(first[0]).tolist():
+        for f in own_features(names[k]):
+            if f in seen[1]:
+                seen[0][f] += int(first[0][k])
+    limit = -math.log(len(seen[1]) + 1) - 3
     for f, t in seen[1].items():
         n = t + seen[0][f]
         if t >= 2 and t > share * n:
@@ -78,7 +94,7 @@ def marked_features(docs: list[list[str]], toxic: list[int]) -> set[str]:
             tail = -n * (t / n * math.log(p / share) + ((n - t) / n * math.log((1 - p) / (1 - share)) if t < n else 0.0))
             if tail < limit and p > 0.8:
                 marked.add(f)
-    return marked
+    return np.array([not marked.isdisjoint(own_features(w)) for w in names], bool)
 
 
 def train(texts: list[str], toxic: list[int], most: int = FIT_SEGMENTS, length: int = 64) -> Model:
@@ -87,34 +103,32 @@ def train(texts: list[str], toxic: list[int], most: int = FIT_SEGMENTS, length:
     At most ``most`` segments of ``length`` words with toxic tokens and as many without
     are used, chosen by a hash of their words from all texts.
     """
-    docs = [[plain(w) for w in TOKEN.findall(t)] for t in texts]
-    marked = marked_features(docs, toxic)
-    order = lambda s: zlib.crc32(" ".join(s[0]).encode("utf-8", "surrogatepass"))
-    parts = [(words[at : at + length], label) for words, label in zip(docs, toxic, strict=True) for at in range(0, len(words), length)]
-    parts = [(words, [int(bool(label) and not marked.isdisjoint(own_features(w))) for w in words], label) for words, label in parts]
-    chosen = sorted((p for p in parts if any(p[1])), key=order)[:most] + sorted((p for p in parts if not any(p[1])), key=order)[:most]
-    if not any(any(y) for _, y, _ in chosen):
+    names, ids, sizes = plain_words(texts)
+    label = np.array(toxic, np.int64)
+    hit = marked_words(names, ids, sizes, label)[ids] & (np.repeat(label, sizes) == 1) if len(ids) else np.zeros(0, bool)
+    parts = [(at, min(at + length, end), d) for d, (end, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)) for at in range(end - n, end, length)]
+    order = lambda p: zlib.crc32(" ".join(names[k] for k in ids[p[0] : p[1]].tolist()).encode("utf-8", "surrogatepass"))
+    chosen = [p for some in (True, False) for p in sorted((p for p in parts if hit[p[0] : p[1]].any() == some), key=order)[:most]]
+    words = [[names[k] for k in ids[a:b].tolist()] for a, b, _ in chosen]
+    labels = [hit[a:b].astype(int).tolist() for a, b, _ in chosen]
+    if not any(map(any, labels)):
         return Model(Chain(start=np.array([0.0, -4.0])), (-2.0, 0.5))
-    labels = [y for _, y, _ in chosen]
     for last in (False, True):
         seen: Counter = Counter()
-        for (words, _, _), y in zip(chosen, labels, strict=True):
+        for some, y in zip(words, labels, strict=True):
             for k in np.flatnonzero(y).tolist():
-                seen.update(own_features(words[k]))
-                seen.update(f for f in around(words, k))
+                seen.update((*own_features(some[k]), *around(some, k)))
         useful = {f for f, n in seen.items() if f[0] not in "+-" or n > 2}  # a neighbour has to be met often
-        sequences = [[["bias", *(f for f in (*own_features(w), *around(words, k)) if f in useful)] for k, w in enumerate(words)] for words, _, _ in chosen]
+        sequences = [[["bias", *(f for f in (*own_features(w), *around(some, k)) if f in useful)] for k, w in enumerate(some)] for some in words]
         chain = fit(sequences, labels)
         if not last:  # the tokens of toxic documents that the field itself takes for toxic
-            sizes = np.array([len(words) for words, _, _ in chosen], np.int64)
-            odds = np.split(chain.marginals(chain.emissions([fs for q in sequences for fs in q]), sizes), np.cumsum(sizes)[:-1])
-            labels = [[int(label and o > 0) for o in some] for (_, _, label), some in zip(chosen, odds, strict=True)]
+            lengths = np.array(list(map(len, words)), np.int64)
+            odds = np.split(chain.marginals(chain.emissions([fs for q in sequences for fs in q]), lengths), np.cumsum(lengths)[:-1])
+            labels = [[int(label[d] and o > 0) for o in own] for (_, _, d), own in zip(chosen, odds, strict=True)]
             if not any(map(any, labels)):
                 break
-    odds = document_odds(chain, docs)
-    y = np.array(toxic, float)
-    a, b = 0.0, 1.0
-    x = np.clip(odds, -20, 20)
+    x = np.clip(document_odds(chain, texts), -20, 20)
+    y, a, b = label.astype(float), 0.0, 1.0
     for _ in range(50):  # Newton steps of a penalised logistic regression
         p = 1 / (1 + np.exp(-(a + b * x)))
         weight = p * (1 - p) + 1e-6
@@ -135,11 +149,15 @@ def any_toxic(log_odds: np.ndarray) -> float:
     return float(np.log(-np.expm1(none)) - none)
 
 
-def document_odds(chain: Chain, docs: list[list[str]]) -> np.ndarray:
-    sizes = np.array([len(d) for d in docs], np.int64)
-    e = chain.emissions([["bias", *own_features(w), *around(words, k)] for words in docs for k, w in enumerate(words)])
-    odds, ends = chain.marginals(e, sizes), np.cumsum(sizes)
-    return np.array([any_toxic(odds[b - n : b]) for b, n in zip(ends, sizes, strict=True)])
+def document_odds(chain: Chain, texts: list[str]) -> np.ndarray:
+    """Log odds that a text has a toxic token, for some texts at a time."""
+    tagger, out = Tagger(Model(chain, (0.0, 1.0))), []
+    column = pa.array(texts, pa.string())
+    for first, last in slices(column, 1 << 20):
+        e, sizes = tagger.emissions(column.slice(first, last - first))
+        odds, ends = chain.marginals(e, sizes), np.cumsum(sizes)
+        out += [any_toxic(odds[b - n : b]) for b, n in zip(ends, sizes, strict=True)]
+    return np.array(out)
 
 
 class Tagger:
