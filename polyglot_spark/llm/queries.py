@@ -29,8 +29,10 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    """With the training positions of both copies, null where the mix does not take one."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixed.withColumns({f"position_{k}": F.round(F.get("positions", F.lit(k - 1)), 9) for k in (1, 2)})
+    return mixing.in_training_order(mixed, "position_1").select("doc_id", "size", "source_size", "target", "taken", "position_1", "position_2")
 
 
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +93,17 @@ r AS (
          1.5 * sum(source_size) OVER () AS total
   FROM s WINDOW w AS (ORDER BY 2 * source_size / weight, source ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT arg_min((total - held) / open_weight, most / weight) FILTER (weight * ((total - held) / open_weight) <= most) AS level FROM r),
-t AS (SELECT source, source_size, least(most, weight * coalesce(level, 0)) AS target FROM r, l),
+t AS (SELECT source, weight, source_size, least(most, weight * coalesce(level, 0)) AS target FROM r, l),
 b AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, CASE t.weight WHEN 5 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS rate,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (size * ((before + size / 2.0 < target)::INT + (source_size + before + size / 2.0 < target)::INT))::BIGINT AS taken
-FROM b
+       (size * ((before + size / 2.0 < target)::INT + (source_size + before + size / 2.0 < target)::INT))::BIGINT AS taken,
+       -- the rate falls or rises evenly from `rate` to 2 - `rate`; these are the times at which its integral reaches the demand u
+       CASE WHEN before + size / 2.0 < target THEN round(2 * u1 / (rate + sqrt(greatest(0.0, rate * rate + 2 * (2 - 2 * rate) * u1))), 9) END AS position_1,
+       CASE WHEN source_size + before + size / 2.0 < target THEN round(2 * u2 / (rate + sqrt(greatest(0.0, rate * rate + 2 * (2 - 2 * rate) * u2))), 9) END AS position_2
+FROM (SELECT *, (before + size / 2.0)::DOUBLE / target AS u1, (source_size + before + size / 2.0)::DOUBLE / target AS u2 FROM b)
 """
 
 
