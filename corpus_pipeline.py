@@ -2,6 +2,12 @@
 
 Each stage works on all that its predecessor kept; all but the last return the columns
 of ``documents``.
+
+Defined results of all stages: null, empty and blank texts are documents without words
+(clean, near each other, nothing to cut, size 0 and so not taken by the mix); null ids,
+sources and languages stay null; equal rows count each until the SimHash stage keeps one
+of them; an empty table gives empty tables; further columns pass through unchanged,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier document has; ``n_chars`` follows the text."""
-    left = substrings.remove_repeats(docs).drop("n_words", "n_removed", "kept_sha256")
+    apart = docs.toDF(*[c if c in ("doc_id", "text") else f"__own_{k}" for k, c in enumerate(docs.columns)])  # clear of the columns that it adds
+    left = substrings.remove_repeats(apart).drop("n_words", "n_removed", "kept_sha256").toDF(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
