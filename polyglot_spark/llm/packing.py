@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, w
     def cut_up(batches):
         encoder = word_encoder(path)
         for batch in batches:
-            for first, last in slices(batch["text"]):
+            for first, last in slices(batch["text"], 2 << 20):  # small, as the arrays of a part are many times its size
                 ids, sizes = encoder.encode(batch["text"].slice(first, last - first))
                 ends, rows = np.cumsum(sizes).tolist(), []
                 for doc_id, stop, size in zip(batch["doc_id"].slice(first, last - first).to_pylist(), ends, sizes.tolist(), strict=True):

@@ -23,7 +23,7 @@ NOT_LETTERS = r"[^a-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]
 PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
 
 
-def slices(texts: pa.Array, most: int = 8 << 20):
+def slices(texts: pa.Array, most: int = 4 << 20):
     """Row ranges of a text column with about ``most`` bytes each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, first = np.cumsum(sizes), 0
@@ -103,12 +103,12 @@ class WordEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bpe = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.bpe = path, Tokenizer.from_file(path)
         self.bpe.normalizer, self.bpe.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        names = self.whole.get_vocab()
+        names = self.bpe.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a piece
         self.last[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.letters = byte_letters()
@@ -127,6 +127,13 @@ class WordEncoder:
             raise ValueError("the vocabulary does not mark the ends of pieces")
         return ids.astype(np.uint32), np.diff(ends, prepend=0)
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as it is, read when a word first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def code_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for at in range(0, len(words), 5000) for e in self.whole.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
         return np.array([i for ids in coded for i in ids], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
