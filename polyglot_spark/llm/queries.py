@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chroma, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
+from . import chroma, ctw, embeddings, html_text, manifest, mixing, packing, resampling, secrets, simhash, substrings, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -62,6 +62,23 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_by_section(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.verified(docs, manifest.lowered(F.col("doc_id"), F.col("text")))
+
+
+def op12_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    count = lambda kind: F.size(secrets.of_kind("spans", kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.listed(secrets.of_kind("spans", "assign", "access", "hex")), 256)
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base.alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree": op1_context_tree,
@@ -74,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_int8_tiles": op8_int8_tiles,
         "op9_chroma_audio": op9_chroma_audio,
         "op10_section_tokens": op10_section_tokens,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_token_secrets": op12_token_secrets,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
