@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chroma, ctw, embeddings, html_text, manifest, mixing, packing, resampling, secrets, simhash, substrings, token_counts, toxicity
+from . import oracles
 from .common import remainder, table
 
 
@@ -128,4 +129,4 @@ FROM (SELECT *, (before + size / 2.0)::DOUBLE / target AS u1, (source_size + bef
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mixing": OP5_SQL}
+    return {"op5_curriculum_mixing": OP5_SQL, "op11_merkle_manifest": oracles.OP11, "op13_importance_resampling": oracles.OP13}

@@ -14,8 +14,8 @@ whole text and no string of a run is ever made.
 Defined results: null, empty and wordless texts have no features and weight 0; texts of
 any length are one bag; rows with a null id draw as if the id were the empty text and
 rank last among equal scores; repeated rows are documents of their own, each with its own rank;
-an empty table draws nothing, empty targets leave all targets' counts at 0; further
-columns take no part unless named in ``carry``.
+an empty table draws nothing, without targets their counts are 0; further columns take
+no part unless named in ``carry``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -152,19 +152,19 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) -> list[i
     """
     every = source.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(source.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    total = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    both = cut(both)
+    all_s, all_t = map(float, both.agg(F.sum("s"), F.sum("t")).first())
     double = lambda c: F.col(c).cast("double")
-    ratio = (double("t") + 1) * (double("all_s") + buckets) / ((double("s") + 1) * (double("all_t") + buckets))
-    found = both.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))  # beside one row
-    return [r.gain for r in found.orderBy("bucket").collect()]
+    ratio = (double("t") + 1) * (F.lit(all_s) + buckets) / ((double("s") + 1) * (F.lit(all_t) + buckets))
+    return [r.gain for r in both.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).orderBy("bucket").collect()]
 
 
 def weighed(docs: DataFrame, gain: list[int], column: str = "text", longest: int = 3, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, *carry, n_words, n_features, weight) of every row."""
+    """(doc_id, [own,] n_words, n_features, weight) of every row; ``own`` is a struct of the carried columns, if there are any."""
     table, buckets = np.array(gain, np.int64), len(gain)
-    fields = [f for f in docs.select("doc_id", *[f"`{c}`" for c in carry]).schema]
-    # columns go by place inside, so that carried ones may have any name
-    schema = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(fields)]).add("n_words", "long").add("n_features", "long").add("weight", "long")
+    own = [F.struct(*[f"`{c}`" for c in carry]).alias("own")] if carry else []
+    apart = docs.select("doc_id", *own, F.col(f"`{column}`").alias("_text"))
+    schema = T.StructType(apart.schema.fields[:-1]).add("n_words", "long").add("n_features", "long").add("weight", "long")
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +180,7 @@ def weighed(docs: DataFrame, gain: list[int], column: str = "text", longest: int
                 at += len(held)
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(x.astype(np.int64)) for x in (n_words, n_features, weight)]], schema.names)
 
-    apart = docs.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(fields)], F.col(f"`{column}`").alias("_text"))
-    return apart.mapInArrow(weigh, schema).toDF(*[f.name for f in fields], "n_words", "n_features", "weight")
+    return apart.mapInArrow(weigh, schema)
 
 
 def gumbel(doc_id, seed: int = 42) -> F.Column:
@@ -232,11 +231,11 @@ def draw(weighted: DataFrame, percent: int = 5, least_words: int = 20, seed: int
 
 
 def resample(docs: DataFrame, target: DataFrame, *, percent: int = 5, least_words: int = 20, buckets: int = 10_000, longest: int = 3, seed: int = 42, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, *carry, n_words, n_features, weight, score, rank) of every row of ``docs``, drawn towards the texts of ``target``."""
+    """(doc_id, [own,] n_words, n_features, weight, score, rank) of every row of ``docs``, drawn towards the texts of ``target``; ``own`` as for ``weighed``."""
     gain = gains(bucket_counts(docs, "text", buckets, longest), bucket_counts(target, "text", buckets, longest), buckets)
     return draw(weighed(docs, gain, "text", longest, carry), percent, least_words, seed)
 
 
 def drawn(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The drawn documents, with all their columns."""
-    return resample(docs.select("doc_id", "text", F.struct("*").alias("own")), target, carry=["own"], **options).where("rank is not null").select("own.*")
+    return resample(docs, target, carry=docs.columns, **options).where("rank is not null").select("own.*")
