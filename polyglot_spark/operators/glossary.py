@@ -1,4 +1,4 @@
-"""Glossary lookup: exact phrases by an equi-join, patterns with one ``*`` by ordered expressions."""
+"""Glossary lookup: exact phrases by an equi-join, patterns with one ``*`` by an index of their first and last words."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup_form, normalized, trimmed, utf16_length
-from ..functions.tokens import quoted
+from ..functions.text import BLANK, BLANKS, lookup_form, normalized, trimmed, utf16_length
 
 SCHEMA = "target_lang string, ord int, src string, value string"
 
@@ -63,37 +62,92 @@ def exact_entries(glossary: DataFrame) -> DataFrame:
     return plain.groupBy("target_lang", "norm_src").agg(F.min_by("value", "ord").alias("glossary_value"))
 
 
-def pattern_regex(src: str) -> str | None:
-    """Java pattern of an entry ``left * right``; an entry that begins or ends with ``*`` can match nothing."""
-    left, star, right = (" ".join(src.split())).lower().partition("*")
-    left, right = left.strip(), right.strip()
-    if not star or "*" in right or not left or not right:
-        return None
-    return rf"(?i)^{quoted(left)}\s+(.+?)\s+{quoted(right)}$"
+#: Letters whose upper case is an ASCII letter though they are none; they are equal only to themselves.
+ALONE = "\u017f\u0131\u212a"
+#: What may stand for the ``*`` of a pattern: white space, at least one character of one line, white space.
+BETWEEN = f"^{BLANK}+([^\\n\\r\\u2028\\u2029]+?){BLANK}+$"
+
+
+def folded(text: Column) -> Column:
+    """A text with its case taken away, letter by letter."""
+    return F.lower(F.upper(F.translate(text, ALONE, "\ue000\ue001\ue002")))
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(text, f"^([^{BLANKS}]+)", 1)
 
 
-def pattern_value(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Value of the first matching (source, value) pattern, its ``*`` replaced by what the text has there; null if none matches."""
-    return matched_value(normalized(text), patterns)
+def last_word(text: Column) -> Column:
+    return F.regexp_extract(text, f"([^{BLANKS}]+)$", 1)
+
+
+def pattern_index(patterns: DataFrame) -> DataFrame:
+    """(first, last, patterns): of (ord, src, value) with one ``*``, by the first word before it and the last behind it.
+
+    A text that matches begins and ends with these words, so that only the patterns of one
+    row of the index are ever tried on it.  Where nothing stands before or behind the ``*``
+    a pattern matches nothing, as white space must, and texts are trimmed.  Of patterns that are
+    equal but for case the first one is kept.
+    """
+    sides = F.split("src", r"\*", -1)
+    rows = patterns.where(F.size(sides) == 2).select("ord", "value", trimmed(sides[0]).alias("left"), trimmed(sides[1]).alias("right"))
+    rows = rows.where("left <> '' and right <> ''").groupBy(folded(F.col("left")).alias("_left"), folded(F.col("right")).alias("_right"))
+    rows = rows.agg(F.min_by(F.struct("ord", "left", "right", "value"), "ord").alias("p"))
+    index = rows.groupBy(first_word(F.col("_left")).alias("first"), last_word(F.col("_right")).alias("last"))
+    return index.agg(F.array_sort(F.collect_list("p")).alias("patterns"))
+
 
+def _middle(text: Column, pattern: Column) -> Column:
+    """What a text has between the two sides of a pattern, null if they are not its beginning and end."""
+    before, behind = F.length(pattern["left"]), F.length(pattern["right"])
+    room = F.length(text) - before - behind
+    fits = (room > 2) & (folded(text.substr(F.lit(1), before)) == folded(pattern["left"])) & (folded(text.substr(before + room + 1, behind)) == folded(pattern["right"]))
+    return F.when(fits, text.substr(before + 1, room))
 
-def matched_value(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """As ``pattern_value``, for a normalized text."""
-    found = []
-    for src, value in patterns:
-        regex = pattern_regex(src)
-        if regex:
-            found.append(F.when(text.rlike(regex), F.replace(F.lit(value), F.lit("*"), F.regexp_extract(text, regex, 1))))
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+def inserted(value: Column, captured: Column) -> Column:
+    """``value`` with each ``*`` replaced by ``captured``, in which ``$$`` means a dollar sign and ``$&`` the star."""
+    meant = F.replace(F.replace(F.replace(captured, F.lit("$$"), F.lit("\ue000")), F.lit("$&"), F.lit("*")), F.lit("\ue000"), F.lit("$"))
+    return F.replace(value, F.lit("*"), meant)
+
+
+def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """``df`` with ``pattern_value``: that of the first of ``patterns`` (ord, src, value) that the trimmed text matches, or null.
+
+    Case is ignored for letters of any alphabet; white space beside the ``*`` may be of any
+    kind and length, elsewhere it must be as in the pattern; what stands for the ``*`` lies
+    within one line and is trimmed.
+    """
+    rows = df.withColumn("_trimmed", trimmed(F.col(text)))
+    rows = rows.withColumns({"_first": first_word(folded(F.col("_trimmed"))), "_last": last_word(folded(F.col("_trimmed")))})
+    index = pattern_index(patterns).select(F.col("first").alias("_i"), F.col("last").alias("_j"), F.col("patterns").alias("_patterns"))
+    rows = rows.join(index, (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_j")), "left")
+    found = F.get(F.filter("_patterns", lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))), F.lit(0))
+    rows = rows.withColumn("_found", found)
+    captured = trimmed(F.regexp_extract(_middle(F.col("_trimmed"), F.col("_found")), BETWEEN, 1))
+    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_first", "_last", "_i", "_j", "_patterns", "_found")
+
+
+def pattern_rows(spark: SparkSession, patterns: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(i, src, value) for i, (src, value) in enumerate(patterns)], "ord int, src string, value string")
 
 
 def with_glossary(df: DataFrame, text: str, target_lang: str, glossary: DataFrame, patterns: list[tuple[str, str]] = (), most_words: int = 2, most_chars: int = 30) -> DataFrame:
-    """``df`` with ``glossary_value``: '' for blank text, else the entry of a short phrase, else a pattern's, else null."""
-    exact = exact_entries(glossary.where(F.col("target_lang") == target_lang)).drop("target_lang")
+    """``df`` with ``glossary_value``: '' for blank text, else the entry of a short phrase, else a pattern's, else null.
+
+    Entries with a ``*`` are patterns; those of ``patterns`` come after them.
+    """
+    own = glossary.where(F.col("target_lang") == target_lang)
+    exact = exact_entries(own).drop("target_lang")
+    starred = own.where(F.col("src").contains("*")).select(F.lit(0).alias("_late"), "ord", "src", "value")
+    if patterns:
+        starred = starred.unionByName(pattern_rows(df.sparkSession, list(patterns)).withColumn("_late", F.lit(1)))
     df = df.withColumn("_norm", normalized(F.col(text)))
     size = utf16_length(F.when(F.col(text) == F.col("_norm"), F.col("_norm")).otherwise(trimmed(F.col(text))))
     short = (F.col("_norm") != "") & (F.size(F.split("_norm", " ")) <= most_words) & (utf16_length(F.col("_norm")) <= most_chars) & (size <= most_chars)
     looked = df.withColumn("norm_src", F.when(short, F.lower("_norm"))).join(exact, "norm_src", "left").drop("norm_src")
-    value = F.coalesce("glossary_value", matched_value(F.col("_norm"), list(patterns)))
+    if not starred.isEmpty():
+        looked = with_patterns(looked, text, starred.select(F.struct("_late", "ord").alias("ord"), "src", "value"))
+        looked = looked.withColumn("glossary_value", F.coalesce("glossary_value", "pattern_value")).drop("pattern_value")
     blank = F.coalesce(F.col("_norm"), F.lit("")) == ""
-    return looked.withColumn("glossary_value", F.when(blank, "").otherwise(value)).drop("_norm")
+    return looked.withColumn("glossary_value", F.when(blank, "").otherwise(F.col("glossary_value"))).drop("_norm")

@@ -224,15 +224,15 @@ def turn_right_to_left(root: Node, language: str = "ar") -> None:
         root.children[0].children.append(Node("style", {"id": "rtl-override"}, [RTL_RULES]))
 
 
-def rebuilt(pages: DataFrame, translated: DataFrame, target_lang: str, key: str = "page_id", html: str = "html", config: EngineConfig = COMPATIBLE) -> DataFrame:
-    """(key, source_html, translated_html, rtl, warning) of every page.
+def rebuilt(pages: DataFrame, translated: DataFrame, target_lang: str, key: str = "page_id", html: str = "html", carry: list[str] = (), config: EngineConfig = COMPATIBLE) -> DataFrame:
+    """(key, *carry, source_html, translated_html, rtl, warning) of every page.
 
     ``translated`` has the segment columns and ``translated``.  A page without segments is
     returned as it is, with a warning.
     """
     rows = translated.groupBy(key).agg(F.collect_list(F.struct("seq", "kind", "text", "tag_map", "node_ord", "translated")).alias("_rows"))
-    joined = pages.select(key, html).join(rows, key, "left")
-    schema = T.StructType([pages.schema[key]]).add("source_html", "string").add("translated_html", "string").add("rtl", "boolean").add("warning", "string")
+    joined = pages.select(key, *carry, html).join(rows, key, "left")
+    schema = T.StructType([pages.schema[c] for c in (key, *carry)]).add("source_html", "string").add("translated_html", "string").add("rtl", "boolean").add("warning", "string")
 
     def work(batches):
         for batch in batches:
@@ -240,6 +240,6 @@ def rebuilt(pages: DataFrame, translated: DataFrame, target_lang: str, key: str
             out = [put_back(p, r, target_lang, config) if r else p for p, r in zip(pages_, found, strict=True)]
             warning = [None if r else "No translatable content found" for r in found]
             rtl = pa.array([target_lang in config.rtl_languages] * len(out), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch[key], batch[html], pa.array(out, pa.string()), rtl, pa.array(warning, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in (key, *carry)], batch[html], pa.array(out, pa.string()), rtl, pa.array(warning, pa.string())], schema.names)
 
     return joined.mapInArrow(work, schema)

@@ -14,23 +14,10 @@ from ..functions.urls import url_verdict
 from ..operators import html_segments, memory
 from ..operators.backends import Backend, identity
 from ..operators.glossary import with_glossary
+from ..operators.memory import materialized
 from ..sources import properties
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Cut lineage in the checkpoint folder, so that a backend is asked once.
-
-    Without a folder the data is kept in memory and on disk, in a local session only: on a
-    cluster it would be lost, and asked for again, with an executor.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return df.persist()
-
-
 def polished(df: DataFrame, column: str, pick, hook: Backend | None, before: str, lang: str) -> DataFrame:
     """A hook (fluency, tone) applied to the picked rows, value placeholders protected; without a hook the text stays."""
     if hook is None:
@@ -42,14 +29,18 @@ def polished(df: DataFrame, column: str, pick, hook: Backend | None, before: str
 
 
 def localized(
-    units: DataFrame, keys: list[str], target_lang: str, *, backend: Backend = identity, known: DataFrame | None = None, glossary: DataFrame | None = None,
+    units: DataFrame, keys: list[str], target_lang: str, *, backend: Backend = identity, known: DataFrame | memory.TranslationMemory | None = None, glossary: DataFrame | None = None,
     patterns: list[tuple[str, str]] = (), brands: list[str] = (), fluency: Backend | None = None, tone: Backend | None = None, config: EngineConfig = COMPATIBLE,
 ) -> tuple[DataFrame, DataFrame]:
     """(``units`` with ``translated`` and first-pass scores, new memory entries) for texts in column ``text``.
 
     Stages: brands protected, glossary, long texts split, memory and backend, parts joined,
     brands restored, scores against the source, one more pass for flagged units (unsplit),
-    tone.  ``keys`` identify a unit.  A null text is treated as blank and gives ''.
+    tone.  A null text is treated as blank and gives ''.
+
+    Every row of ``units`` gives one row: rows are told apart by a number of their own, so
+    that ``keys``, which name a unit for the caller, may repeat or be null.  The memory is
+    read once, for the units of both passes.
     """
     spark = units.sparkSession
     fluency, tone = fluency if config.fluency_correction else None, tone if config.tone_normalization else None
@@ -57,26 +48,28 @@ def localized(
     glossary = spark.createDataFrame([], "target_lang string, ord int, src string, value string") if glossary is None else glossary
     branded = units.withColumn("_brand", tk.brands_protected(F.coalesce(F.col("text"), F.lit("")), list(brands)))
     branded = branded.withColumns({"_branded": F.col("_brand.text"), "_found": F.col("_brand.found")}).drop("_brand")
-    looked = materialized(with_glossary(branded, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars))
+    looked = with_glossary(branded, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars)
+    looked = materialized(looked.withColumn("_row", F.monotonically_increasing_id()))
 
     def ask(fresh: DataFrame, source: str, result: str, lang: str) -> DataFrame:
         out = backend(fresh, source, result, lang)
-        return materialized(polished(out, result, tx.word_count(F.col(result)) > config.fluency_min_words, fluency, "FLUENCY_TOKEN_", lang))
+        return polished(out, result, tx.word_count(F.col(result)) > config.fluency_min_words, fluency, "FLUENCY_TOKEN_", lang)
 
-    todo = looked.where("glossary_value is null").select(*keys, F.posexplode(tx.units(F.col("_branded"), config.split_min_chars)).alias("part", "text"))
-    parts, fresh = memory.translate(todo, known, ask, target_lang)
+    todo = looked.where("glossary_value is null").select("_row", F.posexplode(tx.units(F.col("_branded"), config.split_min_chars)).alias("part", "text"))
+    todo, whole = memory.keyed(todo), memory.keyed(looked.select("_row", F.col("_branded").alias("text")))
+    first, fresh, found = memory.asked(memory.distinct_units(todo), known, ask, target_lang, later=whole)
+    parts = memory.answered(todo, first).select("_row", "part", "translated_text")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "translated_text"))), lambda x: x["translated_text"])
-    joined = parts.groupBy(*keys).agg(pieces.alias("_pieces"))
-    whole = F.when(F.size("_pieces") > 1, tx.trimmed(F.array_join("_pieces", " "))).otherwise(F.element_at("_pieces", 1))
-    joined = joined.select(*keys, whole.alias("_model"))
-    first = looked.join(joined, keys, "left").withColumn("translated", tk.brands_restored(F.coalesce("glossary_value", "_model", F.lit("")), F.col("_found"), config.brand_restore))
-    scored = materialized(with_scores(first, "text", "translated", config))
-
-    again = scored.where("flagged" if config.retry_scope == "all" else "flagged and glossary_value is null").select(*keys, F.col("_branded").alias("text"))
-    memo = known.select("source_hash", "target_lang", "translated_text").unionByName(fresh.select("source_hash", "target_lang", "translated_text"))
-    second, more = memory.translate(again, memo, ask, target_lang)
-    second = second.select(*keys, F.col("translated_text").alias("_again"))
-    out = scored.join(second, keys, "left")
+    joined = parts.groupBy("_row").agg(pieces.alias("_pieces"))
+    together = F.when(F.size("_pieces") > 1, tx.trimmed(F.array_join("_pieces", " "))).otherwise(F.element_at("_pieces", 1))
+    joined = joined.select("_row", together.alias("_model"))
+    done = looked.join(joined, "_row", "left").withColumn("translated", tk.brands_restored(F.coalesce("glossary_value", "_model", F.lit("")), F.col("_found"), config.brand_restore))
+    scored = materialized(with_scores(done, "text", "translated", config))
+
+    again = memory.keyed(scored.where("flagged" if config.retry_scope == "all" else "flagged and glossary_value is null").select("_row", F.col("_branded").alias("text")))
+    second, more, _ = memory.asked(memory.distinct_units(again), found, ask, target_lang)
+    second = memory.answered(again, second).select("_row", F.col("translated_text").alias("_again"))
+    out = scored.join(second, "_row", "left")
     out = out.withColumn("translated", F.when(F.col("_again").isNotNull(), tk.brands_restored(F.col("_again"), F.col("_found"), config.brand_restore)).otherwise(F.col("translated")))
     pick = tx.interface_command(F.col("text"), config.command_words, config.command_chars) & ~tx.blank(F.col("translated"))
     out = polished(out, "translated", pick, tone, "UITONE_TOKEN_", target_lang)
@@ -103,21 +96,28 @@ def file_status(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"status": F.when(kind.isNotNull(), 500).when(bad.isNotNull(), 400).otherwise(200), "error": F.coalesce(kind, bad)})
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a number of their own, which stays."""
+    return materialized(rows.withColumn(name, F.monotonically_increasing_id()))
+
+
 def localize_pages(pages: DataFrame, target_lang: str, *, config: EngineConfig = COMPATIBLE, **options) -> tuple[DataFrame, DataFrame]:
-    """(page_id, source_html, translated_html, rtl, warning) of every page, and new memory entries."""
-    found = materialized(html_segments.segments(pages, config=config))
-    done, fresh = localized(found, ["page_id", "seq"], target_lang, config=config, **options)
-    return html_segments.rebuilt(pages, done, target_lang, config=config), fresh
+    """(page_id, source_html, translated_html, rtl, warning) of every page, and new memory entries; ids may repeat or be null."""
+    own = numbered(pages.select("page_id", "html"), "_page")
+    found = materialized(html_segments.segments(own, key="_page", config=config))
+    done, fresh = localized(found, ["_page", "seq"], target_lang, config=config, **options)
+    return html_segments.rebuilt(own, done, target_lang, key="_page", carry=["page_id"], config=config).drop("_page"), fresh
 
 
 def localize_properties(files: DataFrame, target_lang: str, *, config: EngineConfig = COMPATIBLE, **options) -> tuple[DataFrame, DataFrame]:
-    """(filename, content, download_name) of resource files, and new memory entries; ``files`` has filename and content."""
-    lines = materialized(properties.parsed(files))
+    """(filename, content, download_name) of resource files, and new memory entries; ``files`` has filename and content, names may repeat."""
+    own = numbered(files.select("filename", "content"), "_file")
+    lines = materialized(properties.parsed(own.drop("filename")))
     todo = (F.col("type") == "entry") & ~in_target_script(F.col("value"), target_lang)
     kept = tk.originals(F.col("value"), tk.FILE_PLACEHOLDER)
-    units = lines.where(todo).select("filename", "line_no", kept.alias("_kept"), tk.protected(F.col("value"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"))
-    done, fresh = localized(units, ["filename", "line_no"], target_lang, config=config, **options)
-    done = done.select("filename", "line_no", tk.restored_loosely(F.col("translated"), F.col("_kept")).alias("_done"))
-    merged = lines.join(done, ["filename", "line_no"], "left").withColumn("value", F.coalesce("_done", "value"))
-    content = properties.rebuilt(merged, "filename")
+    units = lines.where(todo).select("_file", "line_no", kept.alias("_kept"), tk.protected(F.col("value"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"))
+    done, fresh = localized(units, ["_file", "line_no"], target_lang, config=config, **options)
+    done = done.select("_file", "line_no", tk.restored_loosely(F.col("translated"), F.col("_kept")).alias("_done"))
+    merged = lines.join(done, ["_file", "line_no"], "left").withColumn("value", F.coalesce("_done", "value"))
+    content = own.select("_file", "filename").join(properties.rebuilt(merged, "_file"), "_file", "left").drop("_file")
     return content.withColumn("download_name", tx.download_name(F.col("filename"), F.lit(target_lang))), fresh

@@ -126,6 +126,33 @@ def tm_misses_anti(spark, sf):
     return memory.misses(_units(spark, sf), _seeded(spark, sf)).select("doc_id", "part", "source_hash")
 
 
+def _stored(spark, sf):
+    """A bucketed memory of the sentences of every third document, the last of them in a second append."""
+    store = memory.scratch_memory(spark)
+    seeded = _units(spark, sf).where("doc_id % 3 = 0").dropDuplicates(["source_hash"])
+    rows = seeded.select("source_text", "source_hash", "target_lang", F.concat(F.lit("T:"), "source_text").alias("translated_text"), F.length("source_text").alias("n"))
+    store.store(rows.where("n % 2 = 0").drop("n"))
+    store.store(rows.where("n % 2 = 1").drop("n"))
+    return store
+
+
+def tm_bucketed_lookup(spark, sf):
+    """As tm_lookup_left, through the bucketed store: each distinct unit is asked for once, new ones by the sketches alone."""
+    units, store = _units(spark, sf), _stored(spark, sf)
+    wanted = memory.distinct_units(units)
+    answers = memory.materialized(store.lookup(wanted, "spa_Latn").select("unit_key", "n", "translated_text"))
+    store.delete()
+    return memory.answered(units, answers).select("doc_id", "part", "source_hash", "translated_text")
+
+
+def tm_translate_once(spark, sf):
+    """Units through a memory and the pseudo backend; the new entries are as many as there are distinct misses."""
+    store = _stored(spark, sf)
+    done, _ = memory.translate(_sentences(spark, sf), store, backends.pseudo, "spa_Latn")
+    store.delete()
+    return done.select("doc_id", "part", "translated_text")
+
+
 def tm_upsert_latest(spark, sf):
     log = _units(spark, sf).withColumn("version", F.col("doc_id") * 1_000_000 + F.col("part"))
     return memory.latest(log).select("source_hash", "target_lang", "version", "source_text")
@@ -152,7 +179,19 @@ def glossary_exact(spark, sf):
 
 
 def glossary_pattern(spark, sf):
-    return _values(spark, PATTERN_TEXTS, "text string").select("id", gl.pattern_value(F.col("text"), PATTERNS).alias("value"))
+    rows = _values(spark, PATTERN_TEXTS, "text string")
+    return gl.with_patterns(rows, "text", gl.pattern_rows(spark, PATTERNS)).select("id", F.col("pattern_value").alias("value"))
+
+
+def glossary_patterns_of_sentences(spark, sf):
+    """Sentences against patterns made of the first one and two words and the last word of sentences of five to eight words."""
+    rows = _sentences(spark, sf)
+    w = tx.words(F.lower("text"))
+    ends = rows.select(w.alias("w")).where("size(w) between 5 and 8")
+    made = F.explode(F.array(F.concat(F.col("w")[0], F.lit(" * "), F.element_at("w", -1)), F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit(" * "), F.element_at("w", -1))))
+    patterns = ends.select(made.alias("src")).where(F.regexp_count("src", F.lit(r"\*")) == 1).distinct()
+    patterns = patterns.select(F.md5("src").alias("ord"), "src", F.concat(F.lit("["), "src", F.lit("]")).alias("value"))
+    return gl.with_patterns(rows, "text", patterns).where("pattern_value is not null").select("doc_id", "part", "pattern_value")
 
 
 def short_string_filter(spark, sf):
@@ -325,8 +364,8 @@ def localize_properties(spark, sf):
 def queries() -> dict[str, Query]:
     own = [
         tm_normalize_hash, preprocess_normalize, sentence_split, long_text_expand, expand_collapse_roundtrip, merge_broken_lines,
-        preprocess_sentences, chunk_400, tm_lookup_left, tm_hits_semi, tm_misses_anti, tm_upsert_latest, tm_dedupe_ratio, brand_protect,
-        brand_restore, glossary_exact, glossary_pattern, short_string_filter, ui_command_filter, fluency_candidates, numeric_or_keep,
+        preprocess_sentences, chunk_400, tm_lookup_left, tm_hits_semi, tm_misses_anti, tm_bucketed_lookup, tm_translate_once, tm_upsert_latest, tm_dedupe_ratio, brand_protect,
+        brand_restore, glossary_exact, glossary_pattern, glossary_patterns_of_sentences, short_string_filter, ui_command_filter, fluency_candidates, numeric_or_keep,
         placeholder_protect, placeholder_protect_events, placeholder_restore_fuzzy, fluency_protect, tone_protect, script_detect, lang_map,
         iso_map, url_allowed, quality_scores, low_confidence, entity_decode, mojibake_fix, properties_parse, properties_rebuild,
         properties_fixture, text_file_roundtrip, download_filename, html_title, html_nav_items, html_segment_stats, html_rebuild, html_rtl,
@@ -443,12 +482,23 @@ def oracle_sql() -> dict[str, str]:
         "tm_lookup_left": f"WITH {_MEMORY} SELECT doc_id, part, source_hash, translated_text FROM k LEFT JOIN m USING (source_hash)",
         "tm_hits_semi": f"WITH {_MEMORY} SELECT doc_id, part, source_hash FROM k WHERE source_hash IN (SELECT source_hash FROM m)",
         "tm_misses_anti": f"WITH {_MEMORY} SELECT doc_id, part, source_hash FROM k WHERE source_hash NOT IN (SELECT source_hash FROM m)",
+        "tm_bucketed_lookup": f"WITH {_MEMORY} SELECT doc_id, part, source_hash, translated_text FROM k LEFT JOIN m USING (source_hash)",
+        "tm_translate_once": f"WITH {_MEMORY} SELECT doc_id, part, coalesce(translated_text, '[spa_Latn] ' || source_text) AS translated_text FROM k LEFT JOIN m USING (source_hash)",
         "tm_upsert_latest": f"WITH {_SENTENCES} SELECT source_hash, target_lang, doc_id * 1000000 + part AS version, source_text FROM k QUALIFY row_number() OVER (PARTITION BY source_hash ORDER BY doc_id * 1000000 + part DESC) = 1",
         "tm_dedupe_ratio": f"WITH {_SENTENCES} SELECT count(*) AS n_units, count(DISTINCT source_hash) AS n_distinct FROM k",
         "brand_protect": rf"SELECT p_partkey, {_brands('p_name')} AS text, len(regexp_extract_all(p_name, '(?i)\b(ring|widget|bolt)\b'))::INT AS n_found FROM part",
         "brand_restore": "SELECT p_partkey, p_name AS text FROM part",
         "glossary_exact": rf"WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents), w AS (SELECT doc_id, (i - 1)::INT AS n, l[i] AS word FROM s, unnest(generate_series(1, len(l))) AS g(i)) SELECT doc_id, n, word, CASE WHEN length(word) <= 30 THEN (CASE lower(word) WHEN 'save' THEN 'Guardar' WHEN 'the' THEN 'El' WHEN 'and' THEN 'y' WHEN 'of' THEN 'de' END) END AS glossary_value FROM w",
         "glossary_pattern": _expected([("Eliminar 3 archivos",), ("Eliminar all archivos",), (None,), (None,), ("Mover it a la papelera",), (None,)], "value"),
+        "glossary_patterns_of_sentences": rf"""WITH {_SENTENCES},
+w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM u),
+r AS (SELECT DISTINCT unnest([[w[1], w[-1]], [w[1] || ' ' || w[2], w[-1]]]) AS p FROM w WHERE len(w) BETWEEN 5 AND 8),
+p AS (SELECT p[1] AS l, p[2] AS r, string_split(l, ' ')[1] AS f, p[1] || ' * ' || p[2] AS src FROM r WHERE NOT contains(p[1], '*') AND NOT contains(p[2], '*')),
+t AS (SELECT doc_id, part, text, regexp_extract(lower(text), '^\S+') AS f, regexp_extract(lower(text), '\S+$') AS e FROM u),
+j AS (SELECT t.*, p.*, substr(text, length(l) + 1, length(text) - length(l) - length(r)) AS m FROM t JOIN p ON t.f = p.f AND t.e = p.r
+      WHERE lower(substr(text, 1, length(l))) = l AND lower(right(text, length(r))) = r AND length(text) > length(l) + length(r) + 2)
+SELECT doc_id, part, arg_min('[' || l || ' ' || replace(replace(replace(regexp_replace(m, '^\s+|\s+$', '', 'g'), '$$', chr(57344)), '$&', '*'), chr(57344), '$') || ' ' || r || ']', md5(src)) AS pattern_value
+FROM j WHERE regexp_matches(m, '^\s+[^\n\r]+?\s+$') GROUP BY doc_id, part""",
         "short_string_filter": rf"WITH {_LINES} SELECT * FROM l WHERE {_TRIM.format('line')} <> '' AND {_COUNT.format('line')} <= 2 AND length({_TRIM.format('line')}) <= 30",
         "ui_command_filter": rf"WITH {_LINES} SELECT * FROM l WHERE {_TRIM.format('line')} <> '' AND {_COUNT.format('line')} <= 4 AND length({_TRIM.format('line')}) <= 40 AND NOT regexp_matches({_TRIM.format('line')}, '[.!?]$')",
         "fluency_candidates": rf"WITH {_LINES} SELECT * FROM l WHERE {_COUNT.format('line')} > 3",

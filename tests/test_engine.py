@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from polyglot_spark.config import COMPATIBLE, EngineConfig
 from polyglot_spark.functions.dom import parse, serialized
-from polyglot_spark.operators import backends, html_segments, memory
+from polyglot_spark.operators import backends, html_segments, memory, sketch
+from polyglot_spark.operators import glossary as gl
 from polyglot_spark.operators.glossary import from_entries, read_brands, read_glossary, with_glossary
 from polyglot_spark.plans import localize
 from polyglot_spark.sources import properties
@@ -197,3 +198,150 @@ def test_same_result_for_any_partitioning(spark):
     rows = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text no. "), F.col("id") % 7).alias("text"))
     results = [sorted(localize.localized(rows.repartition(n), ["doc_id"], "spa_Latn", backend=backends.pseudo)[0].select("doc_id", "translated").collect()) for n in (1, 8)]
     assert results[0] == results[1]
+
+
+# --- memory ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def entries_of(spark, pairs, lang="spa_Latn"):
+    rows = spark.createDataFrame(pairs, "text string, translated_text string")
+    return memory.keyed(rows).select("source_text", "source_hash", "translated_text").withColumn("target_lang", F.lit(lang))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_lookup_shuffles_units_only(no_broadcast, tmp_path):
+    store = memory.TranslationMemory(no_broadcast, str(tmp_path / "m"), buckets=4)
+    store.store(entries_of(no_broadcast, [(f"text {i}", f"T{i}") for i in range(50)]))
+    store.store(entries_of(no_broadcast, [("text 1", "newer")]))
+    units = memory.keyed(no_broadcast.createDataFrame([("text 1",), ("text 2",), ("other",)], "text string"))
+    found = store.lookup(memory.distinct_units(units), "spa_Latn", prefilter=False)
+    plan = plan_of(found)
+    assert "SortMergeJoin" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert plan.count("Exchange") == 1  # that of the units
+    assert {r.source_text: r.translated_text for r in found.collect()} == {"text 1": "newer", "text 2": "T2", "other": None}
+
+
+def test_generations_are_merged_in_tiers(spark, tmp_path):
+    store = memory.TranslationMemory(spark, str(tmp_path / "m"), buckets=2)
+    for i in range(5):
+        store.store(entries_of(spark, [("same", f"v{i}"), (f"own {i}", "x")]))
+        store.merge(fan=2)
+    assert store.generations() == [(0, 5), (2, 4)]
+    assert {r.source_text: r.translated_text for r in store.entries("spa_Latn").collect()} == {"same": "v4", **{f"own {i}": "x" for i in range(5)}}
+    again = memory.TranslationMemory(spark, str(tmp_path / "m"))  # as another session opens it
+    assert again.entries().count() == 6 and again.entries("fra_Latn").count() == 0
+    store.store(entries_of(spark, [("same", "fr")], "fra_Latn"))
+    assert [r.translated_text for r in again.entries("fra_Latn").collect()] == ["fr"]
+    wanted = memory.distinct_units(memory.keyed(spark.createDataFrame([("same",), ("own 3",), ("none",)], "text string")))
+    assert sorted((r.source_text, r.translated_text) for r in again.lookup(wanted, "spa_Latn").collect() if r.translated_text) == [("own 3", "x"), ("same", "v4")]
+    store.delete()
+    assert store.generations() == [] and store.entries().count() == 0
+
+
+def test_sketches_miss_no_key(spark):
+    keys = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("unit_key"), "id")
+    made = sketch.built(keys.where("id < 10000"), 3, most_keys=60_000)
+    parts = sketch.built(keys.where("id < 10000").unionByName(keys.where("id < 10000")), 3, most_keys=1)  # several sketches for a bucket
+    odd = keys.unionByName(spark.createDataFrame([(None, -1), (bytearray(b"short"), -2)], "unit_key binary, id long"))
+    for sketches in (made, parts):
+        seen = sketch.tested(odd, sketches, 3)
+        assert seen.count() == 20_002 and seen.where("id between 0 and 9999 and not maybe_known").count() == 0
+        assert seen.where("id >= 10000 and maybe_known").count() < 300 and seen.where("id < 0 and maybe_known").count() == 0
+    assert sketch.tested(odd, made.where("false"), 3).where("maybe_known").count() == 0
+
+
+def test_half_of_the_units_are_one_text(no_broadcast):
+    units = no_broadcast.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "Home").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    keyed = memory.keyed(units)
+    answers = memory.distinct_units(keyed).withColumn("translated_text", F.concat(F.lit("T:"), "source_text")).select("unit_key", "n", "translated_text")
+    out = memory.answered(keyed, answers)
+    assert out.where(F.col("translated_text") == F.concat(F.lit("T:"), "source_text")).count() == 40_000
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 40_000 / 4  # of 4 shuffle partitions none has all the copies
+
+
+def test_the_memory_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    known = entries_of(spark, [("one sentence", "T1"), ("never asked", "T2")]).withColumn("translated_text", seen("translated_text"))
+    rows = spark.createDataFrame([(1, "one sentence"), (2, "x" * 118 + ". yes."), (3, "Save")], "doc_id int, text string")
+    localize.localized(rows, ["doc_id"], "spa_Latn", backend=backends.pseudo, known=known)[0].collect()
+    assert reads.value == 2
+
+
+# --- rows and their own texts ----------------------------------------------------------------------------------------------
+
+
+def test_rows_with_equal_or_null_keys_keep_their_own_text(spark):
+    rows = spark.createDataFrame([(1, "First one."), (1, "Second one."), (None, "Third one."), (None, "Third one."), (2, None)], "doc_id int, text string")
+    out, fresh = localize.localized(rows, ["doc_id"], "spa_Latn", backend=backends.pseudo)
+    assert sorted((str(r.doc_id), r.translated) for r in out.collect()) == [
+        ("1", "[spa_Latn] First one."), ("1", "[spa_Latn] Second one."), ("2", ""), ("None", "[spa_Latn] Third one."), ("None", "[spa_Latn] Third one."),
+    ]
+    assert fresh.count() == 4  # the blank text of the null row is one of them
+
+
+def test_pages_and_files_with_equal_or_null_keys(spark):
+    pages = spark.createDataFrame([(1, "<p>first page</p>"), (1, "<p>second page</p>"), (None, "<p>third page</p>"), (None, None)], "page_id long, html string")
+    out = localize.localize_pages(pages, "spa_Latn", backend=backends.pseudo)[0].collect()
+    assert len(out) == 4
+    for r in out:
+        assert r.source_html is None or f"[spa_Latn] {r.source_html[3:-4]}" in r.translated_html and r.warning is None
+    files = spark.createDataFrame([("a.properties", "k=one"), ("a.properties", "k=two"), (None, "k=three"), ("b.properties", None)], "filename string, content string")
+    done = localize.localize_properties(files, "spa_Latn", backend=backends.pseudo)[0].collect()
+    assert sorted((str(r.filename), str(r.content)) for r in done) == [
+        ("None", "k = [spa_Latn] three"), ("a.properties", "k = [spa_Latn] one"), ("a.properties", "k = [spa_Latn] two"), ("b.properties", "None"),
+    ]
+
+
+# --- patterns --------------------------------------------------------------------------------------------------------------
+
+
+def pattern_values(spark, texts, patterns):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.pattern_value for r in gl.with_patterns(rows, "text", gl.pattern_rows(spark, patterns)).orderBy("i").collect()]
+
+
+def test_patterns_match_the_trimmed_text(spark):
+    texts = ["Delete my  old   files", "Delete a\nb files", "  DELETE\n\n3\t files ", "Delete   files", "Delete  files", "Delete files", "Deleted 3 files", "Delete 3 files now", None, "", "files"]
+    assert pattern_values(spark, texts, [("Delete * files", "<*|*>")]) == ["<my  old|my  old>", None, "<3|3>", "<|>", None, None, None, None, None, None, None]
+
+
+def test_patterns_ignore_case_in_any_alphabet(spark):
+    texts = ["ÉDITER 3 files", "éditer 3 FILES", "удалить 2 ФАЙЛА", "ſave 1 file", "MASSE 1 x"]
+    patterns = [("éditer * files", "E*"), ("УДАЛИТЬ * файла", "R*"), ("save * file", "S*"), ("maße * x", "M*")]
+    assert pattern_values(spark, texts, patterns) == ["E3", "E3", "R2", None, None]
+
+
+def test_the_first_pattern_wins_and_signs_are_plain(spark):
+    patterns = [("a b * z", "1*"), ("a * z", "2*"), ("A * Z", "3*"), ("a (b) * [z].", "4 $* $1"), ("* z", "5"), ("a *", "6"), ("a * b * z", "7"), ("no star z", "8")]
+    texts = ["a b c z", "a c z", "a  b c z", "a (b) $$x $& [z].", "a b z", "no star z"]
+    assert pattern_values(spark, texts, patterns) == ["1c", "2c", "2b c", "4 $$x * $1", "2b", None]
+
+
+def test_entries_with_a_star_are_patterns_before_those_given_apart(spark):
+    entries = from_entries(spark, {"spa_Latn": {"Delete * files": "A*", "Save": "Guardar"}, "fra_Latn": {"Move * files": "F*"}})
+    rows = spark.createDataFrame([(0, "Delete 3 files"), (1, "Move 3 files"), (2, "Save"), (3, " ")], "i int, text string")
+    out = with_glossary(rows, "text", "spa_Latn", entries, [("delete * FILES", "B*"), ("move * files", "M*")])
+    assert [r.glossary_value for r in out.orderBy("i").collect()] == ["A3", "M3", "Guardar", ""]
+
+
+def test_ten_thousand_patterns(spark):
+    patterns = [(f"Open {i} * in window {i}", f"{i}:*") for i in range(10_000)]
+    found = pattern_values(spark, [f"open {i} a b IN window {i}" for i in range(0, 10_000, 50)] + ["open 1 x in window 2"], patterns)
+    assert found == [f"{i}:a b" for i in range(0, 10_000, 50)] + [None]
