@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 #: White space as ECMAScript's ``\s`` has it, as a Java character class.
 BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 BLANK = f"[{BLANKS}]"
+#: The same signs one by one.
+BLANK_SIGNS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK_SIGNS))
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+", " ")
+    others = BLANK_SIGNS.replace(" ", "")
+    plain = F.translate(text, others, " " * len(others))
+    return F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
 
 
 def normalized(text: Column) -> Column:

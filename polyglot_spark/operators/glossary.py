@@ -92,7 +92,8 @@ def pattern_index(patterns: DataFrame) -> DataFrame:
     sides = F.split("src", r"\*", -1)
     rows = patterns.where(F.size(sides) == 2).select("ord", "value", trimmed(sides[0]).alias("left"), trimmed(sides[1]).alias("right"))
     rows = rows.where("left <> '' and right <> ''").groupBy(folded(F.col("left")).alias("_left"), folded(F.col("right")).alias("_right"))
-    rows = rows.agg(F.min_by(F.struct("ord", "left", "right", "value"), "ord").alias("p"))
+    rows = rows.agg(F.min_by(F.struct("ord", "left", "right", "value"), "ord").alias("_first"))
+    rows = rows.select("_left", "_right", F.struct("_first.*", F.col("_left").alias("begins"), F.col("_right").alias("ends")).alias("p"))
     index = rows.groupBy(first_word(F.col("_left")).alias("first"), last_word(F.col("_right")).alias("last"))
     return index.agg(F.array_sort(F.collect_list("p")).alias("patterns"))
 
@@ -119,13 +120,15 @@ def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     within one line and is trimmed.
     """
     rows = df.withColumn("_trimmed", trimmed(F.col(text)))
-    rows = rows.withColumns({"_first": first_word(folded(F.col("_trimmed"))), "_last": last_word(folded(F.col("_trimmed")))})
+    rows = rows.withColumn("_folded", folded(F.col("_trimmed")))
+    rows = rows.withColumns({"_first": first_word(F.col("_folded")), "_last": last_word(F.col("_folded"))})
     index = pattern_index(patterns).select(F.col("first").alias("_i"), F.col("last").alias("_j"), F.col("patterns").alias("_patterns"))
     rows = rows.join(index, (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_j")), "left")
-    found = F.get(F.filter("_patterns", lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))), F.lit(0))
+    near = F.filter("_patterns", lambda p: F.col("_folded").startswith(p["begins"]) & F.col("_folded").endswith(p["ends"]))
+    found = F.get(F.filter(near, lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))), F.lit(0))
     rows = rows.withColumn("_found", found)
     captured = trimmed(F.regexp_extract(_middle(F.col("_trimmed"), F.col("_found")), BETWEEN, 1))
-    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_first", "_last", "_i", "_j", "_patterns", "_found")
+    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_folded", "_first", "_last", "_i", "_j", "_patterns", "_found")
 
 
 def pattern_rows(spark: SparkSession, patterns: list[tuple[str, str]]) -> DataFrame:

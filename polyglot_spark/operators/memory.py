@@ -233,9 +233,13 @@ def scratch_memory(spark: SparkSession, buckets: int | None = None) -> Translati
     return TranslationMemory(spark, f"{folder.rstrip('/')}/memory-{uuid.uuid4().hex}", buckets)
 
 
-def distinct_units(units: DataFrame) -> DataFrame:
-    """(unit_key, source_text, n) of keyed units: one row for each text, with its number of occurrences, counted before they meet."""
-    return units.where("source_hash is not null").groupBy(unit_key().alias("unit_key")).agg(F.first("source_text").alias("source_text"), F.count(F.lit(1)).alias("n"))
+def distinct_units(units: DataFrame, texts: bool = True) -> DataFrame:
+    """(unit_key[, source_text], n) of keyed units: one row for each text, with its number of occurrences, counted before they meet."""
+    units = units.where("source_text is not null")
+    if not texts:
+        return units.groupBy(unit_key().alias("unit_key")).agg(F.count(F.lit(1)).alias("n"))
+    counted = units.groupBy("source_text").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(unit_key(F.sha2("source_text", 256)).alias("unit_key"), "source_text", "n")
 
 
 def answered(units: DataFrame, answers: DataFrame, share: int = HOT_SHARE) -> DataFrame:

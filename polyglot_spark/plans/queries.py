@@ -126,20 +126,21 @@ def tm_misses_anti(spark, sf):
     return memory.misses(_units(spark, sf), _seeded(spark, sf)).select("doc_id", "part", "source_hash")
 
 
+def _seeded_texts(spark, sf):
+    return _sentences(spark, sf).where("doc_id % 3 = 0").select(tx.normalized(F.col("text")).alias("text")).distinct()
+
+
 def _stored(spark, sf):
-    """A bucketed memory of the sentences of every third document, the last of them in a second append."""
+    """A bucketed memory of the sentences of every third document."""
     store = memory.scratch_memory(spark)
-    seeded = _units(spark, sf).where("doc_id % 3 = 0").dropDuplicates(["source_hash"])
-    rows = seeded.select("source_text", "source_hash", "target_lang", F.concat(F.lit("T:"), "source_text").alias("translated_text"), F.length("source_text").alias("n"))
-    store.store(rows.where("n % 2 = 0").drop("n"))
-    store.store(rows.where("n % 2 = 1").drop("n"))
+    store.store(memory.keyed(_seeded_texts(spark, sf)).withColumns({"target_lang": F.lit("spa_Latn"), "translated_text": F.concat(F.lit("T:"), "source_text")}))
     return store
 
 
 def tm_bucketed_lookup(spark, sf):
     """As tm_lookup_left, through the bucketed store: each distinct unit is asked for once, new ones by the sketches alone."""
     units, store = _units(spark, sf), _stored(spark, sf)
-    wanted = memory.distinct_units(units)
+    wanted = memory.distinct_units(units, texts=False)
     answers = memory.materialized(store.lookup(wanted, "spa_Latn").select("unit_key", "n", "translated_text"))
     store.delete()
     return memory.answered(units, answers).select("doc_id", "part", "source_hash", "translated_text")

@@ -21,7 +21,7 @@ def localize_stream(pages: DataFrame, target_lang: str, memory_path: str, output
 
     def run(batch: DataFrame, number: int) -> None:
         store = TranslationMemory(spark, memory_path)
-        done, fresh = localize_pages(batch, target_lang, config=config, known=store.entries(target_lang), **options)
+        done, fresh = localize_pages(batch, target_lang, config=config, known=store, **options)
         done.write.mode("overwrite").parquet(f"{output_path}/batch={number}")
         if not fresh.isEmpty():
             store.store(fresh)
