@@ -26,6 +26,8 @@ class EngineConfig:
     retry_scope: str = "all"
     #: "emit": a rebuilt block is used as it is; "source": the source is kept when inline tokens were lost
     token_loss: str = "emit"
+    #: "boundary": brands lie between ASCII word boundaries; "word": not within a word of any alphabet
+    brand_edges: str = "boundary"
     #: "first": every token of a brand is restored to its first spelling; "each": each to its own
     brand_restore: str = "first"
     rtl_languages: tuple[str, ...] = ("arb_Arab",)
@@ -56,7 +58,7 @@ class EngineConfig:
     def strict(self) -> EngineConfig:
         return replace(
             self, oversize_block="split", split_min_chars=800, fluency_min_words=2, retry_scope="model", token_loss="source",
-            brand_restore="each", rtl_languages=("arb_Arab", "urd_Arab"), url_hosts="strict", mojibake_lossy=False,
+            brand_edges="word", brand_restore="each", rtl_languages=("arb_Arab", "urd_Arab"), url_hosts="strict", mojibake_lossy=False,
         )
 
 

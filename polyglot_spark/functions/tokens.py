@@ -49,21 +49,32 @@ def quoted(text: str) -> str:
     return "".join(f"\\{c}" if c in r".*+?^${}()|[]\\" else c for c in text)
 
 
-def brand_pattern(brand: str) -> str:
-    return rf"(?i)(?<![A-Za-z0-9_]){quoted(brand)}(?![A-Za-z0-9_])"
+def brand_pattern(brand: str, edges: str = "boundary") -> str:
+    """A brand in any case, with ``edges`` of one of two kinds.
+
+    "boundary": between a letter, digit or underscore of ASCII and another sign, as the ``\\b`` of
+    ECMAScript has it, so that a brand that begins or ends with another sign, like C++, is only
+    found where such a letter touches it.  "word": not beside a letter or digit of any alphabet.
+    """
+    if edges == "word":
+        return rf"(?iu)(?<![\p{{L}}\p{{N}}_]){quoted(brand)}(?![\p{{L}}\p{{N}}_])"
+    inner = lambda sign: sign.isascii() and (sign.isalnum() or sign == "_")
+    before = "(?<![A-Za-z0-9_])" if inner(brand[:1]) else "(?<=[A-Za-z0-9_])"
+    after = "(?![A-Za-z0-9_])" if inner(brand[-1:]) else "(?=[A-Za-z0-9_])"
+    return f"(?iu){before}{quoted(brand)}{after}"
 
 
 def _tagged(matches: Column, token: str) -> Column:
     return F.transform(matches, lambda m: F.struct(F.lit(token).alias("token"), m.alias("original")))
 
 
-def brands_protected(text: Column, brands: list[str]) -> Column:
+def brands_protected(text: Column, brands: list[str], edges: str = "boundary") -> Column:
     """(text, found): brands replaced in list order by ``BRAND_i``, with the spellings found, in order."""
     found = F.array().cast("array<struct<token:string,original:string>>")
     for i, brand in enumerate(brands):
-        matches = F.regexp_extract_all(text, F.lit(f"({brand_pattern(brand)})"), F.lit(1))
+        matches = F.regexp_extract_all(text, F.lit(f"({brand_pattern(brand, edges)})"), F.lit(1))
         found = F.concat(found, _tagged(matches, f"BRAND_{i}"))
-        text = F.regexp_replace(text, brand_pattern(brand), f"BRAND_{i}")
+        text = F.regexp_replace(text, brand_pattern(brand, edges), f"BRAND_{i}")
     return F.struct(text.alias("text"), found.alias("found"))
 
 

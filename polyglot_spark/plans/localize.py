@@ -46,7 +46,7 @@ def localized(
     fluency, tone = fluency if config.fluency_correction else None, tone if config.tone_normalization else None
     known = spark.createDataFrame([], memory.SCHEMA) if known is None else known
     glossary = spark.createDataFrame([], "target_lang string, ord int, src string, value string") if glossary is None else glossary
-    branded = units.withColumn("_brand", tk.brands_protected(F.coalesce(F.col("text"), F.lit("")), list(brands)))
+    branded = units.withColumn("_brand", tk.brands_protected(F.coalesce(F.col("text"), F.lit("")), list(brands), config.brand_edges))
     branded = branded.withColumns({"_branded": F.col("_brand.text"), "_found": F.col("_brand.found")}).drop("_brand")
     looked = with_glossary(branded, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars)
     looked = materialized(looked.withColumn("_row", F.monotonically_increasing_id()))

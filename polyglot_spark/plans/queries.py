@@ -255,6 +255,26 @@ def url_allowed(spark, sf):
     return fixed.union(pages).select("id", "kind", url_verdict(F.col("url")).alias("v")).select("id", "kind", "v.allowed", "v.error")
 
 
+def url_strict_hosts(spark, sf):
+    """Page URLs, and addresses made of page ids in eight ways of writing them, as a strict fetcher judges them."""
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    h = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("long")
+    net = F.array(*map(F.lit, (10, 127, 192 * 256 + 168, 169 * 256 + 254, 172 * 256 + 16))).getItem((h % 5).cast("int")).cast("long")
+    short = F.when(net < 256, net * 2**24 + h % 2**24).otherwise(net * 2**16 + h % 2**16)
+    n = F.when(h % 3 == 0, h).otherwise(short)
+    part = lambda k: (F.floor(n / 256**k) % 256).cast("string")
+    dotted = F.concat_ws(".", part(3), part(2), part(1), part(0))
+    wide = F.translate(dotted, "0123456789.", "".join(map(chr, range(0xFF10, 0xFF1A))) + "\u3002")
+    octal = F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8))
+    ways = {
+        "number": n.cast("string"), "hex": F.concat(F.lit("0X"), F.hex(n)), "octal": octal, "two": F.concat(part(3), F.lit("."), (n % 2**24).cast("string")), "wide": wide,
+        "percent": F.replace(dotted, F.lit("1"), F.lit("%31")), "mapped": F.concat(F.lit("[::ffff:"), dotted, F.lit("]")), "user": F.concat(F.lit("a@b@"), dotted, F.lit(".")),
+    }
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.concat(F.lit("http://"), v, F.lit("/x")).alias("url")) for k, v in ways.items()]))
+    rows = pages.select("page_id", F.lit("page").alias("way"), "url").unionByName(pages.select("page_id", made.alias("m")).select("page_id", "m.*"))
+    return rows.select("page_id", "way", url_verdict(F.col("url"), COMPATIBLE.strict()).alias("v")).select("page_id", "way", "v.allowed", "v.error")
+
+
 def _pairs(spark, sf):
     """Each turn against the next of its conversation, and against itself."""
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
@@ -368,7 +388,7 @@ def queries() -> dict[str, Query]:
         preprocess_sentences, chunk_400, tm_lookup_left, tm_hits_semi, tm_misses_anti, tm_bucketed_lookup, tm_translate_once, tm_upsert_latest, tm_dedupe_ratio, brand_protect,
         brand_restore, glossary_exact, glossary_pattern, glossary_patterns_of_sentences, short_string_filter, ui_command_filter, fluency_candidates, numeric_or_keep,
         placeholder_protect, placeholder_protect_events, placeholder_restore_fuzzy, fluency_protect, tone_protect, script_detect, lang_map,
-        iso_map, url_allowed, quality_scores, low_confidence, entity_decode, mojibake_fix, properties_parse, properties_rebuild,
+        iso_map, url_allowed, url_strict_hosts, quality_scores, low_confidence, entity_decode, mojibake_fix, properties_parse, properties_rebuild,
         properties_fixture, text_file_roundtrip, download_filename, html_title, html_nav_items, html_segment_stats, html_rebuild, html_rtl,
         pipeline_identity, pipeline_pseudo, localize_pages, localize_properties,
     ]
@@ -513,6 +533,13 @@ FROM j WHERE regexp_matches(m, '^\s+[^\n\r]+?\s+$') GROUP BY doc_id, part""",
         "lang_map": _expected([("spa_Latn",), ("por_Latn",), ("tam_Taml",), ("spa_Latn",), ("xx",), ("x_y",)], "model"),
         "iso_map": _expected([("es",), ("ja",), ("xy",), ("q",)], "iso"),
         "url_allowed": "SELECT v.id::BIGINT AS id, 'fixed' AS kind, error IS NULL AS allowed, error FROM " + _sql_values([(e,) for e in (None, "URL is required", "URL is required", "Invalid URL", "Only HTTP and HTTPS URLs are allowed", "URL host not allowed", "URL host not allowed", "URL host not allowed", None, "URL host not allowed", None, "URL host not allowed", "URL host not allowed", "URL too long")], "error") + r" UNION ALL SELECT page_id, 'page', regexp_matches(url, '^https?://'), NULL FROM pages",
+        "url_strict_hosts": """WITH h AS (SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT AS h FROM pages),
+n AS (SELECT page_id, CASE WHEN h % 3 = 0 THEN h ELSE CASE h % 5 WHEN 0 THEN 10::BIGINT * 16777216 + h % 16777216 WHEN 1 THEN 127::BIGINT * 16777216 + h % 16777216
+  WHEN 2 THEN 49320::BIGINT * 65536 + h % 65536 WHEN 3 THEN 43518::BIGINT * 65536 + h % 65536 ELSE 44048::BIGINT * 65536 + h % 65536 END END AS n FROM h),
+w AS (SELECT page_id, unnest(['number', 'hex', 'octal', 'two', 'wide', 'percent', 'mapped', 'user']) AS way,
+  n = 0 OR n // 16777216 IN (10, 127) OR n // 65536 IN (49320, 43518) OR n // 1048576 = 2753 AS closed FROM n)
+SELECT page_id, way, NOT closed AS allowed, CASE WHEN closed THEN 'URL host not allowed' END AS error FROM w
+UNION ALL SELECT page_id, 'page', true, NULL FROM pages""",
         "quality_scores": f"WITH {_SCORES} SELECT conv_id, turn, kind, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(length_score, 6) AS length_score, round(confidence, 6) AS confidence, confidence < 0.85 AS flagged FROM q",
         "low_confidence": f"WITH {_SCORES} SELECT kind, conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM q WHERE confidence < 0.85 GROUP BY kind, conv_id",
         "entity_decode": _expected([("a & b",), ("<",), ("éé",), ("<p> \"x\" '",), ("none",)], "text"),

@@ -35,7 +35,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def page_units(pages: DataFrame, target_lang: str, *, glossary: DataFrame | None = None, brands: list[str] = (), config: EngineConfig = COMPATIBLE) -> DataFrame:
     """(source_hash, target_lang, source_text) of the units that pages, a table or a stream, ask a backend for."""
-    found = html_segments.segments(pages, config=config).withColumn("_text", tk.brands_protected(F.coalesce("text", F.lit("")), list(brands))["text"])
+    found = html_segments.segments(pages, config=config).withColumn("_text", tk.brands_protected(F.coalesce("text", F.lit("")), list(brands), config.brand_edges)["text"])
     if glossary is not None:
         found = with_glossary(found, "_text", target_lang, glossary, (), config.short_words, config.short_chars).where("glossary_value is null")
     units = memory.keyed(found.select(F.explode(tx.units(F.col("_text"), config.split_min_chars)).alias("text")))

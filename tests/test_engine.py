@@ -1,3 +1,4 @@
+import os
 import time
 from dataclasses import replace
 
@@ -345,3 +346,44 @@ def test_ten_thousand_patterns(spark):
     patterns = [(f"Open {i} * in window {i}", f"{i}:*") for i in range(10_000)]
     found = pattern_values(spark, [f"open {i} a b IN window {i}" for i in range(0, 10_000, 50)] + ["open 1 x in window 2"], patterns)
     assert found == [f"{i}:a b" for i in range(0, 10_000, 50)] + [None]
+
+
+# --- backends --------------------------------------------------------------------------------------------------------------
+
+
+def test_calls_keep_a_pace_a_deadline_and_attempts(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def noted(texts, lang):
+        with open(log, "a") as out:
+            out.write(f"{time.time()} {len(texts)}\n")
+        return [t.upper() for t in texts]
+
+    def slow(texts, lang):
+        time.sleep(30)
+
+    rows = spark.createDataFrame([(f"t{i}",) for i in range(10)], "t string").coalesce(1)
+    at_once = spark.sparkContext.defaultParallelism
+    paced = backends.batches(noted, size=2, calls_a_second=10 * at_once)  # a tenth of a second apart in each task
+    assert sorted(r.o for r in paced(rows, "t", "o", "x").collect()) == sorted(f"T{i}" for i in range(10))
+    calls = [line.split() for line in open(log)]
+    assert [n for _, n in calls] == ["2"] * 5 and all(float(b[0]) - float(a[0]) > 0.09 for a, b in zip(calls, calls[1:], strict=False))
+    began = time.time()
+    out = backends.batches(slow, noted, deadline=0.3, attempts=2, first_wait=0.1, failures="why")(rows, "t", "o", "x").collect()
+    assert {r.why for r in out} == {"0: TimeoutError: no answer in 0.3 s; 0: TimeoutError: no answer in 0.3 s"} and {r.o for r in out} == {f"T{i}" for i in range(10)}
+    assert time.time() - began < 20
+
+
+def test_a_failing_model_is_asked_again_after_waits(spark, tmp_path):
+    log = str(tmp_path / "tries")
+
+    def second_time(texts, lang):
+        with open(log, "a") as out:
+            out.write("x")
+        if os.path.getsize(log) < 3:
+            raise RuntimeError("busy")
+        return texts
+
+    rows = spark.createDataFrame([("a",)], "t string").coalesce(1)
+    out = backends.batches(second_time, attempts=3, first_wait=0.01, failures="why")(rows, "t", "o", "x").first()
+    assert out.o == "a" and out.why == "0: RuntimeError: busy; 0: RuntimeError: busy"

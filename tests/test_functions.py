@@ -9,6 +9,7 @@ from polyglot_spark.config import COMPATIBLE
 from polyglot_spark.functions import quality
 from polyglot_spark.functions import text as tx
 from polyglot_spark.functions import tokens as tk
+from polyglot_spark.functions import urls
 from polyglot_spark.functions.urls import url_verdict
 
 
@@ -113,3 +114,38 @@ def test_scores(spark, source, translated, scores):
 def test_strict_urls(spark):
     verdict = lambda v: url_verdict(v, COMPATIBLE.strict())["allowed"]
     assert column(spark, ["http://[::1]/", "http://2130706433/", "https://example.com/a", None], verdict) == [False, False, True, False]
+
+
+@pytest.mark.parametrize(
+    ("host", "parsed", "is_closed"),
+    [
+        ("１２７.0.0.1", "127.0.0.1", True), ("%31%32%37.0.0.1", "127.0.0.1", True), ("0x7f.1", "127.0.0.1", True), ("[::ffff:7f00:1]", "[::ffff:127.0.0.1]", True), ("2130706433", "127.0.0.1", True), ("017700000001", "127.0.0.1", True),
+        ("127.1.", "127.0.0.1", True), ("LOCALHOST.", "localhost.", True), ("a.localhost", "a.localhost", True), ("lo­calhost", "localhost", True), ("ⓛocalhost", "localhost", True), ("127。0。0。1", "127.0.0.1", True),
+        ("[0:0:0:0:0:0:0:1]", "[::1]", True), ("[::]", "[::]", True), ("[fe80::1]", "[fe80::1]", True), ("[fd00::1]", "[fd00::1]", True), ("[2001:DB8:0::1]", "[2001:db8::1]", False), ("172.32.0.1", "172.32.0.1", False),
+        ("10.example.com", "10.example.com", False), ("Bücher.example", "xn--bcher-kva.example", False), ("8.8.8.8", "8.8.8.8", False), ("0", "0.0.0.0", True), ("0x", "0.0.0.0", True), ("1.2.3.4.5", None, False), ("256.1.1.1", None, False),
+        ("09.1.1.1", None, False), ("a%00b", None, False), ("a%2Fb", None, False), ("a b", None, False), ("", None, False), (None, None, False), ("[::1", None, False), ("[::1%25eth0]", None, False), ("%ff", None, False), ("4294967296", None, False), ("x.0x", None, False),
+    ],
+)
+def test_hosts_as_browsers_parse_them(host, parsed, is_closed):
+    got = urls.parsed_host(host)
+    if parsed == "[::ffff:127.0.0.1]":
+        assert got.lower() in ("[::ffff:127.0.0.1]", "[::ffff:7f00:1]")
+    else:
+        assert got == parsed
+    assert (got is not None and urls.closed(got)) == is_closed
+
+
+def test_strict_verdicts(spark):
+    cases = {
+        "http://１２７.0.0.1/": "URL host not allowed", "http://%31%32%37.0.0.1:80/": "URL host not allowed", "http://0x7f.1": "URL host not allowed", "http://[::ffff:7f00:1]/": "URL host not allowed", "http://user:a@b@localhost:1/": "URL host not allowed",
+        "http://exa\tmple.com/": None, "http://10.example.com": None, "http://1.2.3.256/": "Invalid URL", "http:///": "Invalid URL", "ftp://example.com": "Only HTTP and HTTPS URLs are allowed", "mailto:a": "Only HTTP and HTTPS URLs are allowed",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").select("url", urls.url_verdict(F.col("url"), COMPATIBLE.strict()).alias("v"))
+    assert {r.url: r.v.error for r in rows.collect()} == cases
+
+
+def test_edges_of_brands(spark):
+    texts, brands = ["C++ code and c++x", "élan ÉLAN xÉlan", "Ring ring_ rings, RING!", "übering"], ["C++", "Élan", "ring"]
+    by = {edges: column(spark, texts, lambda c, e=edges: tk.brands_protected(c, brands, e)["text"]) for edges in ("boundary", "word")}
+    assert by["boundary"] == ["C++ code and BRAND_0x", "élan ÉLAN xBRAND_1", "BRAND_2 ring_ rings, BRAND_2!", "übering"]
+    assert by["word"] == ["BRAND_0 code and c++x", "BRAND_1 BRAND_1 xÉlan", "BRAND_2 ring_ rings, BRAND_2!", "übering"]
