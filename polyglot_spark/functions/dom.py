@@ -22,10 +22,85 @@ IN_HEAD = frozenset("base link meta title style script noscript template".split(
 SCOPE = frozenset("html table td th caption button marquee object template body".split())
 TABLE_CLOSE = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "option": ("option",)}
 
-TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+NAME_END, UNQUOTED = re.compile(r"[\s/>]|\Z"), re.compile(r"[^>\"']*")
+
+
+class Scanner:
+    """Tags and comments of a page, in time in proportion to its length, whatever is left unclosed in it.
+
+    A tag has a name and, up to its ``>``, anything in which quotes are paired; a ``<`` that begins no
+    tag, no comment and no declaration is text.  What an attempt in vain has read is remembered: one that
+    comes to the same place outside of quotes is in vain too.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last_end = source, source.rfind(">")
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
+        self.vain: bytearray | None = None
+        self.name_end = self.vain_name = -1
+
+    def closing(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag of which ``at`` is a place outside of quotes, or -1."""
+        source, read = self.source, []
+        while self.vain is None or at >= len(source) or not self.vain[at]:
+            stop = UNQUOTED.match(source, at).end()
+            read.append((at, stop + 1))
+            sign = source[stop : stop + 1]
+            if sign == ">":
+                return stop
+            if not sign or stop >= self.last_quote[sign]:
+                break
+            at = source.find(sign, stop + 1) + 1
+        if self.vain is None:
+            self.vain = bytearray(len(source) + 1)
+        for first, stop in read:
+            self.vain[first:stop] = b"\x01" * (min(stop, len(source) + 1) - first)
+        return -1
+
+    def tag(self, at: int) -> tuple[int, str, str] | None:
+        """(end, name, attributes) of a tag whose name begins at ``at``."""
+        source = self.source
+        if at > self.name_end:
+            self.name_end = NAME_END.search(source, at).start()
+        if self.name_end == self.vain_name:
+            return None  # all that could end this name has been tried for an earlier one
+        end = self.name_end
+        while True:
+            if (close := self.closing(end)) >= 0:
+                return close + 1, source[at:end], source[end:close]
+            end = max(source.rfind(q, at + 1, end) for q in "\"'")
+            if end < 0:
+                self.vain_name = self.name_end
+                return None
+
+    def tokens(self):
+        """(start, end, comment, closing, name, attributes): comment is null for tags, name is empty for declarations."""
+        source, at = self.source, 0
+        while (start := source.find("<", at)) >= 0:
+            sign = source[start + 1 : start + 2]
+            closing = sign == "/"
+            letter = source[start + 2 : start + 3] if closing else sign
+            found = None
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                found = (len(source), source[start + 4 :]) if end < 0 else (end + 3, source[start + 4 : end])
+                found = (start, found[0], found[1], False, "", "")
+            elif start < self.last_end:
+                if letter.isascii() and letter.isalpha() and (tag := self.tag(start + 1 + closing)):
+                    found = (start, tag[0], None, closing, tag[1], tag[2])
+                elif sign in ("!", "?", "/") and (end := source.find(">", start + 2)) >= 0:
+                    found = (start, end + 1, None, False, "", "")
+            if found is None:
+                at = start + 1
+            else:
+                at = yield found
+                if at is None:
+                    at = found[1]
+
+
 @dataclass(eq=False)
 class Node:
     name: str
@@ -72,6 +147,7 @@ class Builder:
         self.open = [self.body]
         self.names, self.ids = Counter(), {id(self.body)}  # of the open elements, so that deep stacks are searched only for what is there
         self.active: list[Node] = []
+        self.pending, self.target, self.place = [], None, None  # pieces of text, the node they go to, and where in it
 
     def push(self, node: Node) -> None:
         self.open.append(node)
@@ -117,7 +193,21 @@ class Builder:
             self.started = True
         if text.strip():
             self.reconstruct()
-        self.open[-1].add_text(entities.unescape(text) if "&" in text else text)
+        node = self.open[-1]
+        if self.place != (id(node), len(node.children)):
+            self.flush()
+            self.target, self.place = node, (id(node), len(node.children))
+        self.pending.append(entities.unescape(text) if "&" in text else text)
+
+    def flush(self) -> None:
+        """Put the pieces of text together that nothing but tags without effect has parted."""
+        if self.pending:
+            text, before = "".join(self.pending), self.target.children[self.place[1] - 1 : self.place[1]]
+            if before and isinstance(before[0], str):
+                self.target.children[self.place[1] - 1] += text
+            else:
+                self.target.children.insert(self.place[1], text)
+        self.pending, self.target, self.place = [], None, None
 
     def start(self, name: str, attributes: dict[str, str]) -> Node | None:
         if name in ("html", "body"):
@@ -197,30 +287,32 @@ class Builder:
             self.pop_to((name,))
 
     def feed(self, source: str) -> None:
-        at = 0
+        tokens, at, jump = Scanner(source).tokens(), 0, None
         while True:
-            m = TOKEN.search(source, at)
-            if m is None:
-                self.put_text(source[at:])
-                return
-            self.put_text(source[at : m.start()])
-            at = m.end()
-            if m[1] is not None:
-                (self.open[-1] if self.started else self.head).children.append(("comment", m[1]))
-            elif m[3]:
-                name = m[3].lower()
-                if m[2]:
-                    self.end(name)
-                    continue
-                node = self.start(name, attributes_of(m[4]))
+            try:
+                start, end, comment, closing, name, attributes = tokens.send(jump)
+            except StopIteration:
+                break
+            jump = None
+            self.put_text(source[at:start])
+            at, name = end, name.lower()
+            if comment is not None:
+                self.flush()
+                (self.open[-1] if self.started else self.head).children.append(("comment", comment))
+            elif closing:
+                self.end(name)
+            elif name:
+                node = self.start(name, attributes_of(attributes))
                 if name in RAW or name in TEXT_ONLY:
-                    end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(source, at)
-                    inside = source[at : end.start()]
-                    at = end.end()
+                    close = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(source, at)
+                    inside = source[at : close.start()]
+                    at = jump = close.end()
                     if node is not None:
                         node.add_text(entities.unescape(inside) if name in TEXT_ONLY else inside)
                         if self.open[-1] is node:
                             self.close(len(self.open) - 1)
+        self.put_text(source[at:])
+        self.flush()
 
 
 def parse(source: str) -> Node:

@@ -141,7 +141,7 @@ def tm_bucketed_lookup(spark, sf):
     """As tm_lookup_left, through the bucketed store: each distinct unit is asked for once, new ones by the sketches alone."""
     units, store = _units(spark, sf), _stored(spark, sf)
     wanted = memory.distinct_units(units, texts=False)
-    answers = memory.materialized(store.lookup(wanted, "spa_Latn").select("unit_key", "n", "translated_text"))
+    answers = memory.materialized(store.lookup(wanted, "spa_Latn").where("translated_text is not null").select("unit_key", "n", "translated_text"))
     store.delete()
     return memory.answered(units, answers).select("doc_id", "part", "source_hash", "translated_text")
 

@@ -1,12 +1,15 @@
 import os
+import re
 import time
 from dataclasses import replace
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from polyglot_spark.config import COMPATIBLE, EngineConfig
-from polyglot_spark.functions.dom import parse, serialized
+from polyglot_spark.functions.dom import Scanner, parse, serialized
 from polyglot_spark.operators import backends, html_segments, memory, sketch
 from polyglot_spark.operators import glossary as gl
 from polyglot_spark.operators.glossary import from_entries, read_brands, read_glossary, with_glossary
@@ -387,3 +390,26 @@ def test_a_failing_model_is_asked_again_after_waits(spark, tmp_path):
     rows = spark.createDataFrame([("a",)], "t string").coalesce(1)
     out = backends.batches(second_time, attempts=3, first_wait=0.01, failures="why")(rows, "t", "o", "x").first()
     assert out.o == "a" and out.why == "0: RuntimeError: busy; 0: RuntimeError: busy"
+
+
+# --- scanning pages --------------------------------------------------------------------------------------------------------
+
+#: What a token is, as a pattern, which takes time that grows with the square of hostile pages.
+TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
+PIECES = ["<", "</", ">", "<p", "<b>", "</b>", '<p a="', "'", '"', " ", "x", "&amp;", "<!--", "-->", "<!d>", "<!>", "<?x", "<div class='a'>", "<br/>", "=", "/", '<a"b', "<a href=x>", "\n", "é", "</>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=16).map("".join))
+def test_tokens_are_those_of_the_pattern(page):
+    want = [(m.start(), m.end(), m[1], bool(m[2]), m[3] or "", m[4] or "") for m in TOKEN.finditer(page)]
+    assert list(Scanner(page).tokens()) == want
+
+
+@pytest.mark.parametrize("piece", ['<p a="', "<x ", "<title", '<a"', "<a'\"", "a</x>", "<p a='\" ", "<!--", "<b", "</", "<title>", "x<", "&lt"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_hostile_pages_take_linear_time(piece, end):
+    page = piece * (2_000_000 // len(piece)) + end
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 20
