@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, BLANKS, lookup_form, normalized, trimmed, utf16_length
+from ..functions.text import BLANK, BLANK_SIGNS, lookup_form, normalized, trimmed, utf16_length
 
 SCHEMA = "target_lang string, ord int, src string, value string"
 
@@ -73,19 +73,20 @@ def folded(text: Column) -> Column:
     return F.lower(F.upper(F.translate(text, ALONE, "\ue000\ue001\ue002")))
 
 
-def first_word(text: Column) -> Column:
-    return F.regexp_extract(text, f"^([^{BLANKS}]+)", 1)
-
-
-def last_word(text: Column) -> Column:
-    return F.regexp_extract(text, f"([^{BLANKS}]+)$", 1)
+def ends_of(text: Column) -> tuple[Column, Column, Column]:
+    """First, second and last word of a trimmed text; without a second one it is ''."""
+    others = BLANK_SIGNS.replace(" ", "")
+    plain = F.translate(text, others, " " * len(others))
+    first = F.substring_index(plain, " ", 1)
+    rest = F.ltrim(plain.substr(F.length(first) + 1, F.length(plain)))
+    return first, F.substring_index(rest, " ", 1), F.substring_index(plain, " ", -1)
 
 
 def pattern_index(patterns: DataFrame) -> DataFrame:
-    """(first, last, patterns): of (ord, src, value) with one ``*``, by the first word before it and the last behind it.
+    """(first, second, last, patterns): of (ord, src, value) with one ``*``, by the first two words before it, if there are two, and the last behind it.
 
-    A text that matches begins and ends with these words, so that only the patterns of one
-    row of the index are ever tried on it.  Where nothing stands before or behind the ``*``
+    A text that matches begins and ends with these words, so that only the patterns of two
+    rows of the index are ever tried on it.  Where nothing stands before or behind the ``*``
     a pattern matches nothing, as white space must, and texts are trimmed.  Of patterns that are
     equal but for case the first one is kept.
     """
@@ -94,7 +95,8 @@ def pattern_index(patterns: DataFrame) -> DataFrame:
     rows = rows.where("left <> '' and right <> ''").groupBy(folded(F.col("left")).alias("_left"), folded(F.col("right")).alias("_right"))
     rows = rows.agg(F.min_by(F.struct("ord", "left", "right", "value"), "ord").alias("_first"))
     rows = rows.select("_left", "_right", F.struct("_first.*", F.col("_left").alias("begins"), F.col("_right").alias("ends")).alias("p"))
-    index = rows.groupBy(first_word(F.col("_left")).alias("first"), last_word(F.col("_right")).alias("last"))
+    first, second, _ = ends_of(F.col("_left"))
+    index = rows.groupBy(first.alias("first"), second.alias("second"), ends_of(F.col("_right"))[2].alias("last"))
     return index.agg(F.array_sort(F.collect_list("p")).alias("patterns"))
 
 
@@ -121,14 +123,19 @@ def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """
     rows = df.withColumn("_trimmed", trimmed(F.col(text)))
     rows = rows.withColumn("_folded", folded(F.col("_trimmed")))
-    rows = rows.withColumns({"_first": first_word(F.col("_folded")), "_last": last_word(F.col("_folded"))})
-    index = pattern_index(patterns).select(F.col("first").alias("_i"), F.col("last").alias("_j"), F.col("patterns").alias("_patterns"))
-    rows = rows.join(index, (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_j")), "left")
-    near = F.filter("_patterns", lambda p: F.col("_folded").startswith(p["begins"]) & F.col("_folded").endswith(p["ends"]))
-    found = F.get(F.filter(near, lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))), F.lit(0))
+    first, second, last = ends_of(F.col("_folded"))
+    rows = rows.withColumns({"_first": first, "_second": second, "_last": last})
+    index = pattern_index(patterns)
+    for name, part in (("_one", index.where("second = ''")), ("_two", index.where("second <> ''"))):
+        keys = part.select(F.col("first").alias("_i"), F.col("second").alias("_j"), F.col("last").alias("_k"), F.col("patterns").alias(name))
+        same = (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_k"))
+        rows = rows.join(keys, same & (F.col("_second") == F.col("_j")) if name == "_two" else same, "left").drop("_i", "_j", "_k")
+    there = F.when(F.col("_one").isNull(), F.col("_two")).when(F.col("_two").isNull(), F.col("_one")).otherwise(F.concat("_one", "_two"))
+    near = F.filter(there, lambda p: F.col("_folded").startswith(p["begins"]) & F.col("_folded").endswith(p["ends"]))
+    found = F.array_min(F.filter(near, lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))))
     rows = rows.withColumn("_found", found)
     captured = trimmed(F.regexp_extract(_middle(F.col("_trimmed"), F.col("_found")), BETWEEN, 1))
-    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_folded", "_first", "_last", "_i", "_j", "_patterns", "_found")
+    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_folded", "_first", "_second", "_last", "_one", "_two", "_found")
 
 
 def pattern_rows(spark: SparkSession, patterns: list[tuple[str, str]]) -> DataFrame:
