@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +56,26 @@ def unit_key(source_hash="source_hash") -> F.Column:
     return F.unhex(source_hash)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Cut lineage in the checkpoint folder, so that a backend is asked once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where a local session names none (tests, laptops), a temporary one.
 
-    Without a folder the data is kept in memory and on disk, in a local session only: on a
-    cluster it would be lost, and asked for again, with an executor.
+    On a cluster without the setting this is an error: other machines would not see a local folder.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return df.persist()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="polyglot-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Cut lineage in the checkpoint folder, so that a backend is asked once."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 class TranslationMemory:
@@ -227,10 +234,7 @@ class TranslationMemory:
 
 def scratch_memory(spark: SparkSession, buckets: int | None = None) -> TranslationMemory:
     """A new memory in the folder of ``spark.checkpoint.dir``, for the length of a job."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return TranslationMemory(spark, f"{folder.rstrip('/')}/memory-{uuid.uuid4().hex}", buckets)
+    return TranslationMemory(spark, f"{shared_folder(spark).rstrip('/')}/memory-{uuid.uuid4().hex}", buckets)
 
 
 def distinct_units(units: DataFrame, texts: bool = True) -> DataFrame:
