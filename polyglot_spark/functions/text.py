@@ -72,6 +72,7 @@ def numeric_only(text: Column) -> Column:
 def worth_keeping(text: Column) -> Column:
     """A segment worth translating: not blank, not only numbers, a single character only if it is a letter."""
     core = normalized(text)
+    # fixed values: the letters that may stand alone
     letter = core.rlike(r"[A-Za-z\u00C0-\u017F\u0400-\u04FF\u0600-\u06FF\u4E00-\u9FFF]")
     return F.coalesce((core != "") & ((utf16_length(core) >= 2) | letter) & ~numeric_only(core), F.lit(False))
 

@@ -113,6 +113,7 @@ def url_verdict(url: Column, config: EngineConfig = COMPATIBLE) -> Column:
     else:
         hostless = (host == "") | host.rlike(r"[\x00-\x20<>^|%]")
         private = host.isin(*BLOCKED) | host.rlike(PRIVATE)
+    # fixed values: the texts of the errors, and the order in which they are looked for
     error = (
         F.when(url.isNull(), "URL must be a string")
         .when(text == "", "URL is required")

@@ -83,6 +83,7 @@ def page_status(requests: DataFrame, config: EngineConfig = COMPATIBLE) -> DataF
     400: no language, no URL or one that may not be fetched; 502: no page came back.
     """
     verdict = url_verdict(F.col("url"), config)["error"]
+    # fixed values: the texts of the errors
     missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     bad = F.when(missing("target_lang"), "Missing targetLang").when(missing("url"), "Missing url").otherwise(verdict)
     page = F.when(missing("html"), "Invalid HTML received")
@@ -91,6 +92,7 @@ def page_status(requests: DataFrame, config: EngineConfig = COMPATIBLE) -> DataF
 
 def file_status(requests: DataFrame) -> DataFrame:
     """All columns of ``requests`` (filename, content, target_lang) plus (status, error): 200, or what is wrong first."""
+    # fixed values: the texts of the errors
     kind = F.when(~F.lower("filename").endswith(".properties"), "Only .properties files are allowed")
     bad = F.when(F.col("content").isNull(), "No file uploaded").when(F.coalesce("target_lang", F.lit("")) == "", "Missing target language (targetLang)")
     return requests.withColumns({"status": F.when(kind.isNotNull(), 500).when(bad.isNotNull(), 400).otherwise(200), "error": F.coalesce(kind, bad)})
