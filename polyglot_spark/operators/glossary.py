@@ -121,15 +121,15 @@ def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     kind and length, elsewhere it must be as in the pattern; what stands for the ``*`` lies
     within one line and is trimmed.
     """
-    rows = df.withColumn("_trimmed", trimmed(F.col(text)))
-    rows = rows.withColumn("_folded", folded(F.col("_trimmed")))
-    first, second, last = ends_of(F.col("_folded"))
-    rows = rows.withColumns({"_first": first, "_second": second, "_last": last})
+    first, second, last = ends_of(folded(trimmed(F.col(text))))
+    rows = df.withColumns({"_first": first, "_second": second, "_last": last})
     index = pattern_index(patterns)
     for name, part in (("_one", index.where("second = ''")), ("_two", index.where("second <> ''"))):
         keys = part.select(F.col("first").alias("_i"), F.col("second").alias("_j"), F.col("last").alias("_k"), F.col("patterns").alias(name))
         same = (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_k"))
         rows = rows.join(keys, same & (F.col("_second") == F.col("_j")) if name == "_two" else same, "left").drop("_i", "_j", "_k")
+    # worked out again, as the text alone goes through the joins
+    rows = rows.withColumn("_trimmed", trimmed(F.col(text))).withColumn("_folded", folded(F.col("_trimmed")))
     there = F.when(F.col("_one").isNull(), F.col("_two")).when(F.col("_two").isNull(), F.col("_one")).otherwise(F.concat("_one", "_two"))
     near = F.filter(there, lambda p: F.col("_folded").startswith(p["begins"]) & F.col("_folded").endswith(p["ends"]))
     found = F.array_min(F.filter(near, lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))))
