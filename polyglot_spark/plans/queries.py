@@ -11,7 +11,7 @@ from ..config import COMPATIBLE
 from ..functions import quality
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..functions.languages import in_target_script, model_code, two_letter_code
+from ..functions.languages import LANGUAGES, in_target_script, model_code, two_letter_code
 from ..functions.urls import url_verdict
 from ..operators import backends, html_segments, memory
 from ..operators import glossary as gl
@@ -34,6 +34,12 @@ def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"id int, {names}")
 
 
+def _beside(fixed: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of a table, whose key is ``id``, and the fixed ones that it has no cases for."""
+    both = lambda df, name: df.withColumns({"id": F.col("id").cast("long"), "kind": F.lit(name)})
+    return both(fixed, "fixed").unionByName(both(rows, kind))
+
+
 def _sql_values(rows: list[tuple], names: str) -> str:
     text = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
     body = ", ".join(f"({i}, {', '.join(map(text, row))})" for i, row in enumerate(rows))
@@ -75,6 +81,18 @@ RESOURCE = '# note\n! note\n// note\n\norphan line\na=b=c\n"k" = "v";\nk = v;\nk
 GLOSSARY = {"spa_Latn": {"Save": "Guardar", "Log In": "Iniciar sesión", "The": "El", "and": "y", "of": "de"}}
 
 
+#: Vowels as letters of other scripts.
+TAMIL, DEVANAGARI = "\u0b85\u0b8e\u0b87\u0b92\u0b89", "\u0905\u090f\u0907\u0913\u0909"
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message with placeholders of every kind, some of them twice, for each event."""
+    kind, sign = F.col("event_type"), F.concat(F.lit("%"), F.substring("event_type", 1, 1))
+    user = (F.col("event_id") % 3).cast("string")
+    parts = (sign, F.lit(" of "), F.col("props"), F.lit(" for ${"), kind, F.lit("} %2$s {{"), user, F.lit("}} and "), sign, F.lit(" "), F.col("props"))
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(*parts).alias("text"))
+
+
 # --- queries ----------------------------------------------------------------------------------------------------------
 
 
@@ -180,8 +198,11 @@ def glossary_exact(spark, sf):
 
 
 def glossary_pattern(spark, sf):
-    rows = _values(spark, PATTERN_TEXTS, "text string")
-    return gl.with_patterns(rows, "text", gl.pattern_rows(spark, PATTERNS)).select("id", F.col("pattern_value").alias("value"))
+    name, way = F.col("p_name"), F.col("p_partkey") % 5
+    text = F.when(way == 0, F.concat(F.lit("delete "), name, F.lit(" files"))).when(way == 1, F.concat(F.lit("  MOVE\t"), F.upper(name), F.lit("  to trash")))
+    text = text.when(way == 2, F.concat(F.lit("Delete "), name, F.lit("\nfiles"))).when(way == 3, F.concat(F.lit("Delete "), name, F.lit("\nor files"))).otherwise(name)
+    rows = _beside(_values(spark, PATTERN_TEXTS, "text string"), _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "part")
+    return gl.with_patterns(rows, "text", gl.pattern_rows(spark, PATTERNS)).select("kind", "id", F.col("pattern_value").alias("value"))
 
 
 def glossary_patterns_of_sentences(spark, sf):
@@ -212,8 +233,8 @@ def numeric_or_keep(spark, sf):
 
 
 def placeholder_protect(spark, sf):
-    rows = _values(spark, PLACEHOLDERS, "text string")
-    return rows.select("id", tk.protected(F.col("text"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"), F.array_join(tk.originals(F.col("text"), tk.FILE_PLACEHOLDER), "|").alias("originals"))
+    rows = _beside(_values(spark, PLACEHOLDERS, "text string"), _notices(spark, sf), "event")
+    return rows.select("kind", "id", tk.protected(F.col("text"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"), F.array_join(tk.originals(F.col("text"), tk.FILE_PLACEHOLDER), "|").alias("originals"))
 
 
 def placeholder_protect_events(spark, sf):
@@ -222,31 +243,47 @@ def placeholder_protect_events(spark, sf):
 
 
 def placeholder_restore_fuzzy(spark, sf):
-    known = F.array(F.lit("%d"), F.lit("{0}"))
-    return _values(spark, LOOSE, "text string").select("id", tk.restored_loosely(F.col("text"), known).alias("text"))
+    """Tokens with blanks and in other cases, the third and the last of which nothing is known for."""
+    number = lambda k: ((F.col("event_id") / 3**k).cast("long") % 3).cast("string")
+    text = F.concat(F.lit("__ PH "), number(0), F.lit(" __ y __ph"), number(1), F.lit("__"), number(2), F.lit("__PH"), number(2), F.lit("__ __PH7__"))
+    events = _table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("text"), F.array("props", "event_type").alias("known"))
+    fixed = _values(spark, LOOSE, "text string").withColumn("known", F.array(F.lit("%d"), F.lit("{0}")))
+    return _beside(fixed, events, "event").select("kind", "id", tk.restored_loosely(F.col("text"), F.col("known")).alias("text"))
 
 
 def fluency_protect(spark, sf):
-    return _values(spark, PLACEHOLDERS, "text string").select("id", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "FLUENCY_TOKEN_").alias("text"))
+    rows = _beside(_values(spark, PLACEHOLDERS, "text string"), _notices(spark, sf), "event")
+    return rows.select("kind", "id", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "FLUENCY_TOKEN_").alias("text"))
 
 
 def tone_protect(spark, sf):
-    rows = _values(spark, PLACEHOLDERS, "text string").withColumn("sent", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "UITONE_TOKEN_"))
+    rows = _beside(_values(spark, PLACEHOLDERS, "text string"), _notices(spark, sf), "event")
+    rows = rows.withColumn("sent", tk.protected(F.col("text"), tk.TEXT_PLACEHOLDER, "UITONE_TOKEN_"))
     back = tk.restored(F.col("sent"), tk.originals(F.col("text"), tk.TEXT_PLACEHOLDER), "UITONE_TOKEN_")
-    return rows.withColumn("restored", back).select("id", F.col("sent").alias("text"), "restored")
+    return rows.withColumn("restored", back).select("kind", "id", F.col("sent").alias("text"), "restored")
 
 
 def script_detect(spark, sf):
-    rows = _values(spark, SCRIPTS, "text string")
-    return rows.select("id", *[in_target_script(F.col("text"), m).alias(m) for m in ("tam_Taml", "mar_Deva", "spa_Latn")])
+    """Lines of documents, two thirds of them with the vowels of another script."""
+    line, way = F.col("line"), F.col("doc_id") % 3
+    text = F.when(way == 1, F.translate(line, "aeiou", TAMIL)).when(way == 2, F.translate(line, "aeiou", DEVANAGARI)).otherwise(line)
+    lines = _lines(spark, sf).select(F.col("doc_id").alias("id"), "line_no", text.alias("text"))
+    rows = _beside(_values(spark, SCRIPTS, "text string").withColumn("line_no", F.lit(0)), lines, "line")
+    return rows.select("kind", "id", "line_no", *[in_target_script(F.col("text"), m).alias(m) for m in ("tam_Taml", "mar_Deva", "spa_Latn")])
 
 
 def lang_map(spark, sf):
-    return _values(spark, CODES, "code string").select("id", model_code(F.col("code")).alias("model"))
+    way = F.col("doc_id") % 3
+    code = F.when(way == 1, F.concat("lang", F.lit("_X"))).when(way == 2, F.upper("lang")).otherwise(F.col("lang"))
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), code.alias("code"))
+    return _beside(_values(spark, CODES, "code string"), docs, "document").select("kind", "id", model_code(F.col("code")).alias("model"))
 
 
 def iso_map(spark, sf):
-    return _values(spark, MODELS, "model string").select("id", two_letter_code(F.col("model")).alias("iso"))
+    way = F.col("doc_id") % 3
+    model = F.when(way == 1, F.concat("lang", F.lit("xx_Zzzz"))).when(way == 2, F.substring("lang", 1, 1)).otherwise(model_code(F.col("lang")))
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), model.alias("model"))
+    return _beside(_values(spark, MODELS, "model string"), docs, "document").select("kind", "id", two_letter_code(F.col("model")).alias("iso"))
 
 
 def url_allowed(spark, sf):
@@ -293,11 +330,19 @@ def low_confidence(spark, sf):
 
 
 def entity_decode(spark, sf):
-    return _values(spark, ENTITIES, "text string").select("id", tx.decoded_entities(F.col("text")).alias("text"))
+    """Sources of pages, each with two numeric references of its own behind it."""
+    number = lambda first, n: F.lit(first) + F.col("page_id") % n
+    text = F.concat(F.col("html"), F.lit("&#"), number(200, 5000).cast("string"), F.lit(";&#x"), F.lower(F.hex(number(945, 3000))), F.lit("; &amp;lt;"))
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("id"), text.alias("text"))
+    return _beside(_values(spark, ENTITIES, "text string"), pages, "page").select("kind", "id", tx.decoded_entities(F.col("text")).alias("text"))
 
 
 def mojibake_fix(spark, sf):
-    return _values(spark, MOJIBAKE, "text string").select("id", tx.repaired(F.col("text")).alias("text"), tx.repaired(F.col("text"), lossy=False).alias("strict"))
+    """Documents as they are, and with Tamil vowels read in the wrong character set."""
+    docs = _documents(spark, sf).withColumnRenamed("doc_id", "id")
+    misread = F.decode(F.encode(F.translate("text", "aeiou", TAMIL), "UTF-8"), "ISO-8859-1")
+    rows = _beside(_values(spark, MOJIBAKE, "text string"), docs, "own").unionByName(docs.select(F.col("id"), misread.alias("text"), F.lit("misread").alias("kind")))
+    return rows.select("kind", "id", tx.repaired(F.col("text")).alias("text"), tx.repaired(F.col("text"), lossy=False).alias("strict"))
 
 
 def properties_parse(spark, sf):
@@ -310,7 +355,12 @@ def properties_rebuild(spark, sf):
 
 
 def properties_fixture(spark, sf):
-    return properties.parsed(spark.createDataFrame([(1, RESOURCE)], "file_id int, content string"))
+    """A resource file for each part, besides a fixed one."""
+    lines = (F.concat(F.lit("# "), "p_type"), F.concat(F.lit('"name" = "'), "p_name", F.lit('";')), F.lit(""), F.concat(F.lit("brand="), "p_brand", F.lit(" = "), F.col("p_size").cast("string")), F.lit("no value"))
+    files = _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array(*lines), "\n").alias("content"))
+    rows = _beside(_values(spark, [(RESOURCE,)], "content string"), files, "part").withColumnRenamed("id", "file_id")
+    rows = rows.withColumn("file_id", F.when(F.col("kind") == "fixed", F.lit(-1).cast("long")).otherwise(F.col("file_id"))).drop("kind")
+    return properties.parsed(rows)
 
 
 def text_file_roundtrip(spark, sf):
@@ -320,7 +370,10 @@ def text_file_roundtrip(spark, sf):
 
 
 def download_filename(spark, sf):
-    return _values(spark, NAMES, "name string, locale string").select("id", tx.download_name(F.col("name"), F.col("locale")).alias("filename"))
+    """Texts of documents as names."""
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.concat(F.lit("%"), "lang").alias("locale"))
+    rows = _beside(_values(spark, NAMES, "name string, locale string"), docs, "document")
+    return rows.select("kind", "id", tx.download_name(F.col("name"), F.col("locale")).alias("filename"))
 
 
 def html_segments_query(spark, sf):
@@ -426,9 +479,18 @@ def _brands(text: str) -> str:
     return text
 
 
-def _expected(rows: list[tuple], names: str) -> str:
-    """Rows worked out by hand."""
-    return f"SELECT * FROM {_sql_values(rows, names)}"
+def _expected(rows: list[tuple], names: str, others: str) -> str:
+    """Rows worked out by hand, and those of a table."""
+    return f"SELECT 'fixed' AS kind, id::BIGINT AS id, {names} FROM {_sql_values(rows, names)} UNION ALL {others}"
+
+
+def _tokens(pattern: str, before: str, after: str = "") -> str:
+    """(kind, id, text, sent, known) of the notices of events: distinct placeholders are numbered in the order of their first occurrence."""
+    number = "(list_position(known, found[i]) - 1)::VARCHAR"
+    return f"""(WITH n AS (SELECT event_id AS id, '%' || event_type[1] || ' of ' || props || ' for ${{' || event_type || '}} %2$s {{{{' || (event_id % 3) || '}}}} and %' || event_type[1] || ' ' || props AS text FROM events),
+f AS (SELECT *, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM n),
+d AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS known FROM f)
+SELECT 'event' AS kind, id, text, array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(found) THEN '{before}' || {number} || '{after}' ELSE '' END), '') AS sent, array_to_string(known, '|') AS known FROM d)"""
 
 
 #: ``RESOURCE`` after the pseudo backend, worked out by hand.
@@ -491,7 +553,15 @@ z AS (SELECT o.doc_id, src, tr,
 q AS (SELECT *, bleu * 0.35::DOUBLE + chrf * 0.35::DOUBLE + length_score * 0.3::DOUBLE AS confidence FROM z)"""
 
 
+#: (type, key, value, raw) of the lines of a part's resource file.
+_PART_LINES = (
+    ("'comment'", "NULL", "NULL", "'# ' || p_type"), ("'entry'", "'name'", "p_name", "'\"name\" = \"' || p_name || '\";'"), ("'blank'", "NULL", "NULL", "''"),
+    ("'entry'", "'brand'", "p_brand || ' = ' || p_size", "'brand=' || p_brand || ' = ' || p_size"), ("'comment'", "NULL", "NULL", "'no value'"),
+)
+
+
 def oracle_sql() -> dict[str, str]:
+    languages = "(VALUES " + ", ".join(map(str, LANGUAGES)) + ") AS m(code, model, iso)"
     resource = RESOURCE.split("\n")
     parsed = [("comment", None, None)] * 3 + [("blank", None, None), ("comment", None, None), ("entry", "a", "b=c"), ("entry", "k", "v"), ("entry", "k", "v"), ("comment", None, None), ("entry", "empty", ""), ("entry", "Greeting", resource[-1].partition("= ")[2])]
     return {
@@ -510,7 +580,7 @@ def oracle_sql() -> dict[str, str]:
         "brand_protect": rf"SELECT p_partkey, {_brands('p_name')} AS text, len(regexp_extract_all(p_name, '(?i)\b(ring|widget|bolt)\b'))::INT AS n_found FROM part",
         "brand_restore": "SELECT p_partkey, p_name AS text FROM part",
         "glossary_exact": rf"WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents), w AS (SELECT doc_id, (i - 1)::INT AS n, l[i] AS word FROM s, unnest(generate_series(1, len(l))) AS g(i)) SELECT doc_id, n, word, CASE WHEN length(word) <= 30 THEN (CASE lower(word) WHEN 'save' THEN 'Guardar' WHEN 'the' THEN 'El' WHEN 'and' THEN 'y' WHEN 'of' THEN 'de' END) END AS glossary_value FROM w",
-        "glossary_pattern": _expected([("Eliminar 3 archivos",), ("Eliminar all archivos",), (None,), (None,), ("Mover it a la papelera",), (None,)], "value"),
+        "glossary_pattern": _expected([("Eliminar 3 archivos",), ("Eliminar all archivos",), (None,), (None,), ("Mover it a la papelera",), (None,)], "value", "SELECT 'part', p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Eliminar ' || p_name || ' archivos' WHEN 1 THEN 'Mover ' || upper(p_name) || ' a la papelera' WHEN 2 THEN 'Eliminar ' || p_name || ' archivos' END FROM part"),
         "glossary_patterns_of_sentences": rf"""WITH {_SENTENCES},
 w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM u),
 r AS (SELECT DISTINCT unnest([[w[1], w[-1]], [w[1] || ' ' || w[2], w[-1]]]) AS p FROM w WHERE len(w) BETWEEN 5 AND 8),
@@ -524,14 +594,16 @@ FROM j WHERE regexp_matches(m, '^\s+[^\n\r]+?\s+$') GROUP BY doc_id, part""",
         "ui_command_filter": rf"WITH {_LINES} SELECT * FROM l WHERE {_TRIM.format('line')} <> '' AND {_COUNT.format('line')} <= 4 AND length({_TRIM.format('line')}) <= 40 AND NOT regexp_matches({_TRIM.format('line')}, '[.!?]$')",
         "fluency_candidates": rf"WITH {_LINES} SELECT * FROM l WHERE {_COUNT.format('line')} > 3",
         "numeric_or_keep": rf"WITH {_LINES} SELECT doc_id, line_no, regexp_full_match(line, '[\d\s.,:+\-/%()]+') AS numeric, {_NORM.format('line')} <> '' AND (length({_NORM.format('line')}) >= 2 OR regexp_matches({_NORM.format('line')}, '[A-Za-zÀ-ſЀ-ӿ؀-ۿ一-鿿]')) AND NOT regexp_full_match({_NORM.format('line')}, '[\d\s.,:+\-/%()]+') AS kept FROM l",
-        "placeholder_protect": _expected([("You have __PH0__ of __PH1__ in __PH2__, again __PH0__", "%d|{0}|${acct}"), ("__PH0__}", "{{v}"), ("%1$s items", ""), ("__PH0__ __PH1__", "{%d}|%d"), ("plain", ""), ("50__PH0__ff __PH1__", "%o|%@")], "text, originals"),
+        "placeholder_protect": _expected([("You have __PH0__ of __PH1__ in __PH2__, again __PH0__", "%d|{0}|${acct}"), ("__PH0__}", "{{v}"), ("%1$s items", ""), ("__PH0__ __PH1__", "{%d}|%d"), ("plain", ""), ("50__PH0__ff __PH1__", "%o|%@")], "text, originals", f"SELECT kind, id, sent, known FROM {_tokens(tk.FILE_PLACEHOLDER, '__PH', '__')}"),
         "placeholder_protect_events": r"SELECT event_id, regexp_replace(props, '\{[^}]+\}', '__PH0__', 'g') AS text FROM events",
-        "placeholder_restore_fuzzy": _expected([("%d y {0} __ph7__",), ("%d",), ("none",), ("a{0}b",)], "text"),
-        "fluency_protect": _expected([("You have FLUENCY_TOKEN_0 of FLUENCY_TOKEN_1 in FLUENCY_TOKEN_2, again FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0 items",), ("FLUENCY_TOKEN_0 FLUENCY_TOKEN_1",), ("plain",), ("50FLUENCY_TOKEN_0ff FLUENCY_TOKEN_1",)], "text"),
-        "tone_protect": _expected([("You have UITONE_TOKEN_0 of UITONE_TOKEN_1 in UITONE_TOKEN_2, again UITONE_TOKEN_0", PLACEHOLDERS[0][0]), ("UITONE_TOKEN_0", "{{v}}"), ("UITONE_TOKEN_0 items", "%1$s items"), ("UITONE_TOKEN_0 UITONE_TOKEN_1", "{%d} %d"), ("plain", "plain"), ("50UITONE_TOKEN_0ff UITONE_TOKEN_1", "50%off %@")], "text, restored"),
-        "script_detect": "SELECT * FROM (VALUES (0, true, false, false), (1, false, false, false), (2, true, true, true), (3, false, true, false)) AS v(id, \"tam_Taml\", \"mar_Deva\", \"spa_Latn\")",
-        "lang_map": _expected([("spa_Latn",), ("por_Latn",), ("tam_Taml",), ("spa_Latn",), ("xx",), ("x_y",)], "model"),
-        "iso_map": _expected([("es",), ("ja",), ("xy",), ("q",)], "iso"),
+        "placeholder_restore_fuzzy": _expected([("%d y {0} __ph7__",), ("%d",), ("none",), ("a{0}b",)], "text", r"SELECT 'event', event_id, regexp_replace(regexp_replace('__ PH ' || (event_id % 3) || ' __ y __ph' || (event_id // 3 % 3) || '__' || (event_id // 9 % 3) || '__PH' || (event_id // 9 % 3) || '__ __PH7__', '(?i)__\s*PH\s*0\s*__', props, 'g'), '(?i)__\s*PH\s*1\s*__', event_type, 'g') FROM events"),
+        "fluency_protect": _expected([("You have FLUENCY_TOKEN_0 of FLUENCY_TOKEN_1 in FLUENCY_TOKEN_2, again FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0",), ("FLUENCY_TOKEN_0 items",), ("FLUENCY_TOKEN_0 FLUENCY_TOKEN_1",), ("plain",), ("50FLUENCY_TOKEN_0ff FLUENCY_TOKEN_1",)], "text", f"SELECT kind, id, sent FROM {_tokens(tk.TEXT_PLACEHOLDER, 'FLUENCY_TOKEN_')}"),
+        "tone_protect": _expected([("You have UITONE_TOKEN_0 of UITONE_TOKEN_1 in UITONE_TOKEN_2, again UITONE_TOKEN_0", PLACEHOLDERS[0][0]), ("UITONE_TOKEN_0", "{{v}}"), ("UITONE_TOKEN_0 items", "%1$s items"), ("UITONE_TOKEN_0 UITONE_TOKEN_1", "{%d} %d"), ("plain", "plain"), ("50UITONE_TOKEN_0ff UITONE_TOKEN_1", "50%off %@")], "text, restored", f"SELECT kind, id, sent, text FROM {_tokens(tk.TEXT_PLACEHOLDER, 'UITONE_TOKEN_')}"),
+        "script_detect": f"""WITH {_LINES}, t AS (SELECT doc_id, line_no, CASE doc_id % 3 WHEN 1 THEN translate(line, 'aeiou', '{TAMIL}') WHEN 2 THEN translate(line, 'aeiou', '{DEVANAGARI}') ELSE line END AS text FROM l)
+SELECT 'fixed' AS kind, id::BIGINT AS id, 0::INT AS line_no, "tam_Taml", "mar_Deva", "spa_Latn" FROM (VALUES (0, true, false, false), (1, false, false, false), (2, true, true, true), (3, false, true, false)) AS v(id, "tam_Taml", "mar_Deva", "spa_Latn")
+UNION ALL SELECT 'line', doc_id, line_no, text = '' OR regexp_matches(text, '[\u0b80-\u0bff]'), text = '' OR regexp_matches(text, '[\u0900-\u097f]'), text = '' FROM t""",
+        "lang_map": _expected([("spa_Latn",), ("por_Latn",), ("tam_Taml",), ("spa_Latn",), ("xx",), ("x_y",)], "model", "SELECT 'document', doc_id, CASE doc_id % 3 WHEN 1 THEN lang || '_X' WHEN 2 THEN upper(lang) ELSE coalesce(model, lang) END FROM documents LEFT JOIN " + languages + " ON code = lang"),
+        "iso_map": _expected([("es",), ("ja",), ("xy",), ("q",)], "iso", "SELECT 'document', doc_id, CASE doc_id % 3 WHEN 1 THEN left(lang || 'xx', 2) WHEN 2 THEN left(lang, 1) ELSE coalesce(iso, left(lang, 2)) END FROM documents LEFT JOIN " + languages + " ON code = lang"),
         "url_allowed": "SELECT v.id::BIGINT AS id, 'fixed' AS kind, error IS NULL AS allowed, error FROM " + _sql_values([(e,) for e in (None, "URL is required", "URL is required", "Invalid URL", "Only HTTP and HTTPS URLs are allowed", "URL host not allowed", "URL host not allowed", "URL host not allowed", None, "URL host not allowed", None, "URL host not allowed", "URL host not allowed", "URL too long")], "error") + r" UNION ALL SELECT page_id, 'page', regexp_matches(url, '^https?://'), NULL FROM pages",
         "url_strict_hosts": """WITH h AS (SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT AS h FROM pages),
 n AS (SELECT page_id, CASE WHEN h % 3 = 0 THEN h ELSE CASE h % 5 WHEN 0 THEN 10::BIGINT * 16777216 + h % 16777216 WHEN 1 THEN 127::BIGINT * 16777216 + h % 16777216
@@ -542,8 +614,9 @@ SELECT page_id, way, NOT closed AS allowed, CASE WHEN closed THEN 'URL host not
 UNION ALL SELECT page_id, 'page', true, NULL FROM pages""",
         "quality_scores": f"WITH {_SCORES} SELECT conv_id, turn, kind, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(length_score, 6) AS length_score, round(confidence, 6) AS confidence, confidence < 0.85 AS flagged FROM q",
         "low_confidence": f"WITH {_SCORES} SELECT kind, conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM q WHERE confidence < 0.85 GROUP BY kind, conv_id",
-        "entity_decode": _expected([("a & b",), ("<",), ("éé",), ("<p> \"x\" '",), ("none",)], "text"),
-        "mojibake_fix": _expected([("நன", "நன"), ("plain", "plain"), ("caf�", "café"), ("Ã©", "Ã©"), ("நன", "நன")], "text, strict"),
+        "entity_decode": _expected([("a & b",), ("<",), ("éé",), ("<p> \"x\" '",), ("none",)], "text", "SELECT 'page', page_id, replace(replace(replace(replace(replace(html || chr((200 + page_id % 5000)::INT) || chr((945 + page_id % 3000)::INT) || ' &amp;lt;', '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)) FROM pages"),
+        "mojibake_fix": _expected([("நன", "நன"), ("plain", "plain"), ("caf�", "café"), ("Ã©", "Ã©"), ("நன", "நன")], "text, strict", rf"""SELECT 'own', doc_id, CASE WHEN regexp_matches(text, '[^\x{{00}}-\x{{ff}}]') THEN text ELSE regexp_replace(text, '[\x{{80}}-\x{{ff}}]', chr(65533), 'g') END, text FROM documents
+UNION ALL SELECT 'misread', doc_id, fixed, fixed FROM (SELECT doc_id, CASE WHEN regexp_matches(moved, '[^\x{{00}}-\x{{ff}}]') THEN moved ELSE array_to_string(list_transform(string_split(moved, ''), lambda c: CASE WHEN c < chr(128) THEN c WHEN c < chr(192) THEN chr(194) || c ELSE chr(195) || chr(unicode(c) - 64) END), '') END AS fixed FROM (SELECT doc_id, translate(text, 'aeiou', '{TAMIL}') AS moved FROM documents))"""),
         "properties_parse": f"WITH {_PARSED} SELECT * FROM r",
         "properties_rebuild": f"WITH {_PARSED} SELECT file_id, string_agg(CASE WHEN type = 'entry' THEN key || ' = ' || coalesce(value, '') ELSE raw END, chr(10) ORDER BY line_no) AS content FROM r GROUP BY file_id",
         "chunk_400": f"""WITH RECURSIVE s AS (SELECT doc_id, {_split("text")} AS l FROM documents),
@@ -555,9 +628,9 @@ SELECT p.doc_id, n::INT AS n, string_agg(l[i], ' ' ORDER BY i) AS chunk FROM p J
         "preprocess_sentences": f"WITH {_PARAGRAPHS}, s AS (SELECT doc_id, g, {_split('paragraph')} AS l FROM d WHERE e = 0) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1)::INT AS n, l[i] AS sentence FROM s, unnest(generate_series(1, len(l))) AS q(i)",
         "pipeline_pseudo": f"WITH {_PSEUDO} SELECT doc_id, CASE WHEN confidence < 0.85 THEN CASE WHEN {_NORM.format('src')} = '' THEN '' ELSE '[spa_Latn] ' || {_NORM.format('src')} END ELSE tr END AS translated, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(length_score, 6) AS length_score, round(confidence, 6) AS confidence, confidence < 0.85 AS flagged FROM q",
         "localize_properties": "SELECT coalesce(event_type, 'none') || '.properties' AS filename, string_agg(event_id || ' = ' || CASE WHEN coalesce(props, '') = '' THEN '' ELSE '[spa_Latn] ' || props END, chr(10) ORDER BY event_id) AS content, coalesce(event_type, 'none') || '-spa_Latn.properties' AS download_name FROM events GROUP BY event_type UNION ALL SELECT 'messages.properties', " + "'" + _RESOURCE_DONE.replace("'", "''") + "', 'messages-spa_Latn.properties'",
-        "properties_fixture": "SELECT 1::INT AS file_id, id AS line_no, type, key, value, raw FROM " + _sql_values([(*p, raw) for p, raw in zip(parsed, resource, strict=True)], "type, key, value, raw"),
+        "properties_fixture": "SELECT -1::BIGINT AS file_id, id AS line_no, type, key, value, raw FROM " + _sql_values([(*p, raw) for p, raw in zip(parsed, resource, strict=True)], "type, key, value, raw") + "".join(f" UNION ALL SELECT p_partkey, {n}, {', '.join(c)} FROM part" for n, c in enumerate(_PART_LINES)),
         "text_file_roundtrip": rf"WITH {_LINES} SELECT doc_id AS file_id, string_agg(CASE WHEN {_TRIM.format('line')} = '' THEN '' ELSE '> ' || {_TRIM.format('line')} END, chr(10) ORDER BY line_no) AS content FROM l GROUP BY doc_id",
-        "download_filename": _expected([("messages-ta.properties",), ("file-fr.properties",), ("a_b_c-translated.properties",), ("X-pt-BR.properties",), ("file-es.properties",)], "filename"),
+        "download_filename": _expected([("messages-ta.properties",), ("file-fr.properties",), ("a_b_c-translated.properties",), ("X-pt-BR.properties",), ("file-es.properties",)], "filename", rf"""SELECT 'document', doc_id, substr(regexp_replace(CASE WHEN base = '' THEN 'file' ELSE base END, '[\r\n"%\\]', '_', 'g'), 1, 200) || '-' || coalesce('_' || lang, 'translated') || '.properties' FROM (SELECT doc_id, lang, {_TRIM.format("regexp_replace(coalesce(text, 'file'), '(?i)[.]properties$', '')")} AS base FROM documents)"""),
         "html_title": r"SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<title>[^<]*[A-Za-z][^<]*</title>')".replace('\\"', '"'),
         "html_nav_items": r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(item, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS item FROM pages)".replace('\\"', '"'),
         "pipeline_identity": f"WITH s AS (SELECT doc_id, {_NORM.format('text')} AS translated FROM documents) SELECT doc_id, coalesce(translated, '') AS translated FROM s",
