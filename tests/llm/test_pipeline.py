@@ -52,4 +52,4 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path, rows):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
