@@ -47,44 +47,34 @@ def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, w
     return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
 
 
-def few_document_patterns(hist: np.ndarray, choices: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns of two to four lengths that fill a sequence: (pattern number, length) of each member.
+def few_document_patterns(hist: np.ndarray, choices: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of two to four lengths that fill a sequence exactly: (pattern number, length) of each member.
 
-    Every length is the first of some pattern; further members come from evenly spaced
-    quantiles of the histogram, and the last one fills the sequence exactly or, where
-    no piece has that length, as nearly as the histogram allows.
+    Every length is the first of some pattern if its gaps allow it; further members come from
+    evenly spaced quantiles of the histogram, and the last one is what is left to fill.
     """
     room = len(hist) - 1
     there = np.flatnonzero(hist)
     there = there[there < room]
     if not len(there):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    below = np.zeros(room + 1, np.int64)  # the largest length there is, up to each bound
-    below[there] = there
-    below = np.maximum.accumulate(below)
     mass = np.cumsum(hist[there])
     middle = np.unique(there[np.minimum(np.searchsorted(mass, mass[-1] * (np.arange(choices) + 0.5) / choices), len(there) - 1)])
-    made = [np.stack([there, below[room - there]], 1)]
-    for extra in (1, 2):
+    number, lengths, first = [], [], 0
+    for extra in (0, 1, 2):
         grids = np.meshgrid(there, *[middle] * extra, indexing="ij")
         flat = np.stack([g.ravel() for g in grids], 1)
-        if extra == 2:
-            flat = flat[flat[:, 1] >= flat[:, 2]]
         space = room - flat.sum(1)
-        flat, space = flat[space > 0], space[space > 0]
-        made.append(np.column_stack([flat, below[space]]))
-    number, lengths, first = [], [], 0
-    for rows in made:
-        rows = np.unique(np.sort(rows, 1), axis=0)
-        keep = (rows.sum(1) >= room - 2) & (rows > 0).all(1)
-        rows = rows[keep]
+        fills = (space > 0) & (hist[np.maximum(space, 0)] > 0)
+        rows = np.sort(np.column_stack([flat[fills], space[fills]]), 1)
+        rows = rows[np.unique(rows @ (room + 1) ** np.arange(extra + 2), return_index=True)[1]]
         number.append(np.repeat(first + np.arange(len(rows)), rows.shape[1]))
         lengths.append(rows.ravel())
         first += len(rows)
     return np.concatenate(number), np.concatenate(lengths)
 
 
-def non_negative_least_squares(number: np.ndarray, lengths: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
+def non_negative_least_squares(number: np.ndarray, lengths: np.ndarray, hist: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Repeat counts x >= 0 that bring the lengths used near the histogram in least squares, by multiplicative updates."""
     n = int(number.max()) + 1 if len(number) else 0
     goal = np.bincount(number, hist[lengths], n)
@@ -95,26 +85,40 @@ def non_negative_least_squares(number: np.ndarray, lengths: np.ndarray, hist: np
     return x
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers whose running sum stays within a half of that of ``x``, so that many small counts do not all become 0."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
+
+
+def fitted_patterns(left: np.ndarray, fits: int = 40, enough: float = 0.05) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, taken off the histogram ``left``.
+
+    Rounded counts ask for more pieces of some lengths than there are, so what is left is
+    fitted again, until only the share ``enough`` of the pieces is left or no pattern fits.
+    """
+    plan, most = [], enough * left.sum()
+    for _ in range(fits):
+        number, lengths = few_document_patterns(left)
+        counts = rounded(non_negative_least_squares(number, lengths, left.astype(float)))
+        bounds, before = np.searchsorted(number, np.arange(len(counts) + 1)), len(plan)
+        for p in np.flatnonzero(counts):
+            members, times = np.unique(lengths[bounds[p] : bounds[p + 1]], return_counts=True)
+            often = int(min(counts[p], (left[members] // times).min()))
+            if often > 0:
+                left[members] -= often * times
+                plan.append((tuple(np.repeat(members, times).tolist()), often))
+        if len(plan) == before or left.sum() <= most:
+            break
+    return plan
+
+
 def pattern_plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; together they use every piece of the histogram exactly once."""
     room, left, plan = len(hist) - 1, hist.astype(np.int64).copy(), []
     if left[room]:
         plan.append(((room,), int(left[room])))
         left[room] = 0
-    number, lengths = few_document_patterns(left)
-    if len(number):
-        counts = np.floor(non_negative_least_squares(number, lengths, left.astype(float))).astype(np.int64)
-        bounds = np.searchsorted(number, np.arange(len(counts) + 1))
-        for p in np.argsort(-counts, kind="stable"):
-            if counts[p] < 1:
-                break
-            members, times = np.unique(lengths[bounds[p] : bounds[p + 1]], return_counts=True)
-            if members @ times < room:  # patterns that leave a gap are for the best fit below
-                continue
-            often = int(min(counts[p], (left[members] // times).min()))
-            if often > 0:
-                left[members] -= often * times
-                plan.append((tuple(np.repeat(members, times).tolist()), often))
+    plan += fitted_patterns(left)
     there = np.flatnonzero(left).tolist()
     while there:
         first = there[-1]
