@@ -22,11 +22,15 @@ from .common import cut, order_key, running_total
 from .tokens import slices, vocabulary, word_encoder
 
 ROOM, END = 4096, 1
+#: Sequences of a window at least, and windows at most.
+WINDOW, WINDOWS = 4096, 64
 
 
-def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document; only longer ones than ``room`` are cut."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, order][, ids]) of every document; only longer ones than ``room`` are cut.
+
+    ``order`` names a column of longs that goes along with the pieces.
+    """
 
     def cut_up(batches):
         encoder = word_encoder(path)
@@ -34,17 +38,20 @@ def token_pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, w
             for first, last in slices(batch["text"], 2 << 20):  # small, as the arrays of a part are many times its size
                 ids, sizes = encoder.encode(batch["text"].slice(first, last - first))
                 ends, rows = np.cumsum(sizes).tolist(), []
-                for doc_id, stop, size in zip(batch["doc_id"].slice(first, last - first).to_pylist(), ends, sizes.tolist(), strict=True):
+                given = [batch[c].slice(first, last - first).to_pylist() for c in ("doc_id", *also)]
+                for stop, size, doc_id, *at_order in zip(ends, sizes.tolist(), *given, strict=True):
                     own = np.append(ids[stop - size : stop], np.uint32(end)).astype("<u4")
                     for k, at in enumerate(range(0, len(own), room)):
                         piece = own[at : at + room]
-                        row = (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()))
+                        row = (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()), *at_order)
                         rows.append((*row, piece) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + with_ids]
-    return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
+    also = [order] if order else []
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *also, *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * len(also), *[pa.list_(pa.int32())] * with_ids]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", `{c}` long" for c in also) + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text", *also).mapInArrow(cut_up, schema)
 
 
 def few_document_patterns(hist: np.ndarray, choices: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -141,54 +148,86 @@ def pattern_plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return plan
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
-    """For each member of each pattern: its length, the rank of its first piece, its first sequence and its offset."""
-    length, rank, sequence, offset, used, first = [], [], [], [], {}, 0
-    for lengths, often in plan:
-        at = 0
-        for size in lengths:
-            length.append(size)
-            rank.append(used.get(size, 0))
-            sequence.append(first)
-            offset.append(at)
-            used[size] = used.get(size, 0) + often
-            at += size
-        first += often
-    order = np.lexsort((rank, length)) if length else []
-    return {k: np.asarray(v, np.int64)[order] for k, v in (("length", length), ("rank", rank), ("sequence", sequence), ("offset", offset))}
-
-
-def place(pieces: DataFrame, room: int = ROOM) -> DataFrame:
-    """Add (sequence_id, offset) to materialised pieces with a ``length`` of 1 to ``room``."""
-    hist = np.zeros(room + 1, np.int64)
-    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most one row for each length up to room
-        hist[length] = n
-    at = slots(pattern_plan(hist))
+def slots(plans: list[list[tuple[tuple[int, ...], int]]], room: int = ROOM) -> dict[str, np.ndarray]:
+    """For each member of each pattern: its bin, the rank of its first piece there, its first sequence and its offset.
+
+    There is one plan for each window, whose sequences follow those of the window before; the
+    bin of a length is ``window * (room + 1) + length``.
+    """
+    bins, rank, sequence, offset, used, first = [], [], [], [], {}, 0
+    for window, plan in enumerate(plans):
+        for lengths, often in plan:
+            at = 0
+            for size in lengths:
+                own = window * (room + 1) + size
+                bins.append(own)
+                rank.append(used.get(own, 0))
+                sequence.append(first)
+                offset.append(at)
+                used[own] = used.get(own, 0) + often
+                at += size
+            first += often
+    order = np.lexsort((rank, bins)) if bins else []
+    return {k: np.asarray(v, np.int64)[order] for k, v in (("bin", bins), ("rank", rank), ("sequence", sequence), ("offset", offset))}
+
+
+def place(pieces: DataFrame, room: int = ROOM, order: str | None = None, window: int = WINDOW) -> DataFrame:
+    """Add (sequence_id, offset) to materialised pieces with a ``length`` of 1 to ``room``.
+
+    Without ``order`` all pieces are packed together.  With it, a column of longs spread over
+    [0, 2**60), they are packed window by window, so that sequences follow that order from
+    window to window; a window has about ``window`` sequences, and there are at most ``WINDOWS``.
+    """
+    number = F.lit(0)
+    if order:
+        tokens = pieces.agg(F.sum("length")).first()[0] or 0
+        windows = max(1, min(WINDOWS, tokens // room // window))
+        number = F.least(F.floor(F.col(order) / 2.0**60 * windows), F.lit(windows - 1))
+    binned = pieces.withColumn("_bin", (number * (room + 1) + F.col("length")).cast("long"))
+    hist = np.zeros((windows if order else 1, room + 1), np.int64)
+    for own, n in binned.groupBy("_bin").agg(F.count(F.lit(1))).collect():  # at most one row for each length up to room and each window
+        hist[divmod(own, room + 1)] = n
+    at = slots([pattern_plan(h) for h in hist], room)
     ties = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    keyed = pieces.withColumn("_key", order_key(F.concat_ws(":", "doc_id", "piece", "ids_crc32"))).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_total(keyed, "length", "_key", "_one", "_rank", ties, rows=int(hist.sum())).drop("_key", "_one")
+    keyed = binned.withColumn("_key", order_key(F.concat_ws(":", "doc_id", "piece", "ids_crc32"))).withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_total(keyed, "_bin", "_key", "_one", "_rank", ties, rows=int(hist.sum())).drop("_key", "_one")
     #: the slots are at most a few for each length and pattern, a bounded table
-    key = at["length"] << 44 | at["rank"]
+    key = at["bin"] << 40 | at["rank"]
 
     def look_up(batches):
         for batch in batches:
-            length, rank = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
-            k = np.searchsorted(key, length << 44 | rank, side="right") - 1
+            own, rank = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_bin", "_rank"))
+            k = np.searchsorted(key, own << 40 | rank, side="right") - 1
             added = [pa.array(at["sequence"][k] + rank - at["rank"][k]), pa.array(at["offset"][k])]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *added], [*names, "sequence_id", "offset"])
 
-    names = pieces.columns
-    schema = T.StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, "_rank").mapInArrow(look_up, schema)
+    names = [c for c in pieces.columns if c != order]
+    schema = T.StructType([f for f in pieces.schema if f.name != order]).add("sequence_id", "long").add("offset", "long")
+    return ranked.select(*names, "_bin", "_rank").mapInArrow(look_up, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = END, with_ids: bool = False, order: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pack all documents into few sequences of at most ``room`` tokens; one row for each piece.
 
+    With ``order``, a column of longs in [0, 2**60), documents are packed in windows of that order.
+
     Defined results: a null or empty text is the end id alone; texts longer than
     ``room`` tokens are cut into full pieces and a rest; repeated rows are packed
     separately; pieces of equal length are placed in the order of a hash of their
     id; no rows give no rows; further columns are ignored.
     """
-    pieces = cut(token_pieces(docs, path or vocabulary("word_bpe_49k.json"), room, end, with_ids))
-    return place(pieces, room)
+    pieces = cut(token_pieces(docs, path or vocabulary("word_bpe_49k.json"), room, end, with_ids, order))
+    return place(pieces, room, order, window)
+
+
+def in_stored_order(docs: DataFrame, order: str) -> DataFrame:
+    """``docs``, as read from Parquet files that Spark wrote, with ``order``: the place of each row in their order, spread over [0, 2**60).
+
+    Files of one table follow each other by the numbers of their parts, which a sort makes about
+    equally large.  Only the last number and the most rows of a file reach the driver.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    part, row = F.coalesce(F.nullif(part, F.lit("")), F.lit("0")).cast("double"), F.col("_metadata.row_index").cast("double")
+    last, most = docs.select(F.max(part), F.max(row)).first()
+    place = (part + row / F.lit((most or 0.0) + 1)) / F.lit((last or 0.0) + 1)
+    return docs.withColumn(order, (place * 2.0**60).cast("long"))

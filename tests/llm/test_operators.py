@@ -259,6 +259,69 @@ def test_pattern_plan_uses_every_piece_once(seed):
     assert (used == hist).all()
 
 
+def test_counts_by_least_squares():
+    """Against the optimality conditions: no pattern gains by being used more, and none that is used by being used less."""
+    hist = np.zeros(17, np.int64)
+    hist[[3, 4, 5, 8, 11, 12, 13]] = [9, 20, 14, 6, 11, 17, 8]
+    number, lengths = packing.few_document_patterns(hist)
+    assert all(lengths[number == p].sum() == 16 for p in range(number.max() + 1))
+    x = packing.non_negative_least_squares(number, lengths, hist.astype(float), rounds=20_000)
+    uses = np.zeros((number.max() + 1, 17))
+    np.add.at(uses, (number, lengths), 1)
+    slope = uses @ (x @ uses - hist)
+    assert (x >= 0).all() and (slope > -1e-2).all() and np.abs(slope * x).max() < 1e-1
+
+
+def test_rounded_counts_keep_their_sum():
+    x = np.random.default_rng(3).random(10_000) * 0.3
+    assert abs(packing.rounded(x).sum() - x.sum()) <= 0.5 and packing.rounded(x).min() == 0
+
+
+def test_most_sequences_come_from_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    hist = np.zeros(4097, np.int64)
+    for length, n in packing.token_pieces(docs, packing.vocabulary("word_bpe_49k.json")).groupBy("length").count().collect():
+        hist[length] = n
+    left = np.append(hist[:-1], 0)
+    fitted = sum(often for _, often in packing.fitted_patterns(left))
+    plan = packing.pattern_plan(hist)
+    print(fitted, "of", sum(often for _, often in plan) - hist[-1], "sequences from patterns")
+    assert fitted > (sum(often for _, often in plan) - hist[-1]) / 2
+    assert sum(often for _, often in plan) == math.ceil((hist * np.arange(4097)).sum() / 4096)
+
+
+def test_packing_in_windows_of_an_order(spark, tmp_path):
+    """Sequences follow the stored order from window to window; copies far apart are not in one sequence."""
+    text = F.repeat(F.lit("a b "), (F.hash("id") % 100 + 150).cast("int"))
+    docs = spark.range(2000, numPartitions=3).select((F.col("id") % 1000).alias("doc_id"), text.alias("text"), "id")
+    docs.orderBy("id").write.parquet(str(tmp_path / "docs"))
+    stored = packing.in_stored_order(spark.read.parquet(str(tmp_path / "docs")), "at")
+    placed = stored.orderBy("at").select("id").collect()
+    assert [r.id for r in placed] == list(range(2000)) and stored.where("at < 0 or at >= 1L << 60").count() == 0
+    pieces = packing.cut(packing.token_pieces(stored, packing.vocabulary("word_bpe_49k.json"), order="at"))
+    out = rows_of(packing.place(pieces, order="at", window=10))
+    turn = {(p["doc_id"], p["start"], p["at"]): p["at"] for p in rows_of(pieces)}
+    windows = max(1, min(packing.WINDOWS, sum(p["length"] for p in out) // 4096 // 10))
+    assert windows > 5 and len(out) == len(turn) == 2000 and "at" not in out[0]
+    shared = collections.Counter((p["doc_id"], p["sequence_id"]) for p in out)
+    assert max(shared.values()) == 1
+    places = collections.defaultdict(list)
+    for p in out:
+        places[p["sequence_id"]].append((p["offset"], p["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 4096
+    least = math.ceil(sum(p["length"] for p in out) / 4096)
+    assert len(places) <= least + windows
+    # the windows of a document's two copies, half of the order apart, by its sequences
+    order = sorted(places)
+    rank = {s: k / len(order) for k, s in enumerate(order)}
+    both = collections.defaultdict(list)
+    for p in out:
+        both[p["doc_id"]].append(rank[p["sequence_id"]])
+    assert all(abs(abs(a - b) - 0.5) <= 2 / windows for a, b in both.values())
+
+
 def test_words_are_encoded_as_whole_texts():
     from tokenizers import Tokenizer
 
