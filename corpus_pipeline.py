@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
-    return packing.pack(docs)
+    """Token pieces with their sequence and place, packed in windows of the order in which the mix has stored its documents."""
+    kept = docs.select("doc_id", "text")
+    return packing.pack(packing.in_stored_order(kept, "__position"), order="__position")
 
 
 STAGES = [
