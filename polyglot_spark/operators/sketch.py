@@ -44,30 +44,38 @@ def _sketch(first: np.ndarray, step: np.ndarray) -> bytes:
 
 
 def built(keys: DataFrame, buckets: int, most_keys: int = MOST_KEYS) -> DataFrame:
-    """(unit_key, n, bits) of the distinct or repeated ``unit_key`` of ``keys``: a sketch or more for each bucket that has any."""
+    """(unit_key, n, bits) of the distinct or repeated ``unit_key`` of ``keys``: a sketch or more for each bucket that has any.
+
+    Keys are told apart by their bucket inside a task too: Spark drops a repartition of a table that is dealt
+    to the same buckets and may then read several of them, or a part of one, in a task.
+    """
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, some = [], None
-        count = 0
+        held: dict[int, list[tuple[bytes, np.ndarray, np.ndarray]]] = {}
+        counts: dict[int, int] = {}
 
-        def flush() -> pa.RecordBatch:
-            first, step = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([some], pa.binary()), pa.array([len(first)], pa.int64()), pa.array([_sketch(first, step)], pa.binary())], ["unit_key", "n", "bits"])
+        def flush(bucket: int) -> pa.RecordBatch:
+            some, first, step = zip(*held.pop(bucket), strict=True)
+            first, step = np.concatenate(first), np.concatenate(step)
+            del counts[bucket]
+            return pa.RecordBatch.from_arrays([pa.array(some[:1], pa.binary()), pa.array([len(first)], pa.int64()), pa.array([_sketch(first, step)], pa.binary())], ["unit_key", "n", "bits"])
 
         for batch in batches:
-            column = batch.column(0)
-            for at in range(0, len(column), 50_000):
-                part = column.slice(at, 50_000)
-                some = part[0].as_py()
-                held.append(_halves(part))
-                count += len(part)
-                if count + 50_000 > most_keys:
-                    yield flush()
-                    held, count = [], 0
-        if held:
-            yield flush()
-
-    return keys.select("unit_key").where("unit_key is not null").repartition(buckets, "unit_key").mapInArrow(build, SCHEMA)
+            for at in range(0, len(batch), 50_000):
+                part = batch.slice(at, 50_000)
+                column, bucket = part.column(0), part.column(1).to_numpy()
+                first, step = _halves(column)
+                for b in np.unique(bucket).tolist():
+                    own = np.flatnonzero(bucket == b)
+                    held.setdefault(b, []).append((column[int(own[0])].as_py(), first[own], step[own]))
+                    counts[b] = counts.get(b, 0) + len(own)
+                    if counts[b] + 50_000 > most_keys:
+                        yield flush(b)
+        for b in list(held):
+            yield flush(b)
+
+    rows = keys.select("unit_key", F.pmod(F.hash("unit_key"), F.lit(buckets)).alias("bucket")).where("unit_key is not null")
+    return rows.repartition(buckets, "unit_key").mapInArrow(build, SCHEMA)
 
 
 def tested(units: DataFrame, sketches: DataFrame, buckets: int) -> DataFrame:

@@ -266,6 +266,15 @@ def test_sketches_miss_no_key(spark):
     assert sketch.tested(odd, made.where("false"), 3).where("maybe_known").count() == 0
 
 
+def test_a_task_that_reads_several_buckets_sketches_each(spark, tmp_path):
+    store = memory.TranslationMemory(spark, str(tmp_path / "m"), buckets=12)  # of small files, which few tasks read
+    texts = [f"text {i}" for i in range(600)]
+    store.store(entries_of(spark, [(t, "T") for t in texts]))
+    assert store.sketches("spa_Latn").count() == 12
+    wanted = memory.distinct_units(memory.keyed(spark.createDataFrame([(t,) for t in [*texts, "new"]], "text string")), texts=False)
+    assert store.lookup(wanted, "spa_Latn").where("translated_text = 'T'").count() == 600
+
+
 def test_half_of_the_units_are_one_text(no_broadcast):
     units = no_broadcast.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "Home").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
     keyed = memory.keyed(units)
