@@ -275,6 +275,15 @@ def test_a_task_that_reads_several_buckets_sketches_each(spark, tmp_path):
     assert store.lookup(wanted, "spa_Latn").where("translated_text = 'T'").count() == 600
 
 
+def test_known_units_are_not_asked_again(spark, tmp_path):
+    store = memory.TranslationMemory(spark, str(tmp_path / "m"), buckets=12)
+    texts = [f"text {i}" for i in range(600)]
+    store.store(entries_of(spark, [(t, "T") for t in texts]))
+    units = spark.createDataFrame([(t,) for t in [*texts, *texts, "new"]], "text string")
+    done, fresh = memory.translate(units, store, backends.pseudo, "spa_Latn")
+    assert done.where("translated_text = 'T'").count() == 1200 and [r.source_text for r in fresh.collect()] == ["new"]
+
+
 def test_half_of_the_units_are_one_text(no_broadcast):
     units = no_broadcast.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "Home").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
     keyed = memory.keyed(units)
