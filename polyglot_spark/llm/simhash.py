@@ -151,7 +151,8 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         joined = rows.join(sizes, ["mask", "bits"])
         leaves = joined.where(F.col("n") <= LEAF).select("mask", "bits", "fp")
         free = F.col("fp").bitwiseAND(F.bitwise_not("mask"))
-        ranked = leaves.repartition("mask", "bits").sortWithinPartitions("mask", "bits", gray_rank(free))
+        # dealt by a value of its own: Spark drops a repartition by the keys of the join before it, and may then split a large node as a skewed join
+        ranked = leaves.repartition(F.xxhash64("mask", "bits")).sortWithinPartitions("mask", "bits", gray_rank(free))
         found = ranked.mapInPandas(node_links(distance), "a long, b long")
         links = found if links is None else links.union(found)
         if sizes.where(F.col("n") > LEAF).isEmpty():

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from polyglot_spark.llm import chroma, crf, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
+from polyglot_spark.llm import chroma, common, crf, ctw, embeddings, html_text, mixing, packing, simhash, substrings, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ["score", "key", "size", "fp", "chunk", "spans", "n_words", "position", "rank"]
@@ -441,6 +441,32 @@ def test_simhash_index_finds_all_components(spark):
     assert groups(got) == groups(want)
 
 
+def test_large_nodes_are_not_split_where_joins_are_skewed(spark):
+    rng = np.random.default_rng(1)
+    ball = np.repeat(rng.integers(0, 1 << 62, 1, np.uint64), 1000)
+    for _ in range(3):
+        ball = ball ^ (np.uint64(1) << rng.integers(0, 64, 1000).astype(np.uint64))
+    fps = np.unique(np.concatenate([ball, rng.integers(0, 1 << 63, 2000, np.uint64)]))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(20)
+        found = np.array([(r.a, r.b) for r in simhash.near_links(common.cut(distinct)).collect()]).view(np.uint64)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    i, j = np.triu_indices(len(fps), 1)
+    near = np.flatnonzero(np.bitwise_count(fps[i] ^ fps[j]) <= 2)
+    want, got = simhash.spanning(i[near], j[near], len(fps)), np.searchsorted(fps, found)
+    assert np.all(np.bitwise_count(found[:, 0] ^ found[:, 1]) <= 2)
+    assert len(simhash.spanning(got[:, 0], got[:, 1], len(fps))) == len(want)
+
+
 def test_simhash_keeps_one_of_each_group(odd, nothing):
     kept = rows_of(simhash.keep_first(odd.select(*odd.columns)))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 2), (False, 7), (False, 8), (True, 0)]
