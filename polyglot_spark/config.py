@@ -30,6 +30,8 @@ class EngineConfig:
     brand_edges: str = "boundary"
     #: "first": every token of a brand is restored to its first spelling; "each": each to its own
     brand_restore: str = "first"
+    #: decode character references that lack their semicolon, as browsers do
+    open_references: bool = True
     rtl_languages: tuple[str, ...] = ("arb_Arab",)
     #: "raw": hosts as written; "strict": bracketed IPv6 loopback and integer hosts are blocked too
     url_hosts: str = "raw"

@@ -135,7 +135,7 @@ def block_text(block: Node) -> tuple[str, list[dict]]:
 
 
 def segments_of(page: str, config: EngineConfig = COMPATIBLE) -> list[dict]:
-    root = parse(page)
+    root = parse(page, config.open_references)
     rows = []
     title, description = title_of(root), description_of(root)
     for kind, text in (("title", title and title.text()), ("meta-description", description and description.attributes.get("content", ""))):
@@ -194,7 +194,7 @@ def with_head(pages: DataFrame, html: str = "translated_html") -> DataFrame:
 
 def put_back(page: str, translated: list[dict], target_lang: str, config: EngineConfig = COMPATIBLE) -> str:
     """The page with translated segments; a null translation leaves the source text."""
-    root = parse(page)
+    root = parse(page, config.open_references)
     blocks = leaf_blocks(root)
     for row in sorted(translated, key=lambda r: r["seq"]):
         text = row["translated"] if row["translated"] is not None else row["text"]

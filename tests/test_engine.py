@@ -13,7 +13,7 @@ from polyglot_spark.functions.dom import Scanner, parse, serialized
 from polyglot_spark.operators import backends, html_segments, memory, sketch
 from polyglot_spark.operators import glossary as gl
 from polyglot_spark.operators.glossary import from_entries, read_brands, read_glossary, with_glossary
-from polyglot_spark.plans import localize
+from polyglot_spark.plans import localize, queries
 from polyglot_spark.sources import properties
 
 
@@ -433,3 +433,19 @@ def test_hostile_pages_take_linear_time(piece, end):
     began = time.process_time()
     parse(page)
     assert time.process_time() - began < 20
+
+
+def test_references_without_a_semicolon(spark):
+    page = "<title>a &amp;amp; b &lt;&quot;&copy;&#65; &unknown; &AMP &amp</title><p title='&lt'>some text &amp here</p>"
+    titles = lambda config: [s["text"] for s in html_segments.segments_of(page, config)]
+    assert titles(EngineConfig()) == ['a &amp; b <"©A &unknown; & &', "some text & here"]
+    assert titles(EngineConfig(open_references=False)) == ['a &amp; b <"©A &unknown; &AMP &amp', "some text &amp here"]
+    assert "&lt" not in html_segments.put_back(page, [], "fra_Latn").split("title=")[1].split(">")[0]
+
+
+def test_html_title_reads_titles_as_its_sql_does(spark, tmp_path):
+    titles = ["one &amp;amp; two", "cut off &amp", "\u00c7 \u00c7 \u00c7", "\u00c7 &amp; \u00c7", "42"]
+    pages = [(k, f"<html><head><title>{t}</title></head><body><p>text</p></body></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: r.text for r in queries.html_title(spark, str(tmp_path)).collect()}
+    assert found == {0: "one &amp; two", 1: "cut off &amp", 3: "\u00c7 & \u00c7"}
