@@ -23,6 +23,8 @@ BLANKS = re.compile("[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2
 LETTER = re.compile("[A-Za-z\\u00C0-\\u017F\\u0400-\\u04FF\\u0600-\\u06FF\\u4E00-\\u9FFF]")
 NUMERIC = re.compile(r"[\d\s.,:+\-/%()]+", re.A)
 
+#: Pages of a batch that a task has as Python objects at a time.
+AT_ONCE = 50
 SEGMENT = "seq int, kind string, text string, tag_map array<struct<token:string,tag:string>>, node_ord int"
 #: The rules added to a page that is turned right to left.
 RTL_RULES = """
@@ -160,8 +162,8 @@ def segments(pages: DataFrame, key: str = "page_id", html: str = "html", config:
 
     def work(batches):
         for batch in batches:
-            for first in range(0, len(batch), 200):
-                part = batch.slice(first, 200)
+            for first in range(0, len(batch), AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
                 found = [segments_of(h, config) if h else [] for h in part[html].to_pylist()]
                 which = [k for k, rows in enumerate(found) for _ in rows]
                 flat = [r for rows in found for r in rows]
@@ -185,9 +187,11 @@ def with_head(pages: DataFrame, html: str = "translated_html") -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            heads = [head_of(h) if h else ("", "") for h in batch[html].to_pylist()]
-            added = [pa.array([h[k] for h in heads], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+            for first in range(0, len(batch), AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                heads = [head_of(h) if h else ("", "") for h in part[html].to_pylist()]
+                added = [pa.array([h[k] for h in heads], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], schema.names)
 
     return pages.mapInArrow(work, schema)
 
@@ -236,10 +240,12 @@ def rebuilt(pages: DataFrame, translated: DataFrame, target_lang: str, key: str
 
     def work(batches):
         for batch in batches:
-            pages_, found = batch[html].to_pylist(), batch["_rows"].to_pylist()
-            out = [put_back(p, r, target_lang, config) if r else p for p, r in zip(pages_, found, strict=True)]
-            warning = [None if r else "No translatable content found" for r in found]
-            rtl = pa.array([target_lang in config.rtl_languages] * len(out), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in (key, *carry)], batch[html], pa.array(out, pa.string()), rtl, pa.array(warning, pa.string())], schema.names)
+            for first in range(0, len(batch), AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                pages_, found = part[html].to_pylist(), part["_rows"].to_pylist()
+                out = [put_back(p, r, target_lang, config) if r else p for p, r in zip(pages_, found, strict=True)]
+                warning = [None if r else "No translatable content found" for r in found]
+                rtl = pa.array([target_lang in config.rtl_languages] * len(out), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in (key, *carry)], part[html], pa.array(out, pa.string()), rtl, pa.array(warning, pa.string())], schema.names)
 
     return joined.mapInArrow(work, schema)

@@ -449,3 +449,18 @@ def test_html_title_reads_titles_as_its_sql_does(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = {r.page_id: r.text for r in queries.html_title(spark, str(tmp_path)).collect()}
     assert found == {0: "one &amp; two", 1: "cut off &amp", 3: "\u00c7 & \u00c7"}
+
+
+def test_pages_are_put_together_a_few_at_a_time(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"<p>page {k}</p><p>and <b>more</b></p>") for k in range(230)], "page_id long, html string")
+    found = html_segments.segments(pages).withColumn("translated", F.col("text"))
+    sizes = []
+
+    def one_batch(self, function, schema):
+        sizes.append([len(b) for b in function(iter(self.toArrow().combine_chunks().to_batches()))])
+        return self
+
+    monkeypatch.setattr(type(pages), "mapInArrow", one_batch)
+    html_segments.rebuilt(pages, found, "arb_Arab")
+    html_segments.with_head(pages, "html")
+    assert [sum(s) for s in sizes] == [230, 230] and max(map(max, sizes)) <= html_segments.AT_ONCE
