@@ -148,14 +148,17 @@ def with_glossary(df: DataFrame, text: str, target_lang: str, glossary: DataFram
     Entries with a ``*`` are patterns; those of ``patterns`` come after them.
     """
     own = glossary.where(F.col("target_lang") == target_lang)
-    exact = exact_entries(own).drop("target_lang")
+    exact = exact_entries(own).select(F.concat(F.lit("phrase "), "norm_src").alias("_phrase"), "glossary_value")
     starred = own.where(F.col("src").contains("*")).select(F.lit(0).alias("_late"), "ord", "src", "value")
     if patterns:
         starred = starred.unionByName(pattern_rows(df.sparkSession, list(patterns)).withColumn("_late", F.lit(1)))
     df = df.withColumn("_norm", normalized(F.col(text)))
     size = utf16_length(F.when(F.col(text) == F.col("_norm"), F.col("_norm")).otherwise(trimmed(F.col(text))))
     short = (F.col("_norm") != "") & (F.size(F.split("_norm", " ")) <= most_words) & (utf16_length(F.col("_norm")) <= most_chars) & (size <= most_chars)
-    looked = df.withColumn("norm_src", F.when(short, F.lower("_norm"))).join(exact, "norm_src", "left").drop("norm_src")
+    # a text that is no short phrase joins on a number of its own, which is no key: nulls would all go to one task; streams cannot number rows
+    number = F.xxhash64(text) if df.isStreaming else F.monotonically_increasing_id()
+    phrase = F.when(short, F.concat(F.lit("phrase "), F.lower("_norm"))).otherwise(F.concat(F.lit("row "), number.cast("string")))
+    looked = df.withColumn("_phrase", phrase).join(exact, "_phrase", "left").drop("_phrase")
     if not starred.isEmpty():
         looked = with_patterns(looked, text, starred.select(F.struct("_late", "ord").alias("ord"), "src", "value"))
         looked = looked.withColumn("glossary_value", F.coalesce("glossary_value", "pattern_value")).drop("pattern_value")

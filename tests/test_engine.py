@@ -464,3 +464,11 @@ def test_pages_are_put_together_a_few_at_a_time(spark, monkeypatch):
     html_segments.rebuilt(pages, found, "arb_Arab")
     html_segments.with_head(pages, "html")
     assert [sum(s) for s in sizes] == [230, 230] and max(map(max, sizes)) <= html_segments.AT_ONCE
+
+
+def test_texts_that_are_no_phrases_are_dealt_evenly(no_broadcast):
+    units = no_broadcast.range(8_000).select("id", F.when(F.col("id") % 8 == 0, "Save").otherwise(F.concat(F.lit("a text of many words "), "id")).alias("text"))
+    out = with_glossary(units, "text", "spa_Latn", from_entries(no_broadcast, {"spa_Latn": {"Save": "Guardar"}}))
+    assert out.where("glossary_value = 'Guardar'").count() == 1_000 and out.where("glossary_value is null").count() == 7_000
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 8_000 / 2
