@@ -73,13 +73,15 @@ def text_scores(candidate: Column, reference: Column, n: int = 4) -> Column:
 
     A repeated word of the candidate counts each time, so the first can exceed 1.  Sets
     and counts of whole texts are hashed in Arrow batches: array functions search them
-    one by one, in time that grows with the square of a text.
+    one by one, in time that grows with the square of a text.  Equal pairs of a batch are
+    scored once.
     """
 
     @F.pandas_udf("bleu double, chrf double")
     def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         pairs = list(zip(a, b, strict=True))
-        return pd.DataFrame({"bleu": [_overlap(x, y) for x, y in pairs], "chrf": [_character_f(x, y, n) for x, y in pairs]}, dtype="float64")
+        known = {(x, y): (_overlap(x, y), _character_f(x, y, n)) for x, y in dict.fromkeys(pairs)}
+        return pd.DataFrame([known[p] for p in pairs], columns=["bleu", "chrf"], dtype="float64")
 
     return score(candidate, reference)
 

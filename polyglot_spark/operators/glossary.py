@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import BLANK, BLANK_SIGNS, lookup_form, normalized, trimmed, utf16_length
 
 SCHEMA = "target_lang string, ord int, src string, value string"
+#: Most entries of a language that are sent to all texts; of a larger glossary, the tasks that rows of one phrase are dealt to.
+MOST_SENT, DEALS = 100_000, 16
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -155,10 +157,17 @@ def with_glossary(df: DataFrame, text: str, target_lang: str, glossary: DataFram
     df = df.withColumn("_norm", normalized(F.col(text)))
     size = utf16_length(F.when(F.col(text) == F.col("_norm"), F.col("_norm")).otherwise(trimmed(F.col(text))))
     short = (F.col("_norm") != "") & (F.size(F.split("_norm", " ")) <= most_words) & (utf16_length(F.col("_norm")) <= most_chars) & (size <= most_chars)
-    # a text that is no short phrase joins on a number of its own, which is no key: nulls would all go to one task; streams cannot number rows
-    number = F.xxhash64(text) if df.isStreaming else F.monotonically_increasing_id()
-    phrase = F.when(short, F.concat(F.lit("phrase "), F.lower("_norm"))).otherwise(F.concat(F.lit("row "), number.cast("string")))
-    looked = df.withColumn("_phrase", phrase).join(exact, "_phrase", "left").drop("_phrase")
+    phrase = F.lower("_norm")
+    if exact.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        # entries go to the texts, so that a phrase that many rows have, or none, is no single task's
+        looked = df.withColumn("_phrase", F.when(short, F.concat(F.lit("phrase "), phrase))).join(F.broadcast(exact), "_phrase", "left").drop("_phrase")
+    else:
+        # a text that is no short phrase joins on a number of its own, which is no key: nulls would all go to one task; streams cannot number rows
+        number = F.xxhash64(text) if df.isStreaming else F.monotonically_increasing_id()
+        key = F.when(short, F.concat(F.lit("phrase "), phrase)).otherwise(F.concat(F.lit("row "), number.cast("string")))
+        # rows of one phrase are dealt to several tasks, each of which has its entry
+        dealt = exact.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+        looked = df.withColumns({"_phrase": key, "_deal": F.pmod(number, F.lit(DEALS).cast("long"))}).join(dealt, ["_phrase", "_deal"], "left").drop("_phrase", "_deal")
     if not starred.isEmpty():
         looked = with_patterns(looked, text, starred.select(F.struct("_late", "ord").alias("ord"), "src", "value"))
         looked = looked.withColumn("glossary_value", F.coalesce("glossary_value", "pattern_value")).drop("pattern_value")

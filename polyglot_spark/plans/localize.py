@@ -114,12 +114,12 @@ def localize_pages(pages: DataFrame, target_lang: str, *, config: EngineConfig =
 def localize_properties(files: DataFrame, target_lang: str, *, config: EngineConfig = COMPATIBLE, **options) -> tuple[DataFrame, DataFrame]:
     """(filename, content, download_name) of resource files, and new memory entries; ``files`` has filename and content, names may repeat."""
     own = numbered(files.select("filename", "content"), "_file")
-    lines = materialized(properties.parsed(own.drop("filename")))
+    lines = materialized(properties.parsed(own.drop("filename"), deal=True))
     todo = (F.col("type") == "entry") & ~in_target_script(F.col("value"), target_lang)
     kept = tk.originals(F.col("value"), tk.FILE_PLACEHOLDER)
     units = lines.where(todo).select("_file", "line_no", kept.alias("_kept"), tk.protected(F.col("value"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"))
     done, fresh = localized(units, ["_file", "line_no"], target_lang, config=config, **options)
     done = done.select("_file", "line_no", tk.restored_loosely(F.col("translated"), F.col("_kept")).alias("_done"))
     merged = lines.join(done, ["_file", "line_no"], "left").withColumn("value", F.coalesce("_done", "value"))
-    content = own.select("_file", "filename").join(properties.rebuilt(merged, "_file"), "_file", "left").drop("_file")
+    content = own.select("_file", "filename").join(properties.rebuilt(merged, "_file", stretch=properties.STRETCH), "_file", "left").drop("_file")
     return content.withColumn("download_name", tx.download_name(F.col("filename"), F.lit(target_lang))), fresh

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import COMPATIBLE, EngineConfig
 from ..functions.text import trimmed
 
+#: Lines of a large file that are joined in one task.
+STRETCH = 10_000
+
 
 def read_files(spark: SparkSession, path: str, config: EngineConfig = COMPATIBLE) -> DataFrame:
     """(filename, content, error) of the resource files under a path; one over the configured size has an error and no content."""
@@ -25,14 +28,17 @@ def unquoted(text: Column) -> Column:
     return F.when(quoted, text.substr(F.lit(2), F.length(text) - 2)).otherwise(text)
 
 
-def parsed(files: DataFrame, content: str = "content") -> DataFrame:
+def parsed(files: DataFrame, content: str = "content", deal: bool = False) -> DataFrame:
     """One row for each line: (…, line_no, type, key, value, raw).
 
     A line is blank, a comment (it begins with #, ! or //, or has no equals sign) or an
-    entry, cut at its first equals sign.
+    entry, cut at its first equals sign.  With ``deal`` the lines of a file are dealt to
+    all tasks, for few files of many lines.
     """
     others = [c for c in files.columns if c != content]
     lines = files.select(*others, F.posexplode(F.split(F.col(content), r"\r?\n", -1)).alias("line_no", "raw"))
+    if deal:
+        lines = lines.repartition(*others, "line_no")
     line = trimmed(F.col("raw"))
     comment = line.rlike(r"^(#|!|//)") | ~F.col("raw").contains("=")
     kind = F.when(line == "", "blank").when(comment, "comment").otherwise("entry")
@@ -47,11 +53,26 @@ def parsed(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def rebuilt(lines: DataFrame, file: str, value: str = "value") -> DataFrame:
+def joined(lines: DataFrame, file: str, number: str, line: Column, stretch: int | None = None) -> DataFrame:
+    """(file, content): the lines of each file in the order of their numbers, null ones left out, joined by line feeds.
+
+    With ``stretch`` lines whose numbers have the same quotient by it are joined first, in tasks of their
+    own, so that only such stretches meet in the task of a file: for few files of many lines.
+    """
+    def content(part: Column, order: str) -> Column:
+        return F.array_join(F.sort_array(F.collect_list(F.struct(order, part.alias("part"))))["part"], "\n")
+
+    if stretch is None:
+        return lines.groupBy(file).agg(content(line, number).alias("content"))
+    parts = lines.withColumn("_line", line).groupBy(file, F.floor(F.col(number) / stretch).alias("_stretch"))
+    parts = parts.agg(F.when(F.count("_line") > 0, content(F.col("_line"), number)).alias("_part"))
+    return parts.groupBy(file).agg(content(F.col("_part"), "_stretch").alias("content"))
+
+
+def rebuilt(lines: DataFrame, file: str, value: str = "value", stretch: int | None = None) -> DataFrame:
     """(file, content): entries as ``key = value``, other lines as they were, joined by line feeds."""
     line = F.when(F.col("type") == "entry", F.concat(F.col("key"), F.lit(" = "), F.coalesce(F.col(value), F.lit("")))).otherwise(F.col("raw"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda x: x["line"])
-    return lines.groupBy(file).agg(F.array_join(rows, "\n").alias("content"))
+    return joined(lines, file, "line_no", line, stretch)
 
 
 def text_lines(files: DataFrame, content: str = "content") -> DataFrame:

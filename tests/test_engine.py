@@ -472,3 +472,25 @@ def test_texts_that_are_no_phrases_are_dealt_evenly(no_broadcast):
     assert out.where("glossary_value = 'Guardar'").count() == 1_000 and out.where("glossary_value is null").count() == 7_000
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 8_000 / 2
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rows_of_one_phrase_are_dealt_to_several_tasks(no_broadcast, monkeypatch, most):
+    monkeypatch.setattr(gl, "MOST_SENT", most)
+    rows = no_broadcast.range(0, 8_000, 1, 8).select("id", F.when(F.col("id") % 8 == 0, "New").otherwise("Save").alias("text"))
+    out = with_glossary(rows, "text", "spa_Latn", from_entries(no_broadcast, {"spa_Latn": {"Save": "Guardar"}}))
+    assert out.count() == 8_000 and out.where("glossary_value = 'Guardar'").count() == 7_000
+    largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 6_000
+
+
+def test_lines_of_one_file_are_dealt_and_joined_in_order(spark):
+    lines = [f"k{i} = {i};" for i in range(2_000)] + ["", "# end"]
+    files = spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "file int, content string")
+    parsed = properties.parsed(files, deal=True).localCheckpoint()
+    assert sorted(parsed.collect()) == sorted(properties.parsed(files).collect())
+    plan = properties.parsed(files, deal=True)._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan
+    done = {r.file: r.content for r in properties.rebuilt(parsed, "file", stretch=300).collect()}
+    assert done == {r.file: r.content for r in properties.rebuilt(parsed, "file").collect()}
+    assert done == {1: "\n".join([f"k{i} = {i}" for i in range(2_000)] + ["", "# end"]), 2: ""}
