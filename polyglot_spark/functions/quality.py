@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .text import word_count
 
 
 BLANK = re.compile("[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
+#: Pairs of a batch that a task has as Python objects at a time, and characters of pairs whose scores it remembers.
+AT_ONCE, MOST_HELD = 50, 1_000_000
 
 
 def _f_score(precision: float, recall: float) -> float:
@@ -68,20 +71,32 @@ def _character_f(candidate: str, reference: str, n: int) -> float:
     return _f_score(shared / int(a_n.sum()), shared / int(b_n.sum())) if shared else 0.0
 
 
+def pair_scores(candidates: pa.Array, references: pa.Array, n: int) -> Iterator[tuple[float, float]]:
+    """The two F scores of each pair; a few texts of a batch are Python objects at a time, and pairs of the last ones are scored once."""
+    known: dict[tuple[str, str], tuple[float, float]] = {}
+    held = 0
+    for first in range(0, len(candidates), AT_ONCE):
+        for pair in zip(candidates.slice(first, AT_ONCE).to_pylist(), references.slice(first, AT_ONCE).to_pylist(), strict=True):
+            if pair not in known:
+                if held > MOST_HELD:
+                    known, held = {}, 0
+                known[pair] = _overlap(*pair), _character_f(*pair, n)
+                held += sum(len(t or "") for t in pair)
+            yield known[pair]
+
+
 def text_scores(candidate: Column, reference: Column, n: int = 4) -> Column:
     """Struct (bleu, chrf): the F scores of shared words and of shared character n-grams.
 
     A repeated word of the candidate counts each time, so the first can exceed 1.  Sets
     and counts of whole texts are hashed in Arrow batches: array functions search them
-    one by one, in time that grows with the square of a text.  Equal pairs of a batch are
-    scored once.
+    one by one, in time that grows with the square of a text.
     """
 
-    @F.pandas_udf("bleu double, chrf double")
-    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        pairs = list(zip(a, b, strict=True))
-        known = {(x, y): (_overlap(x, y), _character_f(x, y, n)) for x, y in dict.fromkeys(pairs)}
-        return pd.DataFrame([known[p] for p in pairs], columns=["bleu", "chrf"], dtype="float64")
+    @F.arrow_udf("bleu double, chrf double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = list(pair_scores(a, b, n))
+        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)], ["bleu", "chrf"])
 
     return score(candidate, reference)
 

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -149,3 +150,25 @@ def test_edges_of_brands(spark):
     by = {edges: column(spark, texts, lambda c, e=edges: tk.brands_protected(c, brands, e)["text"]) for edges in ("boundary", "word")}
     assert by["boundary"] == ["C++ code and BRAND_0x", "élan ÉLAN xBRAND_1", "BRAND_2 ring_ rings, BRAND_2!", "übering"]
     assert by["word"] == ["BRAND_0 code and c++x", "BRAND_1 BRAND_1 xÉlan", "BRAND_2 ring_ rings, BRAND_2!", "übering"]
+
+
+def test_few_pairs_of_a_batch_are_objects_at_a_time(monkeypatch):
+    rows = [f"text number {k % 60} of the batch" for k in range(300)]
+    scored, sizes = [], []
+    plain = quality._overlap
+    monkeypatch.setattr(quality, "_overlap", lambda x, y: scored.append(x) or plain(x, y))
+
+    class Watched(list):
+        def __len__(self):
+            return len(self[0])
+
+        def slice(self, first, n):
+            sizes.append(n)
+            return self[0].slice(first, n)
+
+    out = list(quality.pair_scores(Watched([pa.array(rows)]), Watched([pa.array(rows[1:] + rows[:1])]), 4))
+    assert max(sizes) == quality.AT_ONCE and len(scored) == 60  # equal pairs once
+    assert out == [(plain(x, y), quality._character_f(x, y, 4)) for x, y in zip(rows, rows[1:] + rows[:1], strict=True)]
+    scored.clear()
+    monkeypatch.setattr(quality, "MOST_HELD", 100)
+    assert list(quality.pair_scores(pa.array(rows), pa.array(rows[1:] + rows[:1]), 4)) == out and len(scored) > 200
