@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +68,11 @@ def exact_entries(glossary: DataFrame) -> DataFrame:
 
 #: Letters whose upper case is an ASCII letter though they are none; they are equal only to themselves.
 ALONE = "\u017f\u0131\u212a"
-#: What may stand for the ``*`` of a pattern: white space, at least one character of one line, white space.
-BETWEEN = f"^{BLANK}+([^\\n\\r\\u2028\\u2029]+?){BLANK}+$"
+#: A ``*`` that stands for white space only: some before, one sign that ends no line, some behind.
+ALL_BLANK = f"^{BLANK}+[^\\n\\r\\u2028\\u2029]{BLANK}+$"
+#: What ends a line.
+ENDS = "\n\r\u2028\u2029"
+
 
 
 def folded(text: Column) -> Column:
@@ -110,12 +115,26 @@ def _middle(text: Column, pattern: Column) -> Column:
     return F.when(fits, text.substr(before + 1, room))
 
 
+def _stands(middle: Column) -> Column:
+    """Whether a text may stand for a ``*``: white space, at least one character of one line, white space; without patterns where it is not blank."""
+    core = trimmed(middle)
+    blank = lambda sign: F.lit(BLANK_SIGNS).contains(sign)
+    several = reduce(lambda a, b: a | b, [core.contains(e) for e in ENDS])
+    beside = blank(middle.substr(F.lit(1), F.lit(1))) & blank(F.right(middle, F.lit(1)))
+    return F.coalesce(F.when(core == "", middle.rlike(ALL_BLANK)).otherwise(beside & ~several), F.lit(False))
+
+
 def inserted(value: Column, captured: Column) -> Column:
     """``value`` with each ``*`` replaced by ``captured``, in which ``$$`` means a dollar sign and ``$&`` the star."""
     meant = F.replace(F.replace(F.replace(captured, F.lit("$$"), F.lit("\ue000")), F.lit("$&"), F.lit("*")), F.lit("\ue000"), F.lit("$"))
     return F.replace(value, F.lit("*"), meant)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where Spark moves a filter on the result below the projections."""
+    return F.transform(F.array(value), use)[0]
+
+
 def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """``df`` with ``pattern_value``: that of the first of ``patterns`` (ord, src, value) that the trimmed text matches, or null.
 
@@ -130,14 +149,16 @@ def with_patterns(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
         keys = part.select(F.col("first").alias("_i"), F.col("second").alias("_j"), F.col("last").alias("_k"), F.col("patterns").alias(name))
         same = (F.col("_first") == F.col("_i")) & (F.col("_last") == F.col("_k"))
         rows = rows.join(keys, same & (F.col("_second") == F.col("_j")) if name == "_two" else same, "left").drop("_i", "_j", "_k")
-    # worked out again, as the text alone goes through the joins
-    rows = rows.withColumn("_trimmed", trimmed(F.col(text))).withColumn("_folded", folded(F.col("_trimmed")))
     there = F.when(F.col("_one").isNull(), F.col("_two")).when(F.col("_two").isNull(), F.col("_one")).otherwise(F.concat("_one", "_two"))
-    near = F.filter(there, lambda p: F.col("_folded").startswith(p["begins"]) & F.col("_folded").endswith(p["ends"]))
-    found = F.array_min(F.filter(near, lambda p: F.coalesce(_middle(F.col("_trimmed"), p).rlike(BETWEEN), F.lit(False))))
-    rows = rows.withColumn("_found", found)
-    captured = trimmed(F.regexp_extract(_middle(F.col("_trimmed"), F.col("_found")), BETWEEN, 1))
-    return rows.withColumn("pattern_value", inserted(F.col("_found.value"), captured)).drop("_trimmed", "_folded", "_first", "_second", "_last", "_one", "_two", "_found")
+
+    def value(whole: Column) -> Column:
+        near = _once(folded(whole), lambda low: F.filter(there, lambda p: low.startswith(p["begins"]) & low.endswith(p["ends"])))
+        found = F.array_min(F.filter(near, lambda p: _once(_middle(whole, p), _stands)))
+        return _once(found, lambda p: inserted(p["value"], trimmed(_middle(whole, p))))
+
+    # worked out behind the joins, which the text alone goes through, and only where there is a pattern to try
+    rows = rows.withColumn("pattern_value", F.when(there.isNotNull(), _once(trimmed(F.col(text)), value)))
+    return rows.drop("_first", "_second", "_last", "_one", "_two")
 
 
 def pattern_rows(spark: SparkSession, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -494,3 +494,13 @@ def test_lines_of_one_file_are_dealt_and_joined_in_order(spark):
     done = {r.file: r.content for r in properties.rebuilt(parsed, "file", stretch=300).collect()}
     assert done == {r.file: r.content for r in properties.rebuilt(parsed, "file").collect()}
     assert done == {1: "\n".join([f"k{i} = {i}" for i in range(2_000)] + ["", "# end"]), 2: ""}
+
+
+def test_what_stands_for_a_star_is_found_as_by_a_pattern(spark):
+    signs = ["", " ", "\n", "a", " ", " ", "b c", "　", "﻿", "ᚁ"]
+    middles = [(a + b + c + d,) for a in signs for b in signs for c in signs for d in signs]
+    between = f"^{gl.BLANK}+([^\\n\\r\\u2028\\u2029]+?){gl.BLANK}+$"
+    rows = spark.createDataFrame(middles, "m string").where("m <> ''")
+    m = F.col("m")
+    found = rows.select(gl._stands(m).alias("stands"), m.rlike(between).alias("meant"), gl.trimmed(m).alias("core"), gl.trimmed(F.regexp_extract(m, between, 1)).alias("caught"))
+    assert found.where("stands <> meant or (meant and core <> caught)").count() == 0 and found.where("stands").count() > 100
