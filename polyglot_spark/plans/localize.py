@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ from ..operators.glossary import with_glossary
 from ..operators.memory import materialized
 from ..sources import properties
 
+#: Rows are put together in so many deals, one after the other, and their units answered in so many cuts of the keys, so
+#: that the shuffle files of one are there at a time; tables of fewer compressed bytes are done at once.
+DEALS, CUTS, SMALL = 4, 3, 16 << 20
+#: Most units of the second pass whose 64-bit hashes are sent to what is known, so that only that is shuffled which they may ask for.
+MOST_SENT = 1_000_000
+
 
 def polished(df: DataFrame, column: str, pick, hook: Backend | None, before: str, lang: str) -> DataFrame:
     """A hook (fluency, tone) applied to the picked rows, value placeholders protected; without a hook the text stays."""
@@ -31,6 +39,7 @@ def polished(df: DataFrame, column: str, pick, hook: Backend | None, before: str
 def localized(
     units: DataFrame, keys: list[str], target_lang: str, *, backend: Backend = identity, known: DataFrame | memory.TranslationMemory | None = None, glossary: DataFrame | None = None,
     patterns: list[tuple[str, str]] = (), brands: list[str] = (), fluency: Backend | None = None, tone: Backend | None = None, config: EngineConfig = COMPATIBLE,
+    carry: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(``units`` with ``translated`` and first-pass scores, new memory entries) for texts in column ``text``.
 
@@ -38,42 +47,66 @@ def localized(
     brands restored, scores against the source, one more pass for flagged units (unsplit),
     tone.  A null text is treated as blank and gives ''.
 
+    ``carry`` names the columns of ``units`` that are wanted back, all if it is not given: texts that
+    are not wanted are kept no longer than the job needs them.
     Every row of ``units`` gives one row: rows are told apart by a number of their own, so
     that ``keys``, which name a unit for the caller, may repeat or be null.  The memory is
     read once, for the units of both passes.
     """
-    spark = units.sparkSession
+    spark, carry = units.sparkSession, units.columns if carry is None else list(carry)
+    units = units.select(*dict.fromkeys([*carry, "text"]))
     fluency, tone = fluency if config.fluency_correction else None, tone if config.tone_normalization else None
-    known = spark.createDataFrame([], memory.SCHEMA) if known is None else known
     glossary = spark.createDataFrame([], "target_lang string, ord int, src string, value string") if glossary is None else glossary
-    branded = units.withColumn("_brand", tk.brands_protected(F.coalesce(F.col("text"), F.lit("")), list(brands), config.brand_edges))
-    branded = branded.withColumns({"_branded": F.col("_brand.text"), "_found": F.col("_brand.found")}).drop("_brand")
-    looked = with_glossary(branded, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars)
-    looked = materialized(looked.withColumn("_row", F.monotonically_increasing_id()))
+    own = F.coalesce(F.col("text"), F.lit(""))
+    marked = units.withColumn("_brand", tk.brands_protected(own, list(brands), config.brand_edges))
+    marked = marked.withColumns({"_branded": F.col("_brand.text"), "_found": F.col("_brand.found")}).drop("_brand")
+    looked = with_glossary(marked, "_branded", target_lang, glossary, list(patterns), config.short_words, config.short_chars)
+    # a text without brands is kept once
+    looked = looked.withColumn("_branded", F.when(F.col("_branded") != own, F.col("_branded"))).withColumn("_row", F.monotonically_increasing_id())
+    branded, deal = F.coalesce("_branded", "text", F.lit("")), F.pmod("_row", F.lit(DEALS)).cast("int").alias("_deal")
 
     def ask(fresh: DataFrame, source: str, result: str, lang: str) -> DataFrame:
         out = backend(fresh, source, result, lang)
         return polished(out, result, tx.word_count(F.col(result)) > config.fluency_min_words, fluency, "FLUENCY_TOKEN_", lang)
 
-    todo = looked.where("glossary_value is null").select("_row", F.posexplode(tx.units(F.col("_branded"), config.split_min_chars)).alias("part", "text"))
-    todo, whole = memory.keyed(todo), memory.keyed(looked.select("_row", F.col("_branded").alias("text")))
-    first, fresh, found = memory.asked(memory.distinct_units(todo), known, ask, target_lang, later=whole)
-    parts = memory.answered(todo, first).select("_row", "part", "translated_text")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "translated_text"))), lambda x: x["translated_text"])
-    joined = parts.groupBy("_row").agg(pieces.alias("_pieces"))
-    together = F.when(F.size("_pieces") > 1, tx.trimmed(F.array_join("_pieces", " "))).otherwise(F.element_at("_pieces", 1))
-    joined = joined.select("_row", together.alias("_model"))
-    done = looked.join(joined, "_row", "left").withColumn("translated", tk.brands_restored(F.coalesce("glossary_value", "_model", F.lit("")), F.col("_found"), config.brand_restore))
-    scored = materialized(with_scores(done, "text", "translated", config))
-
-    again = memory.keyed(scored.where("flagged" if config.retry_scope == "all" else "flagged and glossary_value is null").select("_row", F.col("_branded").alias("text")))
-    second, more, _ = memory.asked(memory.distinct_units(again), found, ask, target_lang)
-    second = memory.answered(again, second).select("_row", F.col("translated_text").alias("_again"))
-    out = scored.join(second, "_row", "left")
-    out = out.withColumn("translated", F.when(F.col("_again").isNotNull(), tk.brands_restored(F.col("_again"), F.col("_found"), config.brand_restore)).otherwise(F.col("translated")))
+    once_more = F.coalesce(F.col("flagged") if config.retry_scope == "all" else F.col("flagged") & F.col("glossary_value").isNull(), F.lit(False))
+    spare = [c for c in ("text", "_branded", "_found") if c != "text" or "text" not in carry and tone is None]
+    with memory.Scratch(spark) as scratch:
+        scratch.put(looked.select("*", deal), "rows")
+        small = scratch.size("rows") < SMALL
+        rows = scratch.get("rows")
+        todo = rows.where("glossary_value is null").select("_row", F.posexplode(tx.units(branded, config.split_min_chars)).alias("part", "text"))
+        todo, whole = memory.keyed(todo), memory.keyed(rows.select("_row", branded.alias("text")))
+        first, fresh, found = memory.asked(memory.distinct_units(todo), known, ask, target_lang, later=whole)
+        cuts = 1 if small else CUTS
+        for i in range(cuts):
+            scratch.put(memory.answered(todo, first, cut=(i, cuts)).select("_row", "part", "translated_text", deal), "parts")
+        scored = []
+        for deals in [range(DEALS)] if small else [[d] for d in range(DEALS)]:
+            looked, parts = (scratch.get(name).where(F.col("_deal").isin(list(deals))).drop("_deal") for name in ("rows", "parts"))
+            pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "translated_text"))), lambda x: x["translated_text"])
+            joined = parts.groupBy("_row").agg(pieces.alias("_pieces"))
+            together = F.when(F.size("_pieces") > 1, tx.trimmed(F.array_join("_pieces", " "))).otherwise(F.element_at("_pieces", 1))
+            joined = joined.select("_row", together.alias("_model"))
+            done = looked.join(joined, "_row", "left").withColumn("translated", tk.brands_restored(F.coalesce("glossary_value", "_model", F.lit("")), F.col("_found"), config.brand_restore))
+            done = with_scores(done.drop("_row", "_model"), "text", "translated", config)
+            scored.append(materialized(done.withColumns({c: F.when(once_more, F.col(c)) for c in spare})))
+            for name in ("rows", "parts"):
+                scratch.drop(name, deals)
+    scored = reduce(DataFrame.unionByName, scored)
+
+    # only the rows that are sent again are shuffled again
+    again = memory.keyed(scored.where(once_more).select(F.struct("*").alias("_all"), branded.alias("text")))
+    wanted = materialized(memory.distinct_units(again))
+    if wanted.count() <= MOST_SENT:
+        found = found.withColumn("_hash", F.xxhash64("source_hash")).join(F.broadcast(wanted.select(F.xxhash64(F.lower(F.hex("unit_key"))).alias("_hash"))), "_hash", "left_semi").drop("_hash")
+    second, more, _ = memory.asked(wanted, found, ask, target_lang)
+    again = memory.answered(again, second).select("_all.*", F.col("translated_text").alias("_again"))
+    better = F.when(F.col("_again").isNotNull(), tk.brands_restored(F.col("_again"), F.col("_found"), config.brand_restore)).otherwise(F.col("translated"))
+    out = again.withColumn("translated", better).drop("_again").unionByName(scored.where(~once_more))
     pick = tx.interface_command(F.col("text"), config.command_words, config.command_chars) & ~tx.blank(F.col("translated"))
     out = polished(out, "translated", pick, tone, "UITONE_TOKEN_", target_lang)
-    columns = [*units.columns, "translated", "bleu", "chrf", "length_score", "confidence", "flagged"]
+    columns = [*carry, "translated", "bleu", "chrf", "length_score", "confidence", "flagged"]
     return out.select(*columns), fresh.unionByName(more)
 
 
@@ -118,7 +151,7 @@ def localize_properties(files: DataFrame, target_lang: str, *, config: EngineCon
     todo = (F.col("type") == "entry") & ~in_target_script(F.col("value"), target_lang)
     kept = tk.originals(F.col("value"), tk.FILE_PLACEHOLDER)
     units = lines.where(todo).select("_file", "line_no", kept.alias("_kept"), tk.protected(F.col("value"), tk.FILE_PLACEHOLDER, "__PH", "__").alias("text"))
-    done, fresh = localized(units, ["_file", "line_no"], target_lang, config=config, **options)
+    done, fresh = localized(units, ["_file", "line_no"], target_lang, config=config, carry=["_file", "line_no", "_kept"], **options)
     done = done.select("_file", "line_no", tk.restored_loosely(F.col("translated"), F.col("_kept")).alias("_done"))
     merged = lines.join(done, ["_file", "line_no"], "left").withColumn("value", F.coalesce("_done", "value"))
     content = own.select("_file", "filename").join(properties.rebuilt(merged, "_file", stretch=properties.STRETCH), "_file", "left").drop("_file")

@@ -294,6 +294,16 @@ def test_half_of_the_units_are_one_text(no_broadcast):
     assert max(sizes) < 2 * 40_000 / 4  # of 4 shuffle partitions none has all the copies
 
 
+def test_cuts_of_the_keys_hold_every_row_once(no_broadcast):
+    units = no_broadcast.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "Home").otherwise(F.concat(F.lit("text "), F.col("id") % 999)).alias("text"))
+    keyed = memory.keyed(units)
+    answers = memory.distinct_units(keyed).withColumn("translated_text", F.concat(F.lit("T:"), "source_text")).select("unit_key", "n", "translated_text")
+    answers = answers.where("translated_text <> 'T:text 1'")
+    whole = sorted(memory.answered(keyed, answers).select("id", "translated_text").collect())
+    cuts = [sorted(memory.answered(keyed, answers, cut=(i, 3)).select("id", "translated_text").collect()) for i in range(3)]
+    assert all(cuts) and sorted(sum(cuts, [])) == whole and len(whole) == 20_000
+
+
 def test_the_memory_is_read_once(spark, tmp_path):
     reads = spark.sparkContext.accumulator(0)
 
@@ -308,6 +318,55 @@ def test_the_memory_is_read_once(spark, tmp_path):
     assert reads.value == 2
 
 
+def files_below(folder):
+    return {f"{d}/{f}": os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names}
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f.getPath(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_the_pipeline_leaves_neither_shuffle_files_nor_spare_texts(spark):
+    rows = spark.range(400).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.sha2(F.concat_ws("-", "id", i), 256), F.lit("."))), " ").alias("text"))
+    size, shared = rows.agg(F.sum(F.length("text"))).first()[0], memory.shared_folder(spark)
+    before, shuffled, setting = files_below(shared), shuffle_files(spark), spark.conf.get(memory.DROP_SHUFFLES)
+    out, fresh = localize.localized(rows, ["id"], "spa_Latn", backend=backends.identity, carry=["id"])
+    kept = {f: n for f, n in files_below(shared).items() if f not in before}
+    left = {f: n for f, n in shuffle_files(spark).items() if f not in shuffled}
+    assert sum(left.values()) < size / 10
+    assert sum(kept.values()) < 3 * size and not [f for f in kept if "/scratch-" in f]  # units with their answers, translated texts
+    assert out.columns[0] == "id" and "text" not in out.columns and out.count() == 400 and fresh.count() == 20_000
+    assert spark.conf.get(memory.DROP_SHUFFLES) == setting
+
+
+def test_a_failure_leaves_no_tables(spark):
+    def broken(df, source, result, lang):
+        raise RuntimeError("no model")
+
+    with pytest.raises(RuntimeError, match="no model"):
+        localize.localized(spark.createDataFrame([("some words",)], "text string"), [], "spa_Latn", backend=broken)
+    assert not [f for f in os.listdir(memory.shared_folder(spark).removeprefix("file:")) if f.startswith("scratch-")]
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_same_result_in_deals_and_cuts(spark, monkeypatch, known):
+    long = "Acme text no. 1 goes on and on. " * 4
+    texts = ["Save", "Acme", None, "", " ", "same old text", long, long + "Save", *[f"{long} It has part {i}. same old text." for i in range(40)]]
+    rows = spark.createDataFrame([(i % 7, t, None) for i, t in enumerate([*texts, *texts[:9]])], "doc_id int, text string, none void")
+    entries = from_entries(spark, {"spa_Latn": {"Save": "Guardar"}})
+    words = lambda texts, lang: [" ".join(w[::-1] if len(t) > 60 else w for w in t.split()) for t in texts]
+    there = entries_of(spark, [("same old text", "el mismo texto"), (long.strip(), "todo")]) if known else None
+    got = []
+    for small in (localize.SMALL, 0):
+        monkeypatch.setattr(localize, "SMALL", small)
+        out, fresh = localize.localized(rows.repartition(3), ["doc_id"], "spa_Latn", backend=backends.batches(words), glossary=entries, brands=["Acme"], known=there)
+        assert out.columns[:3] == ["doc_id", "text", "none"] and fresh.count() == fresh.select("source_hash").distinct().count()
+        got.append((sorted(map(str, out.collect())), sorted(map(str, fresh.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == len(texts) + 9 and any("flagged=True" in r for r in got[0][0])
+    assert any("el mismo texto" in r for r in got[0][0]) == known
+
+
 # --- rows and their own texts ----------------------------------------------------------------------------------------------
 
 
