@@ -21,7 +21,7 @@ from ..sources import properties
 
 #: Rows are put together in so many deals, one after the other, and their units answered in so many cuts of the keys, so
 #: that the shuffle files of one are there at a time; tables of fewer compressed bytes are done at once.
-DEALS, CUTS, SMALL = 4, 3, 16 << 20
+DEALS, CUTS, SMALL = 8, 3, 16 << 20
 #: Most units of the second pass whose 64-bit hashes are sent to what is known, so that only that is shuffled which they may ask for.
 MOST_SENT = 1_000_000
 
